@@ -31,12 +31,12 @@ def flat_teams(df):
         flat("anta_role_ids").alias("anta_role_ids"), flat("anta_kungfus").alias("anta_kungfus"), "start_date")
 
 
-def flat_matches(df):
+def flat_matches(df, extra=()):
     return df.select(
         "match_id", "match_type", "start_time", "duration", "pvp_type", "map", "grade",
         "team1_score", "team2_score", "winner",
         flat("team1_kungfu").alias("team1_kungfu"), flat("team2_kungfu").alias("team2_kungfu"),
-        flat("role_ids").alias("role_ids"))
+        flat("role_ids").alias("role_ids"), *extra)
 
 
 MATCH_COLS_SQL = """match_id, match_type, start_time, duration, pvp_type, map, grade, team1_score, team2_score,
