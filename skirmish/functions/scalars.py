@@ -168,6 +168,24 @@ def humanize_count(c: ColumnOrName) -> Column:
             .otherwise(fmt(1_000_000_000, "B")))
 
 
+def take(c: ColumnOrName, n: ColumnOrName | int) -> Column:
+    """The first n elements (fewer if the array is shorter)."""
+    k = F.lit(n) if isinstance(n, int) else _c(n)
+    return F.slice(_c(c), F.lit(1), F.greatest(k, F.lit(0)))
+
+
+def drop(c: ColumnOrName, n: ColumnOrName | int) -> Column:
+    """All but the first n elements."""
+    k = F.lit(n) if isinstance(n, int) else _c(n)
+    return F.slice(_c(c), k + 1, F.greatest(F.size(_c(c)) - k, F.lit(0)))
+
+
+def zip_shortest(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Pairs (a, b) cut to the shorter array (Spark's arrays_zip pads)."""
+    n = F.least(F.size(_c(a)), F.size(_c(b)))
+    return F.arrays_zip(F.slice(_c(a), F.lit(1), n).alias("a"), F.slice(_c(b), F.lit(1), n).alias("b"))
+
+
 def sort_kungfus(c: ColumnOrName) -> Column:
     """Stored class arrays sorted ascending."""
     return F.array_sort(_c(c))
