@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the query modules (each registers on import)."""
     from skirmish.plans import (  # noqa: F401
-        q_filters, q_joins, q_maintain, q_ordered, q_payloads, q_reports, q_scalars, q_sources,
+        q_filters, q_joins, q_maintain, q_ordered, q_payloads, q_reports, q_scalars, q_sources, q_streams,
     )
