@@ -134,7 +134,8 @@ def win_rate(win: ColumnOrName, total: ColumnOrName, digits: int | None = 3) ->
 def grade_of_score(score: ColumnOrName) -> Column:
     """clamp(trunc(score / 100) − 10, 0, 13)."""
     g = (_c(score) / 100).cast("long") - 10
-    return F.greatest(F.least(g, F.lit(GRADE_MAX)), F.lit(GRADE_MIN)).cast("int")
+    # greatest/least skip NULLs, so a NULL score is guarded explicitly
+    return F.when(g.isNotNull(), F.greatest(F.least(g, F.lit(GRADE_MAX)), F.lit(GRADE_MIN))).cast("int")
 
 
 def equip_addition(strength: ColumnOrName, stone: ColumnOrName) -> Column:

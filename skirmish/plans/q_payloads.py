@@ -139,7 +139,7 @@ def indicator_payloads(d: Domain):
 
 
 @query("flatten_role_indicator", """
-SELECT role_id, match_type, CAST(greatest(least(CAST(trunc(score / 100) AS BIGINT) - 10, 13), 0) AS INTEGER) AS grade,
+SELECT role_id, match_type, CASE WHEN score IS NULL THEN NULL ELSE CAST(greatest(least(CAST(trunc(score / 100) AS BIGINT) - 10, 13), 0) AS INTEGER) END AS grade,
        score, ranking, total_count, win_count, mvp_count FROM scores""")
 def q_flatten_role_indicator(spark, sf):
     _roles, _persons, perf, _metrics = J.flatten_role_indicator(indicator_payloads(Domain(spark, sf)))

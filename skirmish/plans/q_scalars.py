@@ -158,7 +158,7 @@ def q_win_rate(spark, sf):
 
 
 @query("grade_of_score", """
-SELECT role_id, CAST(greatest(least(CAST(trunc(score / 100) AS BIGINT) - 10, 13), 0) AS INTEGER) AS grade FROM scores""")
+SELECT role_id, CASE WHEN score IS NULL THEN NULL ELSE CAST(greatest(least(CAST(trunc(score / 100) AS BIGINT) - 10, 13), 0) AS INTEGER) END AS grade FROM scores""")
 def q_grade_of_score(spark, sf):
     return Domain(spark, sf).scores.select("role_id", H.grade_of_score("score").alias("grade"))
 
