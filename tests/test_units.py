@@ -74,6 +74,10 @@ def test_labels_exception_pair_and_unknown(spark):
     assert got[(4, 99)] == "剑?"
     assert got[()] == ""
     assert got[None] is None
+    from skirmish.functions.kungfu import _lineup_labels_join
+
+    joined = {tuple(r.k) if r.k is not None else None: r.short for r in _lineup_labels_join(df, "k", ki).collect()}
+    assert joined == got
 
 
 # --------------------------------------------------------------------- D6 / Q7
