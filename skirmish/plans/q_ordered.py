@@ -201,3 +201,32 @@ def q_score_history(spark, sf):
 SELECT * FROM roles ORDER BY global_id LIMIT 200""")
 def q_roles_page(spark, sf):
     return E.roles_page(Domain(spark, sf).roles, limit=200)
+
+
+@query("make_range", """
+SELECT user_id, day,
+       CASE WHEN day < DATE '2024-01-10' THEN day + 1 ELSE day END AS lower,
+       CASE WHEN day < DATE '2024-01-10' THEN day + 3 ELSE day + 2 END AS upper,
+       (day < DATE '2024-01-10' AND day + 1 >= day + 3) AS empty
+FROM seen_days""")
+def q_make_range(spark, sf):
+    s = Domain(spark, sf).seen_days
+    early = F.col("day") < F.lit("2024-01-10").cast("date")
+    # early days: (day, day+2] exclusive lower, inclusive upper; later days: [day, day+1] inclusive
+    rng = F.when(early, make_range(F.col("day"), F.date_add("day", 2), False, True)).otherwise(
+        make_range(F.col("day"), F.date_add("day", 1), True, True))
+    x = s.select("user_id", "day", rng.alias("r"))
+    return x.select("user_id", "day", F.col("r.lower").alias("lower"), F.col("r.upper").alias("upper"),
+                    F.col("r").isNull().alias("empty"))
+
+
+@query("range_order", f"""
+SELECT user_id, lower, upper, row_number() OVER (PARTITION BY user_id ORDER BY lower NULLS FIRST, upper NULLS LAST) AS pos
+FROM ({ISLANDS_SQL})""")
+def q_range_order(spark, sf):
+    from skirmish.functions.ranges import range_sort_key
+
+    merged = E.merge_seen_ranges(day_ranges(Domain(spark, sf)), ["user_id"])
+    w = Window.partitionBy("user_id").orderBy(range_sort_key("seen"))
+    return merged.select("user_id", F.col("seen.lower").alias("lower"), F.col("seen.upper").alias("upper"),
+                         F.row_number().over(w).alias("pos"))

@@ -331,3 +331,8 @@ def q_fetched_counts(spark, sf):
 @query("describe")
 def q_describe(spark, sf):
     return R.describe(flat_rates(rates(Domain(spark, sf))), "total_count", "team_weight", "person_rate", "team_rate")
+
+
+@query("kungfu_items", "SELECT id, content, kungfu, short, rank FROM kungfu_items")
+def q_kungfu_items(spark, sf):
+    return kitems(Domain(spark, sf))
