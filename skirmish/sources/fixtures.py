@@ -216,6 +216,18 @@ def seen_days(events: DataFrame) -> DataFrame:
     return events.select("user_id", F.to_date("ts").alias("day")).distinct()
 
 
+# When on, the aggregated domain tables are written once per session to the
+# shared checkpoint folder and read back, as the stored tables they are in
+# production (off by default: queries then derive them lazily).
+STORE_DOMAIN = False
+_stored: dict[tuple, str] = {}
+
+
+def store_domain_tables(flag: bool = True) -> None:
+    global STORE_DOMAIN
+    STORE_DOMAIN = flag
+
+
 class Domain:
     """Lazily built domain tables over one scale-factor folder."""
 
@@ -223,6 +235,18 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        if not STORE_DOMAIN:
+            return df
+        from skirmish.session import scratch_path
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored:
+            path = scratch_path(self.spark, f"domain-{name}")
+            df.write.mode("overwrite").parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
@@ -232,7 +256,7 @@ class Domain:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return matches(self.ev)
+        return self._stored("matches", matches(self.ev))
 
     @cached_property
     def match_roles(self) -> DataFrame:
@@ -240,7 +264,7 @@ class Domain:
 
     @cached_property
     def roles(self) -> DataFrame:
-        return roles(self.raw("customer"), self.raw("nation"), self.raw("region"))
+        return self._stored("roles", roles(self.raw("customer"), self.raw("nation"), self.raw("region")))
 
     @cached_property
     def persons(self) -> DataFrame:
@@ -248,19 +272,19 @@ class Domain:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return scores(self.raw("orders"))
+        return self._stored("scores", scores(self.raw("orders")))
 
     @cached_property
     def role_kungfus(self) -> DataFrame:
-        return role_kungfus(self.raw("orders"), self.raw("lineitem"), self.raw("part"))
+        return self._stored("role_kungfus", role_kungfus(self.raw("orders"), self.raw("lineitem"), self.raw("part")))
 
     @cached_property
     def items(self) -> DataFrame:
-        return items(self.raw("part"), self.ev)
+        return self._stored("items", items(self.raw("part"), self.ev))
 
     @cached_property
     def match_logs(self) -> DataFrame:
-        return match_logs(self.raw("conversations"))
+        return self._stored("match_logs", match_logs(self.raw("conversations")))
 
     @cached_property
     def role_updates(self) -> DataFrame:
