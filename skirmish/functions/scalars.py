@@ -115,9 +115,34 @@ def parse_attrs(c: ColumnOrName) -> Column:
     return F.transform(_c(c), lambda x: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double"))
 
 
-def start_time(epoch_seconds: ColumnOrName) -> Column:
-    """Epoch seconds → timestamp (wall clock in UTC, no zone attached)."""
-    return F.timestamp_seconds(_c(epoch_seconds)).cast("timestamp_ntz")
+EPOCH_DATE = "1970-01-01"
+
+
+def epoch_micros(ts: ColumnOrName) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a wall-clock (UTC) timestamp.
+    Built from the date and time-of-day fields, so the session time zone
+    (and its DST rules) never enters."""
+    t = _c(ts).cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.lit(EPOCH_DATE).cast("date")).cast("long")
+    sod = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long")
+    frac = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return (days * 86400 + sod) * 1_000_000 + frac
+
+
+def epoch_seconds(ts: ColumnOrName) -> Column:
+    """Whole seconds since the epoch of a wall-clock (UTC) timestamp."""
+    return F.floor(epoch_micros(ts) / 1_000_000).cast("long")
+
+
+def start_time(epoch_seconds_col: ColumnOrName) -> Column:
+    """Epoch seconds → timestamp (UTC wall clock, no zone attached),
+    independent of the session time zone."""
+    s = _c(epoch_seconds_col).cast("long")
+    days = F.floor(s / 86400).cast("long")
+    rem = s - days * 86400
+    d = F.date_add(F.lit(EPOCH_DATE).cast("date"), days.cast("int"))
+    return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), F.floor(rem / 3600).cast("int"),
+                                F.floor((rem % 3600) / 60).cast("int"), (rem % 60).cast("decimal(8,6)"))
 
 
 def start_date(ts: ColumnOrName) -> Column:
@@ -225,7 +250,7 @@ def put_default(c: ColumnOrName, value) -> Column:
 def is_recent(ts: ColumnOrName, n: int, unit: str, as_of: ColumnOrName) -> Column:
     """``as_of − ts ≤ n·unit`` in seconds; NULL → false."""
     secs = n * TIME_UNITS[unit]
-    diff = F.unix_micros(_c(as_of).cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))
+    diff = epoch_micros(as_of) - epoch_micros(ts)
     return F.coalesce(diff <= F.lit(secs * 1_000_000), F.lit(False))
 
 

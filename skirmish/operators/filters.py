@@ -150,8 +150,9 @@ def refresh_due(scores: DataFrame, as_of: str) -> DataFrame:
     score < 2200 → due if never fetched or older than 6 days, batch 100;
     otherwise (NULL score included) due if never fetched or older than 18
     hours, batch = total_count − fetched_to (NULL counts as 0)."""
-    now = F.unix_micros(F.lit(as_of).cast("timestamp"))
-    age = (now - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1_000_000
+    from skirmish.functions.scalars import epoch_micros
+
+    age = (epoch_micros(F.lit(as_of)) - epoch_micros("fetched_at")) / 1_000_000
     slow = F.col("score").isNotNull() & (F.col("score") < REFRESH_SCORE_SPLIT)
     never = F.col("fetched_at").isNull()
     due = F.when(slow, never | (age > REFRESH_SLOW_AGE_SECONDS)).otherwise(never | (age > REFRESH_FAST_AGE_SECONDS))

@@ -129,7 +129,7 @@ def change_log(df: DataFrame, key: str, value: str, order: list[str], null_safe:
     a per-(key, bucket) summary (much smaller than the rows).
     """
     tcol = time_col or order[0]
-    b = F.date_trunc(bucket, F.col(tcol).cast("timestamp")).cast("timestamp_ntz")
+    b = F.to_date(tcol) if bucket == "day" else F.date_trunc(bucket, F.col(tcol))
     x = df.withColumn("_b", b)
     ordk = F.struct(*[F.col(c) for c in order])
     # last value per (key, bucket), then the previous bucket's last per key

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skirmish.functions.scalars import flat
+from skirmish.functions.scalars import epoch_seconds, flat
 from skirmish.operators import joins as C
 from skirmish.operators import maintain as M
 from skirmish.operators import ordered as E
@@ -71,7 +71,7 @@ def q_guard_fetched_count(spark, sf):
 
 
 def _split_matches(d: Domain):
-    cut = F.unix_seconds(F.lit(HALF_MONTH).cast("timestamp"))
+    cut = epoch_seconds(F.lit(HALF_MONTH))
     old = d.matches.where(F.col("start_time") < cut)
     mr = d.match_roles.drop("match_type")
     new = C.nest(d.matches, mr, "match_id", "roles", how="inner")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skirmish.functions.scalars import epoch_seconds
 from skirmish.plans.catalog import query
 from skirmish.plans.q_ordered import HALF_MONTH, PASSPORT_SQL
 from skirmish.plans.q_reports import MATCH_COLS_SQL, flat_matches
@@ -23,7 +24,7 @@ def _land(df, path: str, parts: list) -> None:
 def q_stream_insert_matches(spark, sf):
     d = Domain(spark, sf)
     base = scratch_path(spark, "stream-matches")
-    cut = F.unix_seconds(F.lit(HALF_MONTH).cast("timestamp"))
+    cut = epoch_seconds(F.lit(HALF_MONTH))
     m = d.matches
     L.seed(m.where(F.col("start_time") < cut), f"{base}/target")
     landing = f"{base}/landing"

@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.functions.scalars import pvp_type
+from skirmish.functions.scalars import epoch_seconds, pvp_type
 from skirmish.sources.tables import read_table
 
 # Event type → class id used for the participants (fixed by FIXTURES.md).
@@ -65,7 +65,7 @@ def match_roles(ev_df: DataFrame) -> DataFrame:
 def matches(ev_df: DataFrame) -> DataFrame:
     """One row per complete (4-seat) match; arrays built per match only."""
     first = F.col("seat") < 2
-    epoch = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div 1000000")
+    epoch = lambda c: epoch_seconds(c)
     agg = ev_df.groupBy("match_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("inserted_at").alias("_t0"),
