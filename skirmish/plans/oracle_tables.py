@@ -109,7 +109,9 @@ SELECT 'kungfu' AS tag, CAST(10000 + dense_rank() OVER (ORDER BY p_type) AS VARC
        '"' || lower(p_type) || '"' AS content
 FROM (SELECT DISTINCT p_type FROM part)
 UNION ALL
-SELECT 'kungfu' AS tag, CAST(kungfu AS VARCHAR) AS id, '"' || min(event_type) || '"' AS content
+SELECT 'kungfu' AS tag, CAST(kungfu AS VARCHAR) AS id,
+       '"' || CASE min(event_type) WHEN 'signup' THEN 'jingyu' WHEN 'click' THEN 'tianluo' WHEN 'view' THEN 'mowen'
+                  WHEN 'error' THEN 'taixu' ELSE min(event_type) END || '"' AS content
 FROM ev GROUP BY kungfu
 UNION ALL
 SELECT 'brand' AS tag, CAST(dense_rank() OVER (ORDER BY p_brand) AS VARCHAR) AS id,

@@ -23,6 +23,10 @@ from skirmish.sources.tables import read_table
 # Event type → class id used for the participants (fixed by FIXTURES.md).
 EVENT_CLASS = [("signup", 10014), ("click", 10021), ("view", 10080), ("error", 10145)]
 OTHER_CLASS = 10224
+# Dictionary content of those class ids: a class name from the dimension
+# (so labels exercise the display order and its exception pair); other
+# event types keep their own name (an unknown class).
+EVENT_CLASS_NAMES = [("signup", "jingyu"), ("click", "tianluo"), ("view", "mowen"), ("error", "taixu")]
 
 
 def _event_class(c: Column) -> Column:
@@ -179,8 +183,11 @@ def items(part: DataFrame, ev_df: DataFrame) -> DataFrame:
         F.lit("kungfu").alias("tag"),
         (F.lit(10000) + F.dense_rank().over(Window.orderBy("p_type"))).cast("string").alias("id"),
         quote(F.lower("p_type")).alias("content"))
+    name = F.col("t")
+    for event, cls in reversed(EVENT_CLASS_NAMES):
+        name = F.when(F.col("t") == event, F.lit(cls)).otherwise(name)
     kung2 = ev_df.groupBy("kungfu").agg(F.min("event_type").alias("t")).select(
-        F.lit("kungfu").alias("tag"), F.col("kungfu").cast("string").alias("id"), quote(F.col("t")).alias("content"))
+        F.lit("kungfu").alias("tag"), F.col("kungfu").cast("string").alias("id"), quote(name).alias("content"))
     brands = part.select("p_brand").distinct().select(
         F.lit("brand").alias("tag"),
         F.dense_rank().over(Window.orderBy("p_brand")).cast("string").alias("id"),
