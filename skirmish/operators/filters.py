@@ -136,12 +136,19 @@ def paged(df: DataFrame, order_by: list, prefix: str | None = None, where=None,
         x = where_text(x, where)
     elif where:
         x = where_list(x, where)
-    x = x.orderBy(*order_by)
-    if offset:
-        x = x.offset(offset)
-    if limit is not None:
-        x = x.limit(limit)
-    return x
+    return page(x.orderBy(*order_by), limit, offset)
+
+
+def page(sorted_df: DataFrame, limit: int | None, offset: int | None = 0) -> DataFrame:
+    """skip ``offset`` rows then take ``limit`` of a totally ordered frame.
+
+    Spark runs sort + offset + limit as a distributed top-(offset+limit); an
+    offset without a limit would skip rows in one task over the whole
+    frame, so it is refused."""
+    if offset and limit is None:
+        raise ValueError("an offset needs a limit (pages are bounded)")
+    x = sorted_df.offset(offset) if offset else sorted_df
+    return x.limit(limit) if limit is not None else x
 
 
 def refresh_due(scores: DataFrame, as_of: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import win_rate, zone_suffix_sql
+from skirmish.operators.filters import page
 
 
 def scores_with_kungfus(scores: DataFrame, role_kungfus: DataFrame) -> DataFrame:
@@ -29,9 +30,7 @@ def roles_with_scores(roles: DataFrame, scores: DataFrame, match_type: str,
     s = scores.select(F.col("role_id").alias("global_id"), "match_type", "score", "total_count", "win_count")
     x = roles.join(s, "global_id", "left").where((F.col("match_type") == match_type) | F.col("match_type").isNull())
     x = x.orderBy(F.col("score").desc_nulls_last(), F.col("global_id"))
-    if offset:
-        x = x.offset(offset)
-    return x.limit(limit) if limit is not None else x
+    return page(x, limit, offset)
 
 
 def top_roles(roles: DataFrame, scores: DataFrame, limit: int = 200, match_type: str = "3c",
@@ -69,9 +68,7 @@ def roles_needing_scores(roles: DataFrame, scores: DataFrame, match_roles: DataF
     ordered by id, paged."""
     played = match_roles.select(F.col("role_id").alias("global_id"))
     x = unknown_roles(roles, scores).join(played, "global_id", "left_semi").orderBy("global_id")
-    if offset:
-        x = x.offset(offset)
-    return x.limit(limit) if limit is not None else x
+    return page(x, limit, offset)
 
 
 def matches_of_role(matches: DataFrame, match_roles: DataFrame, role_id: str | None = None,
@@ -82,9 +79,7 @@ def matches_of_role(matches: DataFrame, match_roles: DataFrame, role_id: str | N
     if role_id is not None:
         mr = mr.where(F.col("role_id") == role_id)
     x = matches.join(mr, "match_id", "inner").orderBy(F.col("match_id").desc_nulls_last(), "role_id")
-    if offset:
-        x = x.offset(offset)
-    return x.limit(limit) if limit is not None else x
+    return page(x, limit, offset)
 
 
 def match_history(match_roles: DataFrame, matches: DataFrame, role_id: str | None = None) -> DataFrame:
@@ -149,8 +144,8 @@ def kungfu_stats_merge(metrics: DataFrame, skills: DataFrame, role_id: str | Non
     """C14 of class metrics and class skills; a metrics-only row with
     total_count = 0 is dropped; role_id/match_type added when given."""
     keys = keys or ["kungfu"]
-    skills_k = skills.select(*keys).withColumn("_has_skills", F.lit(True))
-    x = combine_with(metrics, skills, keys).join(skills_k, keys, "left")
+    # the marker rides along the one full outer join (no second join)
+    x = combine_with(metrics, skills.withColumn("_has_skills", F.lit(True)), keys)
     x = x.where(F.col("_has_skills").isNotNull() | (F.coalesce(F.col("total_count"), F.lit(0)) != 0)).drop("_has_skills")
     if role_id is not None:
         x = x.withColumn("role_id", F.lit(role_id))
