@@ -6,7 +6,6 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skirmish.functions import scalars as H
 from skirmish.functions.kungfu import kungfu_items, lineup_labels
@@ -119,16 +118,12 @@ def test_replay_good_bad_blank_null_empty(spark):
         (2, '{"replay": [oops'), (3, "   "), (4, None), (5, '{"replay":[],"match_id":5}')],
         "match_id long, replay string")
     p = P.parse_replay(logs)
-    got = {r.match_id: (r.match_duration, P_first(r)) for r in p.select("match_id", "match_duration",
-                                                                          P.first_skill().alias("f")).collect()}
+    got = {r.match_id: (r.match_duration, r.f)
+           for r in p.select("match_id", "match_duration", P.first_skill().alias("f")).collect()}
     assert set(got) == {1, 2, 5}
     assert got[1] == (9, "a") and got[2] == (None, None) and got[5] == (None, None)
 
 
-def P_first(r):
-    return r.f
-
-
 # --------------------------------------------------------------------- H11 / Q15
 def test_parse_ranking(spark):
     df = spark.createDataFrame([("7",), ("12%",), ("-",), (None,), ("x",)], "r string")
