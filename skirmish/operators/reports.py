@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import start_date, start_time, win_rate
 
-TEAM_LABELS = ["team", "person"]
 # A (day, team) group is a fixed team when it played more than this many times.
 FIXED_TEAM_MIN_EXCLUSIVE = 3
 
@@ -138,20 +137,25 @@ def label_teams(teams: DataFrame, day_map: DataFrame, strict: bool = False) -> D
 
 
 def team_kungfu_report(labeled: DataFrame) -> DataFrame:
-    """Per (grade, sorted line-up), pivoted by team/person: count, win,
-    vs_team_count, vs_team_win. Only the two counts are filled with 0 (Q7).
-    Ordered by team_count + person_count descending."""
-    x = labeled.select(
-        "grade",
-        F.array_sort("kungfus").alias("kungfus"),
-        F.when(F.col("in_team"), F.lit("team")).otherwise(F.lit("person")).alias("in_team"),
-        "anta_in_team", "won")
-    rep = (x.groupBy("grade", "kungfus").pivot("in_team", TEAM_LABELS).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("won")).alias("win"),
-        F.count_if(F.col("anta_in_team")).alias("vs_team_count"),
-        F.count_if(F.col("anta_in_team") & F.col("won")).alias("vs_team_win"),
-    ).fillna(0, subset=["team_count", "person_count"]))
+    """Per (grade, sorted line-up), split by team/person: count, win,
+    vs_team_count, vs_team_win (columns ``team_count`` … ``person_vs_team_win``,
+    as a pivot on in_team names them). Only the two counts are 0 when a side
+    has no rows; its other cells are NULL, as pivot leaves them (Q7).
+    Ordered by team_count + person_count descending.
+
+    Written as conditional aggregates: one grouped aggregate (one shuffle,
+    map-side combine) instead of pivot's two aggregation rounds."""
+    x = labeled.select("grade", F.array_sort("kungfus").alias("kungfus"), "in_team", "anta_in_team", "won")
+    aggs = []
+    for label, side in (("team", F.col("in_team")), ("person", ~F.col("in_team"))):
+        n = F.count_if(side)
+        aggs += [n.alias(f"{label}_count")]
+        for name, cond in (("win", F.col("won")), ("vs_team_count", F.col("anta_in_team")),
+                           ("vs_team_win", F.col("anta_in_team") & F.col("won"))):
+            aggs.append(F.when(n > 0, F.count_if(side & cond)).alias(f"{label}_{name}"))
+    order = ["team_count", "team_win", "team_vs_team_count", "team_vs_team_win",
+             "person_count", "person_win", "person_vs_team_count", "person_vs_team_win"]
+    rep = x.groupBy("grade", "kungfus").agg(*aggs).select("grade", "kungfus", *order)
     return rep.orderBy((F.col("team_count") + F.col("person_count")).desc(), F.col("grade"), F.col("kungfus"))
 
 
@@ -192,11 +196,13 @@ def with_kungfu(report: DataFrame, kungfu_id: int, col: str = "kungfus") -> Data
 
 def role_team_weight(day_map: DataFrame) -> DataFrame:
     """Per role, Σ games in fixed teams (``team``) and otherwise
-    (``person``); both filled with 0 (Q8); ordered by their sum."""
-    x = day_map.select(F.explode("role_ids").alias("role_id"),
-                       F.when(F.col("in_team"), F.lit("team")).otherwise(F.lit("person")).alias("in_team"),
-                       "count")
-    p = x.groupBy("role_id").pivot("in_team", TEAM_LABELS).agg(F.sum("count")).fillna(0, subset=TEAM_LABELS)
+    (``person``); both filled with 0 (Q8); ordered by their sum. One grouped
+    aggregate with conditional sums (what the pivot on in_team computes)."""
+    x = day_map.select(F.explode("role_ids").alias("role_id"), "in_team", "count")
+    zero = F.lit(0).cast("long")
+    p = x.groupBy("role_id").agg(
+        F.coalesce(F.sum(F.when(F.col("in_team"), F.col("count"))), zero).alias("team"),
+        F.coalesce(F.sum(F.when(~F.col("in_team"), F.col("count"))), zero).alias("person"))
     return p.orderBy((F.col("team") + F.col("person")).desc(), "role_id")
 
 
