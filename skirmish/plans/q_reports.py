@@ -336,3 +336,20 @@ def q_describe(spark, sf):
 @query("kungfu_items", "SELECT id, content, kungfu, short, rank FROM kungfu_items")
 def q_kungfu_items(spark, sf):
     return kitems(Domain(spark, sf))
+
+
+COUNT_BINS = 30
+
+
+@query("count_histogram", f"""
+WITH r AS (SELECT CAST(count AS DOUBLE) AS v, count(*) AS w FROM day_team_map GROUP BY count),
+b AS (SELECT min(v) AS lo, max(v) AS hi FROM r)
+SELECT CAST(bin AS INTEGER) AS bin, CAST(sum(w) AS BIGINT) AS weight,
+       lo + (bin - 1) * ((hi - lo) / {COUNT_BINS}) AS lower, lo + bin * ((hi - lo) / {COUNT_BINS}) AS upper
+FROM (SELECT CASE WHEN b.hi = b.lo THEN 1 ELSE least(floor({COUNT_BINS} * (r.v - b.lo) / (b.hi - b.lo)) + 1, {COUNT_BINS}) END
+             AS bin, r.w, b.lo, b.hi FROM r, b WHERE r.v IS NOT NULL)
+GROUP BY bin, lo, hi""")
+def q_count_histogram(spark, sf):
+    """D11 over D10: repeat counts of (day, team) groups in 30 bins."""
+    hist = R.team_repeat_histogram(R.day_team_map(teams(Domain(spark, sf))))
+    return R.weighted_histogram(hist, "count", "weight", COUNT_BINS)
