@@ -297,3 +297,18 @@ def q_name_list_versions(spark, sf):
     lists = J.name_lists(roles)
     known = lists.where(F.lit(False)).select("tag", "value", F.lit(0).cast("long").alias("id"))
     return dictionary_versions(known, lists, "match_id")
+
+
+@query("landed_history", """
+SELECT mr.match_id, mr.match_type, mr.role_id AS global_id, m.grade AS avg_grade, m.start_time,
+       m.start_time + m.duration AS end_time, mr.seat = 0 AS mvp, mr.team = m.winner AS won, mr.score2 % 50 AS score_diff,
+       1500 + mr.score2 % 1000 AS score, mr.kungfu, 'z' AS zone, 's' AS server
+FROM match_roles mr JOIN matches m ON m.match_id = mr.match_id""")
+def q_landed_history(spark, sf):
+    """J7 end to end: history pages landed as JSON-lines files partitioned by
+    match type, read back as text and flattened."""
+    from skirmish.session import scratch_path
+
+    path = scratch_path(spark, "landed-history")
+    J.write_payloads(history_payloads(Domain(spark, sf)).select("match_type", "payload"), path, ["match_type"])
+    return J.flatten_role_history(J.read_payloads(spark, path))

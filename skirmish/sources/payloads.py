@@ -71,6 +71,21 @@ ARMOR_DROPPED = ["strength_evel", "strength_level", "permanent_enchant", "tempor
 TALENT_DROPPED = ["level"]
 
 
+def read_payloads(spark, path: str) -> DataFrame:
+    """Landed responses stored as JSON lines (one response per line) under
+    ``path``; folder partitions such as ``match_type=3c/`` become columns.
+    Returns the ``payload`` text column (plus partition columns)."""
+    return spark.read.text(path).withColumnRenamed("value", "payload")
+
+
+def write_payloads(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
+    """Land a payload table as JSON lines (text files) for ``read_payloads``."""
+    w = df.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.text(path)
+
+
 def _parse(df: DataFrame, schema, col: str = "payload") -> Column:
     return F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
 
