@@ -136,8 +136,11 @@ def change_log(df: DataFrame, key: str, value: str, order: list[str], null_safe:
     last = (x.groupBy(key, "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), ordk).alias("_last"))
             .withColumn("_prev_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_b"))))
     w = Window.partitionBy(key, "_b").orderBy(*[F.col(c) for c in order])
-    y = (x.withColumn("_prev_row", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-         .join(last.select(key, "_b", "_prev_bucket"), [key, "_b"], "inner"))
+    s = last.select(F.col(key).alias("_sk"), F.col("_b").alias("_sb"), "_prev_bucket")
+    rows = x.withColumn("_prev_row", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    # null-safe on both parts: a NULL key or time forms its own group, as in a window
+    y = rows.join(s, F.col(key).eqNullSafe(F.col("_sk")) & F.col("_b").eqNullSafe(F.col("_sb")), "inner") \
+            .drop("_sk", "_sb")
     prev = F.coalesce(F.col("_prev_row"), F.col("_prev_bucket"))
     first = prev.isNull()
     changed = ~F.col(value).eqNullSafe(prev["v"]) if null_safe else (F.col(value) != prev["v"])

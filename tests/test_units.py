@@ -291,3 +291,12 @@ def test_stream_passport_state_across_batches(spark, tmp_path):
     got = sorted((r.global_id, r.passport_id) for r in L.read_table(spark, str(tmp_path / "log")).collect())
     # 'a' is logged once (the repeat in batch 2 compares with the state), 'b' and 'x' once
     assert got == [("g", "a"), ("g", "b"), ("h", "x")]
+
+
+def test_change_log_keeps_null_keys_and_times(spark):
+    rows = [(1, None, "a", dt.datetime(2024, 1, 1)), (2, None, "b", dt.datetime(2024, 1, 2)),
+            (3, "g", "a", None), (4, "g", "a", dt.datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "event_id long, global_id string, passport_id string, inserted_at timestamp_ntz")
+    got = sorted((r.global_id or "", r.passport_id, r.event_id)
+                 for r in E.change_log(df, "global_id", "passport_id", ["inserted_at", "event_id"]).collect())
+    assert got == [("", "a", 1), ("", "b", 2), ("g", "a", 3)]
