@@ -73,7 +73,9 @@ def search_role(summary: DataFrame, q: str) -> DataFrame:
             .select(F.col("global_id").alias("role_id"), "force", "name", "zone", "server", "person_name"))
 
 
-_FORBIDDEN = re.compile(r"\b(select|from|exists|in\s*\()", re.IGNORECASE)
+# Caller text may only hold column expressions: no subqueries, and none of
+# the functions that call into the JVM by name.
+_FORBIDDEN = re.compile(r"\b(select|from|exists|in\s*\(|reflect|try_reflect|java_method)\b", re.IGNORECASE)
 
 
 def where_text(df: DataFrame, text: str, alias: str = "x1") -> DataFrame:

@@ -230,6 +230,8 @@ def test_predicates(spark):
     assert B.where_text(df, 'x1.role_id < x1.global_id and x1.body_type == "little"').count() == 1
     with pytest.raises(ValueError):
         B.where_text(df, "role_id in (select 1)")
+    with pytest.raises(ValueError):
+        B.where_text(df, "java_method('java.lang.System', 'exit', 0) is null")
     assert B.where_list(df, [("body_type", B.Lit("big")), (("role_id", "+", 1), ">", 3)]).count() == 1
 
 
