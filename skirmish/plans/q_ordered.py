@@ -221,7 +221,7 @@ def q_make_range(spark, sf):
 
 
 @query("range_order", f"""
-SELECT user_id, lower, upper, row_number() OVER (PARTITION BY user_id ORDER BY lower NULLS FIRST, upper NULLS LAST) AS pos
+SELECT user_id, lower, upper, CAST(row_number() OVER (PARTITION BY user_id ORDER BY lower NULLS FIRST, upper NULLS LAST) AS INTEGER) AS pos
 FROM ({ISLANDS_SQL})""")
 def q_range_order(spark, sf):
     from skirmish.functions.ranges import range_sort_key

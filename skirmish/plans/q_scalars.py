@@ -199,7 +199,7 @@ def q_humanize_count(spark, sf):
 
 
 @query("array_toolkit", """
-SELECT match_id, len(role_ids) AS n, array_to_string(role_ids[2:3], ',') AS middle,
+SELECT match_id, CAST(len(role_ids) AS INTEGER) AS n, array_to_string(role_ids[2:3], ',') AS middle,
        array_to_string(list_sort(list_reverse(team1_kungfu)), ',') AS sorted1,
        list_contains(team1_kungfu, 10021) AS has_click FROM matches""")
 def q_array_toolkit(spark, sf):
@@ -247,7 +247,7 @@ def q_role_ids_of(spark, sf):
     return x.select("match_id", F.array_join(H.role_ids_of(given, "roles"), ",").alias("role_ids"))
 
 
-@query("diff_date", "SELECT user_id, day, date_diff('day', DATE '2024-01-01', day) AS days FROM seen_days")
+@query("diff_date", "SELECT user_id, day, CAST(date_diff('day', DATE '2024-01-01', day) AS INTEGER) AS days FROM seen_days")
 def q_diff_date(spark, sf):
     s = Domain(spark, sf).seen_days
     return s.select("user_id", "day", diff_date("day", F.lit("2024-01-01").cast("date")).alias("days"))

@@ -19,6 +19,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else float(f"{v:.9g}")
@@ -62,6 +66,9 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
+    spark_types = dict(df.dtypes)
+    duck_types = {d[0]: str(d[1]).split("(")[0] for d in cur.description}
+    assert {c: TYPE_MAP.get(spark_types[c], spark_types[c]) for c in cols} == {c: duck_types[c] for c in cols}
     order = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in order) for r in cur.fetchall()]
     assert len(rows) == len(drows)
