@@ -166,17 +166,21 @@ def dictionary_versions(known: DataFrame, values: DataFrame, order: str, tag: st
                         value: str = "value") -> DataFrame:
     """Dense ids from 0 per tag in first-seen order: known values keep
     their ids; new distinct values get max(id)+1, +2, … by first appearance.
-    Output: tag, value, id, is_new. The window is per tag over its new
-    vocabulary only (bounded by the dictionary)."""
+    Output: tag, value, id, is_new.
+
+    Known and new values share one window per tag (its vocabulary: bounded by
+    the dictionary, not by the data); no join is needed for the max id."""
     firsts = values.groupBy(tag, value).agg(F.min(order).alias("_first"))
     new = firsts.join(known.select(tag, value), [tag, value], "left_anti")
-    top = known.groupBy(tag).agg(F.max("id").alias("_max"))
-    w = Window.partitionBy(tag).orderBy("_first", value)
-    n = (new.join(top, tag, "left")
-         .withColumn("id", (F.coalesce(F.col("_max"), F.lit(-1)) + F.row_number().over(w)).cast("long"))
-         .select(tag, value, "id", F.lit(True).alias("is_new")))
-    k = known.select(tag, value, F.col("id").cast("long").alias("id"), F.lit(False).alias("is_new"))
-    return k.unionByName(n)
+    first_type = firsts.schema["_first"].dataType
+    k = known.select(tag, value, F.col("id").cast("long").alias("id"), F.lit(None).cast(first_type).alias("_first"),
+                     F.lit(False).alias("is_new"))
+    n = new.select(tag, value, F.lit(None).cast("long").alias("id"), "_first", F.lit(True).alias("is_new"))
+    both = k.unionByName(n)
+    base = F.coalesce(F.max("id").over(Window.partitionBy(tag)), F.lit(-1).cast("long"))
+    rn = F.row_number().over(Window.partitionBy(tag, "is_new").orderBy("_first", value))
+    out = both.withColumn("id", F.when(F.col("is_new"), base + rn).otherwise(F.col("id")))
+    return out.select(tag, value, F.col("id").cast("long").alias("id"), "is_new")
 
 
 def score_history(perf_updates: DataFrame) -> DataFrame:
