@@ -37,6 +37,22 @@ def _read_before(spark: SparkSession, path: str, batch: int, schema) -> DataFram
     return spark.read.parquet(path).where(F.col(BATCH_COL) < batch).drop(BATCH_COL)
 
 
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batch ids present under ``path`` (folder names ``batch=<id>``; a
+    metadata listing on the driver, no data read)."""
+    if not _exists(spark, path):
+        return []
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = []
+    for st in p.getFileSystem(conf).listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(f"{BATCH_COL}="):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
 def seed(df: DataFrame, path: str) -> None:
     """Write the initial table as batch 0."""
     _write_batch(df, path, 0)
@@ -59,30 +75,54 @@ def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str
             .trigger(availableNow=True).start())
 
 
+SNAPSHOT_EVERY = 10  # batches between full state snapshots
+
+
 def stream_passport_changes(spark: SparkSession, landing: str, schema, log: str, state: str, checkpoint: str,
-                            null_safe: bool = False, max_files: int = 1) -> StreamingQuery:
+                            null_safe: bool = False, max_files: int = 1,
+                            snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """L2: the passport change log with the last row per role kept as state.
 
     Per micro-batch: the state rows of the keys in the batch are put in
     front of the batch rows, the change rule (E8) runs over both, and only
-    batch rows are logged; the new state (last row per key) is written as
-    the batch's version. Only keys present in the batch are touched."""
+    batch rows are logged. State is kept as per-batch deltas (last row per
+    key of that batch) plus a full snapshot every ``snapshot_every`` batches;
+    a batch reads the latest snapshot before it and the deltas after that,
+    so the state read does not grow with the stream's history."""
     keys, order = ["global_id"], ["inserted_at", "event_id"]
+    cols = ["global_id", "passport_id", "inserted_at", "event_id"]
+    last_of = lambda df: (df.groupBy(*keys)
+                          .agg(F.max_by(F.struct("passport_id", "inserted_at", "event_id"), F.struct(*order)).alias("s"))
+                          .select(*keys, "s.*"))
+
+    def state_before(b: int, rows_schema) -> DataFrame:
+        snaps = [i for i in _batch_ids(spark, f"{state}/snap") if i < b]
+        base = snaps[-1] if snaps else 0
+        parts = []
+        if snaps:
+            parts.append(spark.read.parquet(f"{state}/snap/{BATCH_COL}={base}"))
+        deltas = [i for i in _batch_ids(spark, f"{state}/delta") if base <= i < b]
+        if deltas:
+            parts.append(spark.read.parquet(f"{state}/delta").where(F.col(BATCH_COL).isin(deltas)).drop(BATCH_COL))
+        if not parts:
+            return spark.createDataFrame([], rows_schema)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return last_of(out)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         b = epoch_id + 1
-        rows = df.select("global_id", "passport_id", "inserted_at", "event_id")
-        prev = _read_before(spark, state, b, rows.schema)
-        # latest state row per key among earlier versions
-        last = prev.groupBy(*keys).agg(F.max_by(F.struct("passport_id", "inserted_at", "event_id"),
-                                                F.struct(*order)).alias("s")).select(*keys, "s.*")
+        rows = df.select(*cols)
+        last = state_before(b, rows.schema)
         touched = last.join(rows.select(*keys).distinct(), keys, "left_semi")
         both = touched.withColumn("_old", F.lit(True)).unionByName(rows.withColumn("_old", F.lit(False)))
         logged = change_log(both, "global_id", "passport_id", order, null_safe=null_safe)
         _write_batch(logged.where(~F.col("_old")).select("global_id", "passport_id", "inserted_at"), log, b)
-        new_last = rows.groupBy(*keys).agg(F.max_by(F.struct("passport_id", "inserted_at", "event_id"),
-                                                    F.struct(*order)).alias("s")).select(*keys, "s.*")
-        _write_batch(new_last, state, b)
+        delta = last_of(rows)
+        _write_batch(delta, f"{state}/delta", b)
+        if b % snapshot_every == 0:
+            _write_batch(last_of(last.unionByName(delta)), f"{state}/snap", b)
 
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -288,11 +288,13 @@ def test_stream_passport_state_across_batches(spark, tmp_path):
     spark.createDataFrame([(3, "g", "a", t(3)), (4, "g", "b", t(4)), (5, "h", "x", t(4))], schema) \
         .coalesce(1).write.parquet(f"{land}/f=1")
     s = spark.createDataFrame([], schema).schema
-    L.stream_passport_changes(spark, f"{land}/*", s, str(tmp_path / "log"), str(tmp_path / "state"),
-                              str(tmp_path / "ck")).awaitTermination()
-    got = sorted((r.global_id, r.passport_id) for r in L.read_table(spark, str(tmp_path / "log")).collect())
-    # 'a' is logged once (the repeat in batch 2 compares with the state), 'b' and 'x' once
-    assert got == [("g", "a"), ("g", "b"), ("h", "x")]
+    spark.createDataFrame([(6, "g", "b", t(5)), (7, "h", "y", t(6))], schema).coalesce(1).write.parquet(f"{land}/f=2")
+    for every in (10, 2):  # without and with a snapshot (after batch 2)
+        L.stream_passport_changes(spark, f"{land}/*", s, str(tmp_path / f"log{every}"), str(tmp_path / f"state{every}"),
+                                  str(tmp_path / f"ck{every}"), snapshot_every=every).awaitTermination()
+        got = sorted((r.global_id, r.passport_id) for r in L.read_table(spark, str(tmp_path / f"log{every}")).collect())
+        # 'a' is logged once (the repeat in batch 2 compares with the state), 'b' once, 'x' then 'y'
+        assert got == [("g", "a"), ("g", "b"), ("h", "x"), ("h", "y")]
 
 
 def test_change_log_keeps_null_keys_and_times(spark):
