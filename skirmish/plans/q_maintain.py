@@ -265,3 +265,14 @@ def q_attach_person(spark, sf):
         F.col("c_custkey").cast("string").alias("global_id"), F.col("c_nationkey").cast("string").alias("person_id"))
     return M.attach_person(d.roles.select("global_id", "name"), payload)
 
+
+
+@query("dictionary_find_ids", """
+SELECT rk.role_id, rk.kungfu, rk.total_count, i.id
+FROM role_kungfus rk LEFT JOIN items i ON i.tag = 'kungfu' AND i.content = '"' || rk.kungfu || '"'""")
+def q_dictionary_find_ids(spark, sf):
+    """I9, set form: class names of role_kungfus → dictionary ids (a join)."""
+    d = Domain(spark, sf)
+    rk = d.role_kungfus.select("role_id", "kungfu", "total_count",
+                               F.concat(F.lit('"'), F.col("kungfu"), F.lit('"')).alias("content"))
+    return M.find_ids(rk, "content", d.items, "kungfu").drop("content")
