@@ -42,8 +42,10 @@ def load_table(spark: SparkSession, url: str, table: str, *, driver: str | None
     if driver:
         reader = reader.option("driver", driver)
     if partition_column is not None:
-        if lower_bound is None or upper_bound is None or not num_partitions:
-            raise ValueError("partition_column needs lower_bound, upper_bound and num_partitions")
+        if not num_partitions:
+            raise ValueError("partition_column needs num_partitions")
+        if lower_bound is None or upper_bound is None:
+            lower_bound, upper_bound = jdbc_bounds(spark, url, table, partition_column, driver, extra)
         reader = (reader.option("partitionColumn", partition_column)
                   .option("lowerBound", str(lower_bound))
                   .option("upperBound", str(upper_bound))
@@ -53,6 +55,17 @@ def load_table(spark: SparkSession, url: str, table: str, *, driver: str | None
     return reader.load()
 
 
+def jdbc_bounds(spark: SparkSession, url: str, table: str, column: str, driver: str | None = None,
+                extra: dict | None = None) -> tuple[int, int]:
+    """Min and max of a numeric column, read by one small pushed-down query
+    (two numbers reach the driver), to split a JDBC scan into ranges."""
+    q = f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {table}) bounds"
+    r = load_table(spark, url, q, driver=driver, extra=extra).first()
+    if r is None or r["lo"] is None:
+        return 0, 0
+    return int(r["lo"]), int(r["hi"])
+
+
 def load_tables(spark: SparkSession, base: str, names: list[str] | None = None,
                 fmt: str = "parquet") -> dict[str, DataFrame]:
     """A2: the analysis tables by name (lazy; nothing is read here)."""
