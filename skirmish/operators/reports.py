@@ -223,8 +223,10 @@ def weighted_histogram(df: DataFrame, value: str, weight: str, bins: int) -> Dat
     """Σ weight in ``bins`` equal-width bins between min and max of
     value; the maximum falls in the last bin. Bounds are scalar subqueries
     (computed once, no join)."""
-    lo = df.select(F.min(F.col(value).cast("double"))).scalar()
-    hi = df.select(F.max(F.col(value).cast("double"))).scalar()
+    v0 = F.col(value).cast("double")
+    # one scalar subquery for both bounds (referenced twice, executed once)
+    bounds = df.select(F.struct(F.min(v0).alias("lo"), F.max(v0).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     v = F.col(value).cast("double")
     # width_bucket's rule, written out so the bin of an exact edge is fixed
     b = F.when(hi == lo, F.lit(1)).otherwise(
