@@ -74,7 +74,10 @@ def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame
     parts = parts.withColumn("role_id", F.col("role_id").cast("string"))
     mr_new = parts.select(*[F.col(c) if c in parts.columns else F.lit(None).cast(t).alias(c)
                             for c, t in match_roles.dtypes])
-    mr2 = match_roles.unionByName(mr_new.join(match_roles.select("match_id", "role_id"), ["match_id", "role_id"], "left_anti"))
+    # participant rows already stored for the new match ids (normally none): found by a semi join with
+    # the batch's ids (small, broadcast by AQE), so the stored table is not shuffled against the batch
+    stored = match_roles.select("match_id", "role_id").join(fresh.select("match_id"), "match_id", "left_semi")
+    mr2 = match_roles.unionByName(mr_new.join(stored, ["match_id", "role_id"], "left_anti"))
     n = parts.groupBy("role_id", "match_type").agg(F.count(F.lit(1)).alias("_n"))
     s2 = (scores.join(n, ["role_id", "match_type"], "left")
           .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
@@ -99,13 +102,17 @@ def insert_role_logs(target: DataFrame, seen: DataFrame, day: str = "day") -> Da
     """I4: add seen days to role logs keyed by (global_id, role_id, name,
     zone, server); rows without a global id are skipped; each key's
     ``seen`` set is merged (E7)."""
-    keys = list(KEY_DEFAULTS)
-    old = role_log_key(target).select(*keys, F.explode("seen").alias("seen"))
-    s = role_log_key(seen.where(F.col("global_id").isNotNull() & (F.col("global_id") != "")))
     from skirmish.functions.ranges import day_range
 
+    keys = list(KEY_DEFAULTS)
+    t = role_log_key(target).select(*keys, "seen")
+    s = role_log_key(seen.where(F.col("global_id").isNotNull() & (F.col("global_id") != "")))
     days = s.select(*keys, day_range(F.col(day)).alias("seen"))
-    return seen_sets(merge_seen_ranges(old.unionByName(days), keys), keys)
+    touched_keys = days.select(*keys).distinct()
+    # logs of keys without new days are kept as they are; only touched keys are re-merged
+    untouched = t.join(touched_keys, keys, "left_anti")
+    old = t.join(touched_keys, keys, "left_semi").select(*keys, F.explode("seen").alias("seen"))
+    return untouched.unionByName(seen_sets(merge_seen_ranges(old.unionByName(days), keys), keys))
 
 
 def route_roles(rows: DataFrame, level: str = "level"):
