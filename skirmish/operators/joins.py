@@ -90,12 +90,15 @@ def match_history(match_roles: DataFrame, matches: DataFrame, role_id: str | Non
     return mr.join(m, "match_id", "left").orderBy(F.col("start_time").asc_nulls_last(), "match_id", "role_id")
 
 
-def role_recent_kungfus(roles: DataFrame, match_roles: DataFrame, matches: DataFrame, n: int = 100) -> DataFrame:
-    """C12 + E2: each role's newest ``n`` matches with the class played."""
+def role_recent_kungfus(roles: DataFrame, match_roles: DataFrame, matches: DataFrame, n: int = 100,
+                        match_type: str | None = "3c") -> DataFrame:
+    """C12 + E2: each role's newest ``n`` matches (of one match type, 3c by
+    default) with the class played."""
     from skirmish.operators.ordered import last_n_per_key
 
     r = roles.select(F.col("global_id").alias("role_id"))
-    mr = match_roles.select("match_id", "role_id", "kungfu")
+    mr = match_roles if match_type is None else match_roles.where(F.col("match_type") == match_type)
+    mr = mr.select("match_id", "role_id", "kungfu")
     m = matches.select("match_id", "start_time")
     x = r.join(mr, "role_id", "inner").join(m, "match_id", "left")
     return last_n_per_key(x, "role_id", [F.col("start_time").desc_nulls_first(), F.col("match_id").desc()], n)

@@ -28,28 +28,37 @@ def last_n_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> Data
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def kungfu_usage_per_role(recent: DataFrame, pick: str = "most") -> DataFrame:
-    """Per role, class frequencies as a list sorted by (count, class),
-    plus the head class: the most used (``pick="most"``, default) or the
-    least used (``"least"``, the reference's ascending head, Q11). A role
-    with no matches has no row (Q19). The list is bounded by the classes."""
+def kungfu_usage_per_role(recent: DataFrame, kitems: DataFrame | None = None, pick: str = "most") -> DataFrame:
+    """Per role, class frequencies as a list sorted by (count, class
+    name, class id) — names from the class items, an unknown class has a
+    NULL name and sorts first among equal counts — plus the head class:
+    the most used (``pick="most"``, default; ties → first by name) or the
+    least used (``"least"``, the reference's ascending head, Q11). A role with
+    no matches has no row (Q19). The list is bounded by the classes."""
     c = recent.where(F.col("kungfu").isNotNull()).groupBy("role_id", "kungfu").agg(F.count(F.lit(1)).alias("count"))
-    g = c.groupBy("role_id").agg(F.array_sort(F.collect_list(F.struct("count", "kungfu"))).alias("usage"))
+    if kitems is not None:
+        names = kitems.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("kungfu")).agg(
+            F.min("content").alias("name"))
+        c = c.join(names, "kungfu", "left")
+    else:
+        c = c.withColumn("name", F.lit(None).cast("string"))
+    g = c.groupBy("role_id").agg(F.array_sort(F.collect_list(F.struct("count", "name", "kungfu"))).alias("usage"))
     if pick == "least":
-        head = F.element_at("usage", 1)["kungfu"]
+        head = F.element_at("usage", 1)
     elif pick == "most":
-        # highest count; among equal counts the smallest class id
         best = F.array_max(F.transform("usage", lambda u: u["count"]))
-        head = F.array_min(F.transform(F.filter("usage", lambda u: u["count"] == best), lambda u: u["kungfu"]))
+        head = F.element_at(F.filter("usage", lambda u: u["count"] == best), 1)
     else:
         raise ValueError("pick must be 'most' or 'least'")
-    return g.withColumn("head_kungfu", head)
+    return g.withColumn("head_kungfu", head["kungfu"]).withColumn("head_name", head["name"])
 
 
 def search_kungfu(top: DataFrame, usage: DataFrame, kungfu, limit: int = 100) -> DataFrame:
     """Of the top roles (C7 over ``search`` roles), those whose head class
-    is ``kungfu``, best first, at most ``limit``."""
-    u = usage.where(F.col("head_kungfu") == kungfu).select("role_id", "head_kungfu")
+    is ``kungfu`` (a class name, or an id when an int is given), best first,
+    at most ``limit``."""
+    col = "head_kungfu" if isinstance(kungfu, int) else "head_name"
+    u = usage.where(F.col(col) == kungfu).select("role_id", "head_kungfu", "head_name")
     return top.join(u, "role_id", "inner").orderBy("ranking").limit(limit)
 
 

@@ -98,7 +98,8 @@ RECENT_SQL = """
 SELECT role_id, match_id, kungfu, start_time FROM (
   SELECT r.global_id AS role_id, mr.match_id, mr.kungfu, m.start_time,
          row_number() OVER (PARTITION BY r.global_id ORDER BY m.start_time DESC NULLS FIRST, mr.match_id DESC) AS rn
-  FROM roles r JOIN match_roles mr ON mr.role_id = r.global_id LEFT JOIN matches m ON m.match_id = mr.match_id)
+  FROM roles r JOIN match_roles mr ON mr.role_id = r.global_id LEFT JOIN matches m ON m.match_id = mr.match_id
+  WHERE mr.match_type = '3c')
 WHERE rn <= 100"""
 
 

@@ -33,41 +33,52 @@ def q_last_n_per_role(spark, sf):
 
 
 USAGE_SQL = f"""
-SELECT role_id, string_agg(CAST(count AS VARCHAR) || ':' || CAST(kungfu AS VARCHAR), ';' ORDER BY count, kungfu) AS usage,
-       {{head}} AS head_kungfu
-FROM (SELECT role_id, kungfu, count(*) AS count FROM ({RECENT_SQL}) WHERE kungfu IS NOT NULL GROUP BY role_id, kungfu)
+SELECT role_id, string_agg(CAST(count AS VARCHAR) || ':' || coalesce(name, ''), ';' ORDER BY count, name NULLS FIRST, kungfu)
+         AS usage,
+       max(kungfu) FILTER (WHERE rn = 1) AS head_kungfu, max(name) FILTER (WHERE rn = 1) AS head_name
+FROM (SELECT u.*, row_number() OVER (PARTITION BY role_id ORDER BY {{head}}) AS rn
+      FROM (SELECT c.role_id, c.kungfu, c.count, n.name
+            FROM (SELECT role_id, kungfu, count(*) AS count FROM ({RECENT_SQL}) WHERE kungfu IS NOT NULL
+                  GROUP BY role_id, kungfu) c
+            LEFT JOIN (SELECT id, min(content) AS name FROM kungfu_items WHERE id IS NOT NULL GROUP BY id) n
+              ON n.id = c.kungfu) u)
 GROUP BY role_id"""
-USAGE_MOST = USAGE_SQL.format(head="arg_min(kungfu, (-count, kungfu))")
-USAGE_LEAST = USAGE_SQL.format(head="arg_min(kungfu, (count, kungfu))")
+USAGE_MOST = USAGE_SQL.format(head="count DESC, name NULLS FIRST, kungfu")
+USAGE_LEAST = USAGE_SQL.format(head="count, name NULLS FIRST, kungfu")
 
 
 def flat_usage(df):
     return df.select("role_id", F.array_join(F.transform(
-        "usage", lambda u: F.concat(u["count"].cast("string"), F.lit(":"), u["kungfu"].cast("string"))), ";").alias("usage"),
-        "head_kungfu")
+        "usage", lambda u: F.concat(u["count"].cast("string"), F.lit(":"), F.coalesce(u["name"], F.lit("")))), ";")
+        .alias("usage"), "head_kungfu", "head_name")
+
+
+def usage(d: Domain, pick: str):
+    from skirmish.plans.q_reports import kitems
+
+    return E.kungfu_usage_per_role(recent(d), kitems(d), pick=pick)
 
 
 @query("kungfu_usage_per_role", USAGE_MOST)
 def q_usage(spark, sf):
-    return flat_usage(E.kungfu_usage_per_role(recent(Domain(spark, sf)), pick="most"))
+    return flat_usage(usage(Domain(spark, sf), "most"))
 
 
 @query("kungfu_usage_least", USAGE_LEAST)
 def q_usage_least(spark, sf):
-    return flat_usage(E.kungfu_usage_per_role(recent(Domain(spark, sf)), pick="least"))
+    return flat_usage(usage(Domain(spark, sf), "least"))
 
 
-SEARCH_KUNGFU = 10021
+SEARCH_KUNGFU = "tianluo"
 
 
 @query("search_kungfu", f"""
-SELECT t.*, u.head_kungfu FROM ({TOP_SQL.format(n=SEARCH)}) t JOIN ({USAGE_MOST}) u ON u.role_id = t.role_id
-WHERE u.head_kungfu = {SEARCH_KUNGFU} ORDER BY t.ranking LIMIT 100""")
+SELECT t.*, u.head_kungfu, u.head_name FROM ({TOP_SQL.format(n=SEARCH)}) t JOIN ({USAGE_MOST}) u ON u.role_id = t.role_id
+WHERE u.head_name = '{SEARCH_KUNGFU}' ORDER BY t.ranking LIMIT 100""")
 def q_search_kungfu(spark, sf):
     d = Domain(spark, sf)
     top = C.top_roles(d.roles, d.scores, limit=SEARCH)
-    usage = E.kungfu_usage_per_role(recent(d), pick="most")
-    return E.search_kungfu(top, usage, SEARCH_KUNGFU, limit=100)
+    return E.search_kungfu(top, usage(d, "most"), SEARCH_KUNGFU, limit=100)
 
 
 @query("infer_teams", """
