@@ -23,6 +23,7 @@ REFRESH_SCORE_SPLIT = 2200          # score below → the slow lane
 REFRESH_SLOW_AGE_SECONDS = 6 * 24 * 3600
 REFRESH_SLOW_BATCH = 100
 REFRESH_FAST_AGE_SECONDS = 18 * 3600
+REFRESH_UNKNOWN_TOTAL = 1000        # total_count assumed when unknown
 # ---------------------------------------------------------------------------
 
 
@@ -158,7 +159,8 @@ def refresh_due(scores: DataFrame, as_of: str) -> DataFrame:
 
     score < 2200 → due if never fetched or older than 6 days, batch 100;
     otherwise (NULL score included) due if never fetched or older than 18
-    hours, batch = total_count − fetched_to (NULL counts as 0)."""
+    hours, batch = total_count − fetched_to (unknown total → 1000, NULL
+    fetched_to → 0)."""
     from skirmish.functions.scalars import epoch_micros
 
     age = (epoch_micros(F.lit(as_of)) - epoch_micros("fetched_at")) / 1_000_000
@@ -166,7 +168,8 @@ def refresh_due(scores: DataFrame, as_of: str) -> DataFrame:
     never = F.col("fetched_at").isNull()
     due = F.when(slow, never | (age > REFRESH_SLOW_AGE_SECONDS)).otherwise(never | (age > REFRESH_FAST_AGE_SECONDS))
     batch = F.when(slow, F.lit(REFRESH_SLOW_BATCH).cast("long")).otherwise(
-        F.coalesce(F.col("total_count"), F.lit(0)).cast("long") - F.coalesce(F.col("fetched_to"), F.lit(0)).cast("long"))
+        F.coalesce(F.col("total_count"), F.lit(REFRESH_UNKNOWN_TOTAL)).cast("long")
+        - F.coalesce(F.col("fetched_to"), F.lit(0)).cast("long"))
     return scores.where(due).select("role_id", "match_type", batch.alias("limit"))
 
 

@@ -102,7 +102,7 @@ def q_paged(spark, sf):
 @query("refresh_due", f"""
 SELECT role_id, match_type,
   CASE WHEN score IS NOT NULL AND score < 2200 THEN 100
-       ELSE coalesce(total_count, 0) - coalesce(fetched_to, 0) END AS "limit"
+       ELSE coalesce(total_count, 1000) - coalesce(fetched_to, 0) END AS "limit"
 FROM scores
 WHERE CASE WHEN score IS NOT NULL AND score < 2200
            THEN fetched_at IS NULL OR epoch_us(TIMESTAMP '{AS_OF_SCORES}') - epoch_us(fetched_at) > CAST(6 * 24 * 3600 AS BIGINT) * 1000000
