@@ -22,8 +22,8 @@ def scores_with_kungfus(scores: DataFrame, role_kungfus: DataFrame) -> DataFrame
     return scores.join(rk, ["role_id", "match_type"], "inner")
 
 
-def roles_with_scores(roles: DataFrame, scores: DataFrame, match_type: str,
-                      offset: int = 0, limit: int | None = None) -> DataFrame:
+def roles_with_scores(roles: DataFrame, scores: DataFrame, match_type: str = "3c",
+                      offset: int = 0, limit: int | None = 5000) -> DataFrame:
     """Roles ⟕ scores, kept when the score is of ``match_type`` or
     absent; score DESC NULLS LAST (role id breaks ties); paged (Q3: the
     limit is applied)."""
@@ -36,7 +36,8 @@ def roles_with_scores(roles: DataFrame, scores: DataFrame, match_type: str,
 def top_roles(roles: DataFrame, scores: DataFrame, limit: int = 200, match_type: str = "3c",
               keep_null_scores: bool = False) -> DataFrame:
     """C7 + E1: the best roles of a match type: win_rate, score, role_id,
-    ranking (1-based), name, force.
+    ranking (the score row's own ranking), name, force, and position (the
+    1-based place in the list, E1).
 
     Default drops NULL scores; ``keep_null_scores=True`` keeps them first, as
     PostgreSQL's DESC does (Q4). The sort is a distributed top-k
@@ -45,14 +46,14 @@ def top_roles(roles: DataFrame, scores: DataFrame, limit: int = 200, match_type:
     s = scores.where(F.col("match_type") == match_type)
     if not keep_null_scores:
         s = s.where(F.col("score").isNotNull())
-    s = s.select(F.col("role_id"), "score", win_rate("win_count", "total_count").alias("win_rate"))
+    s = s.select(F.col("role_id"), "score", "ranking", win_rate("win_count", "total_count").alias("win_rate"))
     r = roles.select(F.col("global_id").alias("role_id"), "name", "force")
     order = [F.col("score").desc_nulls_first(), F.col("role_id")]
     top = s.join(r, "role_id", "inner").orderBy(*order).limit(limit)
-    return with_rank(top, order)
+    return with_rank(top, order, "position")
 
 
-def with_rank(df: DataFrame, order: list, col: str = "ranking") -> DataFrame:
+def with_rank(df: DataFrame, order: list, col: str = "position") -> DataFrame:
     """1-based position in a sorted, already small (top-k) frame."""
     return df.withColumn(col, F.row_number().over(Window.orderBy(*order)))
 

@@ -59,7 +59,7 @@ def search_kungfu(top: DataFrame, usage: DataFrame, kungfu, limit: int = 100) ->
     at most ``limit``."""
     col = "head_kungfu" if isinstance(kungfu, int) else "head_name"
     u = usage.where(F.col(col) == kungfu).select("role_id", "head_kungfu", "head_name")
-    return top.join(u, "role_id", "inner").orderBy("ranking").limit(limit)
+    return top.join(u, "role_id", "inner").orderBy("position").limit(limit)
 
 
 # --------------------------------------------------------------------- E5

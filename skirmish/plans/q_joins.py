@@ -32,8 +32,8 @@ def q_roles_with_scores(spark, sf):
 
 
 TOP_SQL = """
-SELECT round(s.win_count / s.total_count, 3) AS win_rate, s.score, s.role_id,
-       CAST(row_number() OVER (ORDER BY s.score DESC, s.role_id) AS INTEGER) AS ranking, r.name, r.force
+SELECT round(s.win_count / s.total_count, 3) AS win_rate, s.score, s.role_id, s.ranking, r.name, r.force,
+       CAST(row_number() OVER (ORDER BY s.score DESC, s.role_id) AS INTEGER) AS position
 FROM scores s JOIN roles r ON r.global_id = s.role_id
 WHERE s.match_type = '3c' AND s.score IS NOT NULL
 ORDER BY s.score DESC, s.role_id LIMIT {n}"""
@@ -47,8 +47,8 @@ def q_top_roles(spark, sf):
 
 @query("top_roles_null_first", """
 SELECT * FROM (
-SELECT round(s.win_count / s.total_count, 3) AS win_rate, s.score, s.role_id,
-       CAST(row_number() OVER (ORDER BY s.score DESC NULLS FIRST, s.role_id) AS INTEGER) AS ranking, r.name, r.force
+SELECT round(s.win_count / s.total_count, 3) AS win_rate, s.score, s.role_id, s.ranking, r.name, r.force,
+       CAST(row_number() OVER (ORDER BY s.score DESC NULLS FIRST, s.role_id) AS INTEGER) AS position
 FROM scores s JOIN roles r ON r.global_id = s.role_id
 WHERE s.match_type = '3c'
 ORDER BY s.score DESC NULLS FIRST, s.role_id LIMIT 200)""")

@@ -74,7 +74,7 @@ SEARCH_KUNGFU = "tianluo"
 
 @query("search_kungfu", f"""
 SELECT t.*, u.head_kungfu, u.head_name FROM ({TOP_SQL.format(n=SEARCH)}) t JOIN ({USAGE_MOST}) u ON u.role_id = t.role_id
-WHERE u.head_name = '{SEARCH_KUNGFU}' ORDER BY t.ranking LIMIT 100""")
+WHERE u.head_name = '{SEARCH_KUNGFU}' ORDER BY t.position LIMIT 100""")
 def q_search_kungfu(spark, sf):
     d = Domain(spark, sf)
     top = C.top_roles(d.roles, d.scores, limit=SEARCH)

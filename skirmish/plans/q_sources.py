@@ -84,7 +84,7 @@ def q_replay_with_match(spark, sf):
 @query("take_rows")
 def q_take_rows(spark, sf):
     d = Domain(spark, sf)
-    return S.take_rows(top_roles(d.roles, d.scores, limit=S.DEFAULT_TAKE), order=["ranking"])
+    return S.take_rows(top_roles(d.roles, d.scores, limit=S.DEFAULT_TAKE), order=["position"])
 
 
 @query("union_rows", """

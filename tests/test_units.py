@@ -102,11 +102,13 @@ def test_win_rate_zero_and_null_total(spark):
 
 def test_top_roles_null_score_edge(spark):
     roles = spark.createDataFrame([(str(i), f"n{i}", "f") for i in range(4)], "global_id string, name string, force string")
-    scores = spark.createDataFrame([("0", "3c", None, 1, 1), ("1", "3c", 2000, 2, 1), ("2", "3c", 2000, 2, 2),
-                                    ("3", "3c", 1000, 1, 0)],
-                                   "role_id string, match_type string, score int, total_count long, win_count long")
+    scores = spark.createDataFrame([("0", "3c", None, 1, 1, 4), ("1", "3c", 2000, 2, 1, 2), ("2", "3c", 2000, 2, 2, 2),
+                                    ("3", "3c", 1000, 1, 0, None)],
+                                   "role_id string, match_type string, score int, total_count long, win_count long, "
+                                   "ranking int")
     top = C.top_roles(roles, scores, limit=2).collect()
-    assert [(r.role_id, r.ranking) for r in top] == [("1", 1), ("2", 2)]
+    # position is the place in the list; ranking is the score row's own (ties allowed)
+    assert [(r.role_id, r.position, r.ranking) for r in top] == [("1", 1, 2), ("2", 2, 2)]
     top_nf = C.top_roles(roles, scores, limit=2, keep_null_scores=True).collect()
     assert [r.role_id for r in top_nf] == ["0", "1"]
 
