@@ -146,11 +146,14 @@ def combine_with(l1: DataFrame, l2: DataFrame, keys: list[str], order: str | Non
 def kungfu_stats_merge(metrics: DataFrame, skills: DataFrame, role_id: str | None = None,
                        match_type: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """C14 of class metrics and class skills; a metrics-only row with
-    total_count = 0 is dropped; role_id/match_type added when given."""
+    total_count = 0 is dropped (a NULL total is kept); role_id/match_type
+    added when given."""
     keys = keys or ["kungfu"]
     # the marker rides along the one full outer join (no second join)
     x = combine_with(metrics, skills.withColumn("_has_skills", F.lit(True)), keys)
-    x = x.where(F.col("_has_skills").isNotNull() | (F.coalesce(F.col("total_count"), F.lit(0)) != 0)).drop("_has_skills")
+    # only a metrics-only row whose total_count is exactly 0 is dropped (NULL is kept)
+    drop = F.col("_has_skills").isNull() & F.col("total_count").isNotNull() & (F.col("total_count") == 0)
+    x = x.where(~drop).drop("_has_skills")
     if role_id is not None:
         x = x.withColumn("role_id", F.lit(role_id))
     if match_type is not None:

@@ -116,8 +116,9 @@ def insert_role_logs(target: DataFrame, seen: DataFrame, day: str = "day") -> Da
 
 
 def route_roles(rows: DataFrame, level: str = "level"):
-    """Level-100 roles → (roles, lamb_roles) split."""
-    full = F.coalesce(F.col(level) == LEVEL_FULL, F.lit(False))
+    """Level-100 roles → (roles, lamb_roles) split; the level may arrive as
+    text or as a number, so it is compared as text."""
+    full = F.coalesce(F.trim(F.col(level).cast("string")) == str(LEVEL_FULL), F.lit(False))
     return rows.where(full), rows.where(~full)
 
 

@@ -147,7 +147,7 @@ FROM (SELECT role_id, kungfu, CASE WHEN win_count = 0 THEN 0 ELSE total_count EN
       FROM role_kungfus) m
 FULL OUTER JOIN (SELECT role_id, kungfu, total_count AS skill_count FROM role_kungfus WHERE total_count >= 3) k
 ON m.role_id = k.role_id AND m.kungfu = k.kungfu
-WHERE k.role_id IS NOT NULL OR coalesce(m.total_count, 0) <> 0""")
+WHERE k.role_id IS NOT NULL OR m.total_count IS NULL OR m.total_count <> 0""")
 def q_kungfu_stats_merge(spark, sf):
     rk = Domain(spark, sf).role_kungfus
     metrics = rk.select("role_id", "kungfu", F.when(F.col("win_count") == 0, F.lit(0).cast("long"))

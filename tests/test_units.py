@@ -306,3 +306,19 @@ def test_change_log_keeps_null_keys_and_times(spark):
     got = sorted((r.global_id or "", r.passport_id, r.event_id)
                  for r in E.change_log(df, "global_id", "passport_id", ["inserted_at", "event_id"]).collect())
     assert got == [("", "a", 1), ("", "b", 2), ("g", "a", 3)]
+
+
+def test_route_roles_text_or_number_level(spark):
+    df = spark.createDataFrame([("a", "100"), ("b", " 100"), ("c", "99"), ("d", None), ("e", "x")],
+                               "global_id string, level string")
+    full, lamb = M.route_roles(df)
+    assert sorted(r.global_id for r in full.collect()) == ["a", "b"]
+    assert sorted(r.global_id for r in lamb.collect()) == ["c", "d", "e"]
+
+
+def test_stats_merge_drops_only_zero_totals(spark):
+    metrics = spark.createDataFrame([("k1", 0, 1), ("k2", None, 2), ("k3", 5, 3), ("k4", 0, 4)],
+                                    "kungfu string, total_count int, win_count int")
+    skills = spark.createDataFrame([("k4", 7), ("k5", 8)], "kungfu string, skill_count int")
+    out = sorted(r.kungfu for r in C.kungfu_stats_merge(metrics, skills, role_id="r", match_type="3c").collect())
+    assert out == ["k2", "k3", "k4", "k5"]
