@@ -64,10 +64,11 @@ def unknown_roles(roles: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def roles_needing_scores(roles: DataFrame, scores: DataFrame, match_roles: DataFrame,
-                         offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Roles with no score that played a match; one row per role,
-    ordered by id, paged."""
-    played = match_roles.select(F.col("role_id").alias("global_id"))
+                         offset: int = 0, limit: int | None = None, match_type: str | None = "3c") -> DataFrame:
+    """Roles with no score that played a match (of ``match_type``, 3c by
+    default); one row per role, ordered by id, paged."""
+    mr = match_roles if match_type is None else match_roles.where(F.col("match_type") == match_type)
+    played = mr.select(F.col("role_id").alias("global_id"))
     x = unknown_roles(roles, scores).join(played, "global_id", "left_semi").orderBy("global_id")
     return page(x, limit, offset)
 

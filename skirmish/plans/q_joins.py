@@ -67,7 +67,7 @@ def q_unknown_roles(spark, sf):
 @query("roles_needing_scores", """
 SELECT r.global_id, r.name FROM roles r
 WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.role_id = r.global_id)
-  AND EXISTS (SELECT 1 FROM match_roles m WHERE m.role_id = r.global_id)
+  AND EXISTS (SELECT 1 FROM match_roles m WHERE m.role_id = r.global_id AND m.match_type = '3c')
 ORDER BY r.global_id LIMIT 100""")
 def q_roles_needing_scores(spark, sf):
     d = Domain(spark, sf)
