@@ -174,9 +174,10 @@ def winner_of(team1_won: ColumnOrName) -> Column:
 
 
 def mean_team_score(team_score: ColumnOrName, team_size: ColumnOrName | int = 3) -> Column:
-    """Integer mean of a team score (divides by 3 unless a size is given)."""
+    """Integer mean of a team score, truncated toward zero like integer
+    division (divides by 3 unless a size is given)."""
     size = F.lit(team_size) if isinstance(team_size, int) else _c(team_size)
-    return F.when(size == 0, F.lit(None)).otherwise(F.floor(_c(team_score) / size)).cast("long")
+    return F.when(size == 0, F.lit(None)).otherwise((_c(team_score) / size).cast("long"))
 
 
 def humanize_count(c: ColumnOrName) -> Column:

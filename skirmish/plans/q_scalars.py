@@ -176,7 +176,7 @@ def q_winner_of(spark, sf):
 
 
 @query("mean_team_score", """
-SELECT match_id, CAST(floor(team1_score / 3) AS BIGINT) AS mean1, CAST(floor(team2_score / 2) AS BIGINT) AS mean2 FROM matches""")
+SELECT match_id, CAST(trunc(team1_score / 3) AS BIGINT) AS mean1, CAST(trunc(team2_score / 2) AS BIGINT) AS mean2 FROM matches""")
 def q_mean_team_score(spark, sf):
     m = Domain(spark, sf).matches
     return m.select("match_id", H.mean_team_score("team1_score").alias("mean1"),

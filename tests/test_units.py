@@ -322,3 +322,29 @@ def test_stats_merge_drops_only_zero_totals(spark):
     skills = spark.createDataFrame([("k4", 7), ("k5", 8)], "kungfu string, skill_count int")
     out = sorted(r.kungfu for r in C.kungfu_stats_merge(metrics, skills, role_id="r", match_type="3c").collect())
     assert out == ["k2", "k3", "k4", "k5"]
+
+
+def test_mean_team_score_truncates_toward_zero(spark):
+    df = spark.createDataFrame([(7,), (-7,), (None,)], "s int")
+    assert [r.m for r in df.select(H.mean_team_score("s").alias("m")).collect()] == [2, -2, None]
+
+
+def test_insert_matches_is_idempotent(spark):
+    m_schema = "match_id long, match_type string, grade int"
+    mr_schema = "match_id long, role_id string, kungfu int, match_type string"
+    s_schema = "role_id string, match_type string, fetched_count int"
+    matches = spark.createDataFrame([(1, "3c", 5)], m_schema)
+    mroles = spark.createDataFrame([(1, "a", 10, "3c")], mr_schema)
+    scores = spark.createDataFrame([("a", "3c", 1), ("b", "3c", None), ("c", "3c", 0)], s_schema)
+    new = spark.createDataFrame([(1, "3c", 5, [("a", 10)]), (2, "3c", 6, [("b", 11), ("c", 12)]),
+                                 (2, "3c", 6, [("b", 11), ("c", 12)])],
+                                "match_id long, match_type string, grade int, roles array<struct<role_id:string,kungfu:int>>")
+    m2, mr2, s2 = M.insert_matches(matches, mroles, scores, new)
+    assert sorted(r.match_id for r in m2.collect()) == [1, 2]
+    assert sorted((r.match_id, r.role_id) for r in mr2.collect()) == [(1, "a"), (2, "b"), (2, "c")]
+    # b's NULL count stays NULL (NULL + 1), c counts its one new participation
+    assert sorted((r.role_id, r.fetched_count) for r in s2.collect()) == [("a", 1), ("b", None), ("c", 1)]
+    m3, mr3, s3 = M.insert_matches(m2, mr2, s2, new)
+    assert sorted(map(str, m3.collect())) == sorted(map(str, m2.collect()))
+    assert sorted(map(str, mr3.collect())) == sorted(map(str, mr2.collect()))
+    assert sorted(map(str, s3.collect())) == sorted(map(str, s2.collect()))
