@@ -119,8 +119,9 @@ def q_roles_of_ungraded(spark, sf):
 
 def _combine_sides(d: Domain):
     rk = d.role_kungfus
-    l1 = rk.where(F.col("total_count") % 2 == 0).select("role_id", "kungfu", "total_count", "win_count")
-    l2 = rk.where(F.col("win_count") % 2 == 0).select(
+    # l1: classes a role has won with; l2: classes played at least 3 times (overlapping key sets)
+    l1 = rk.where(F.col("win_count") > 0).select("role_id", "kungfu", "total_count", "win_count")
+    l2 = rk.where(F.col("total_count") >= 3).select(
         "role_id", "kungfu", (F.col("total_count") * 10).alias("total_count"),
         F.when(F.col("win_count") > 2, F.col("win_count") + 1).alias("win_count"), F.lit("l2").alias("note"))
     return l1, l2
@@ -130,10 +131,10 @@ def _combine_sides(d: Domain):
 SELECT coalesce(l1.role_id, l2.role_id) AS role_id, coalesce(l1.kungfu, l2.kungfu) AS kungfu,
        coalesce(l1.total_count, l2.total_count) AS total_count, coalesce(l1.win_count, l2.win_count) AS win_count,
        l2.note
-FROM (SELECT role_id, kungfu, total_count, win_count FROM role_kungfus WHERE total_count % 2 = 0) l1
+FROM (SELECT role_id, kungfu, total_count, win_count FROM role_kungfus WHERE win_count > 0) l1
 FULL OUTER JOIN (SELECT role_id, kungfu, total_count * 10 AS total_count,
                         CASE WHEN win_count > 2 THEN win_count + 1 END AS win_count, 'l2' AS note
-                 FROM role_kungfus WHERE win_count % 2 = 0) l2
+                 FROM role_kungfus WHERE total_count >= 3) l2
 ON l1.role_id = l2.role_id AND l1.kungfu = l2.kungfu""")
 def q_combine_with(spark, sf):
     l1, l2 = _combine_sides(Domain(spark, sf))
