@@ -312,3 +312,22 @@ def q_landed_history(spark, sf):
     path = scratch_path(spark, "landed-history")
     J.write_payloads(history_payloads(Domain(spark, sf)).select("match_type", "payload"), path, ["match_type"])
     return J.flatten_role_history(J.read_payloads(spark, path))
+
+
+@query("ingest_match_details", f"SELECT {MATCH_COLS_SQL} FROM matches")
+def q_ingest_match_details(spark, sf):
+    """§3.3 end to end: landed match details → flattened (J9) → inserted into
+    the stored matches when absent (I2); the stored part is the first half
+    of the month, the landed part re-delivers every match."""
+    from skirmish.functions.scalars import epoch_seconds
+    from skirmish.operators import maintain as M
+    from skirmish.plans.q_ordered import HALF_MONTH
+
+    d = Domain(spark, sf)
+    new, roles = J.flatten_match_detail(detail_payloads(d))
+    players = roles.select("match_id", F.struct(F.col("global_id").alias("role_id"), "team", "kungfu", "score2").alias("p"))
+    new = new.join(players.groupBy("match_id").agg(F.collect_list("p").alias("roles")), "match_id")
+    old = d.matches.where(F.col("start_time") < epoch_seconds(F.lit(HALF_MONTH)))
+    old_mr = d.match_roles.join(old.select("match_id"), "match_id", "left_semi")
+    m2, _mr2, _s2 = M.insert_matches(old, old_mr, d.scores, new.select(*d.matches.columns, "roles"))
+    return flat_matches(m2)

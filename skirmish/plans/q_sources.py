@@ -122,3 +122,19 @@ def q_tagged_report_set(spark, sf):
     games = F.aggregate(F.transform("content", lambda x: F.get_json_object(x, "$.count").cast("long")),
                         F.lit(0).cast("long"), lambda a, b: a + b)
     return docs.select("tag", F.size("content").cast("long").alias("n"), games.alias("games"))
+
+
+RECENT_LOG_ID = 10
+
+
+@query("replay_analysis", f"""
+SELECT value, count(*) AS count FROM (
+  SELECT conv_id, list(role ORDER BY turn, role)[1] AS value FROM conversations WHERE conv_id > {RECENT_LOG_ID}
+  GROUP BY conv_id) GROUP BY value""")
+def q_replay_analysis(spark, sf):
+    """§3.4 end to end: recent match logs (B2) → parse (A5) → first skill
+    (K1) → counts (D18)."""
+    from skirmish.operators.filters import recent_matches
+
+    logs = recent_matches(Domain(spark, sf).match_logs, RECENT_LOG_ID)
+    return R.first_skill_count(P.parse_replay(logs))
