@@ -66,7 +66,7 @@ def dimension_rows() -> list[tuple[str, str, str, int]]:
 
 def class_dimension(spark: SparkSession) -> DataFrame:
     """A4: the dimension as a DataFrame (23 rows, built on the driver once)."""
-    return spark.createDataFrame(dimension_rows(), DIM_SCHEMA)
+    return local_dimension(spark, dimension_rows(), DIM_SCHEMA)
 
 
 def dimension_values_sql() -> str:
@@ -76,3 +76,17 @@ def dimension_values_sql() -> str:
 
     rows = ", ".join(f"({q(c)}, {q(k)}, {q(s)}, {r})" for c, k, s, r in dimension_rows())
     return f"SELECT * FROM (VALUES {rows}) AS t(content, kungfu, short, rank)"
+
+
+def local_dimension(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A4 (general form): a small driver-side table as a DataFrame, with an
+    explicit schema (no inference). Meant for fixed dimensions like the class
+    table; join it with ``F.broadcast`` — its size is known."""
+    return spark.createDataFrame(rows, schema)
+
+
+def dump_json(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` (its argument, Q9) as JSON text, one per row."""
+    from pyspark.sql import functions as F
+
+    return df.select(F.to_json(F.struct("*")).alias("value"))
