@@ -75,3 +75,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings sized for a large run (e.g. 100 TB over ~1000 executors).
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least 3 waves of the cluster's cores), and AQE coalesces them
+    down to the advisory size after each shuffle; file splits match the same
+    size, and skew splitting starts at twice it. Returned as a dict for
+    ``SparkSession.builder.config`` or ``spark.conf.set``."""
+    parts = max(int(input_bytes // target_partition_bytes), 3 * total_cores, 1)
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }
