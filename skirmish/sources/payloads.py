@@ -65,10 +65,13 @@ TEAM = st(("won", B), ("players_info", arr(PLAYER)))
 MATCH_DETAIL = st(("match_id", L), ("basic_info", st(("start_time", L), ("duration", I), ("map", S), ("type", I),
                                                      ("grade", I))), ("team1", TEAM), ("team2", TEAM))
 
-# Fields of an armor entry that are not part of its dictionary content.
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference's): fields of an armor / talent
+# entry that are not part of its dictionary content.
 ARMOR_DROPPED = ["strength_evel", "strength_level", "permanent_enchant", "temporary_enchant",
                  "mount1", "mount2", "mount3", "mount4", "mount5", "pos"]
 TALENT_DROPPED = ["level"]
+# ---------------------------------------------------------------------------
 
 
 def read_payloads(spark, path: str) -> DataFrame:
