@@ -90,3 +90,15 @@ def read_match_type(df: DataFrame, match_type: str) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store a match table partitioned by ``match_type`` (for A3 pruning)."""
     df.write.mode(mode).partitionBy("match_type").parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None,
+                   mode: str = "overwrite") -> DataFrame:
+    """Store a table bucketed and sorted by ``key`` (a catalog table at
+    ``path``): tables bucketed alike on the join key (matches, match_roles,
+    match_logs on match_id) join without a shuffle. Returns the table."""
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(name)
+    return df.sparkSession.table(name)

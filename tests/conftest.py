@@ -12,6 +12,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from skirmish.session import build_session
 
-    s = build_session(master="local[4]", app="skirmish-tests", shuffle_partitions=4)
+    import tempfile
+
+    warehouse = tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp")
+    s = build_session(master="local[4]", app="skirmish-tests", shuffle_partitions=4,
+                      extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()

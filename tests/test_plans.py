@@ -47,3 +47,25 @@ def test_report_is_one_aggregation_round(spark):
     rep = R.team_kungfu_report(R.label_teams(t, R.day_team_map(t)))
     plan = plan_of(rep.select("grade", F.col("team_count")))
     assert "pivotfirst" not in plan.lower()
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    from skirmish.sources.fixtures import Domain
+    from skirmish.sources.tables import write_bucketed
+
+    d = Domain(spark, SF_DIR)
+    m = write_bucketed(d.matches.select("match_id", "grade"), "bucketed_matches", "match_id", 4,
+                       str(tmp_path / "m"))
+    r = write_bucketed(d.match_roles.select("match_id", "role_id"), "bucketed_match_roles", "match_id", 4,
+                       str(tmp_path / "r"))
+    joined = m.join(r, "match_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(joined)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == d.match_roles.join(d.matches.select("match_id"), "match_id").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS bucketed_matches")
+        spark.sql("DROP TABLE IF EXISTS bucketed_match_roles")
