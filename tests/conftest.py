@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,8 +13,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from skirmish.session import build_session
 
-    import tempfile
-
     warehouse = tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp")
     s = build_session(master="local[4]", app="skirmish-tests", shuffle_partitions=4,
                       extra={"spark.sql.warehouse.dir": warehouse})
