@@ -348,3 +348,15 @@ def test_insert_matches_is_idempotent(spark):
     assert sorted(map(str, m3.collect())) == sorted(map(str, m2.collect()))
     assert sorted(map(str, mr3.collect())) == sorted(map(str, mr2.collect()))
     assert sorted(map(str, s3.collect())) == sorted(map(str, s2.collect()))
+
+
+def test_kungfu_usage_order_and_heads(spark):
+    recent = spark.createDataFrame([("r", k) for k in [1, 1, 2, 2, 3, 9, 9]], "role_id string, kungfu int")
+    ki = spark.createDataFrame([(1, "zixia"), (2, "aoxue"), (3, "taixu")], "id int, content string")
+    most = E.kungfu_usage_per_role(recent, ki, pick="most").first()
+    # sorted by (count, name, id): taixu 1; unknown(9) 2 (NULL name first); aoxue 2; zixia 2
+    assert [(u["count"], u["name"], u["kungfu"]) for u in most.usage] == \
+        [(1, "taixu", 3), (2, None, 9), (2, "aoxue", 2), (2, "zixia", 1)]
+    assert (most.head_kungfu, most.head_name) == (9, None)
+    least = E.kungfu_usage_per_role(recent, ki, pick="least").first()
+    assert (least.head_kungfu, least.head_name) == (3, "taixu")
