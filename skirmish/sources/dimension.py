@@ -64,9 +64,16 @@ def dimension_rows() -> list[tuple[str, str, str, int]]:
     return [(c, k, s, rank[c]) for c, k, s in CLASS_NAMES]
 
 
+_dims: dict[str, DataFrame] = {}
+
+
 def class_dimension(spark: SparkSession) -> DataFrame:
-    """A4: the dimension as a DataFrame (23 rows, built on the driver once)."""
-    return local_dimension(spark, dimension_rows(), DIM_SCHEMA)
+    """A4: the dimension as a DataFrame (23 fixed rows, built on the driver
+    once per application and reused)."""
+    key = spark.sparkContext.applicationId
+    if key not in _dims:
+        _dims[key] = local_dimension(spark, dimension_rows(), DIM_SCHEMA)
+    return _dims[key]
 
 
 def dimension_values_sql() -> str:

@@ -227,7 +227,7 @@ def seen_days(events: DataFrame) -> DataFrame:
 # shared checkpoint folder and read back, as the stored tables they are in
 # production (off by default: queries then derive them lazily).
 STORE_DOMAIN = False
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, DataFrame] = {}
 
 
 def store_domain_tables(flag: bool = True) -> None:
@@ -251,8 +251,9 @@ class Domain:
         if key not in _stored:
             path = scratch_path(self.spark, f"domain-{name}")
             df.write.mode("overwrite").parquet(path)
-            _stored[key] = path
-        return self.spark.read.parquet(_stored[key])
+            # keep the resolved relation: its file listing is done once
+            _stored[key] = self.spark.read.parquet(path)
+        return _stored[key]
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
