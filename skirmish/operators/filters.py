@@ -67,10 +67,14 @@ def get_matches(matches: DataFrame) -> DataFrame:
     return matches.orderBy("match_id")
 
 
-def search_role(summary: DataFrame, q: str) -> DataFrame:
+def search_role(roles: DataFrame, persons: DataFrame, q: str) -> DataFrame:
     """Roles whose name contains ``q`` (``%``/``_`` in q act as LIKE
-    wildcards, as in the reference), from the role summary (D12)."""
-    return (summary.where(F.col("name").like(f"%{q}%"))
+    wildcards, as in the reference), with their person's name. The name
+    filter runs on the roles scan; only the matching roles meet persons (the
+    result keys need no score aggregate)."""
+    r = roles.where(F.col("name").like(f"%{q}%"))
+    p = persons.select("person_id", F.col("name").alias("person_name"))
+    return (r.join(p, "person_id", "left")
             .select(F.col("global_id").alias("role_id"), "force", "name", "zone", "server", "person_name"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import is_recent
 from skirmish.operators import filters as B
-from skirmish.operators import reports as R
 from skirmish.plans.catalog import query
 from skirmish.plans.q_reports import MATCH_COLS_SQL, flat_matches
 from skirmish.sources.fixtures import Domain
@@ -71,7 +70,7 @@ SELECT r.global_id AS role_id, r.force, r.name, r.zone, r.server, p.name AS pers
 FROM roles r LEFT JOIN persons p ON p.person_id = r.person_id WHERE r.name LIKE '%{NAME_PART}%'""")
 def q_search_role(spark, sf):
     d = Domain(spark, sf)
-    return B.search_role(R.role_summary(d.roles, d.persons, d.scores), NAME_PART)
+    return B.search_role(d.roles, d.persons, NAME_PART)
 
 
 @query("where_text", """
