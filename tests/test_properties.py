@@ -71,3 +71,56 @@ def test_upsert_equals_sequential_updates(spark, ups):
         old = want.get(k, (None, None))
         want[k] = (a if a is not None else old[0], b if b is not None else old[1])
     assert got == want
+
+
+CLASS_IDS = {1: "jingyu", 2: "tianluo", 3: "mowen", 4: "taixu", 5: "xisui"}
+lineups_st = st.lists(st.lists(st.sampled_from([1, 2, 3, 4, 5, 99]), min_size=0, max_size=5), min_size=1, max_size=6)
+
+
+@SETTINGS
+@given(lineups=lineups_st)
+def test_labels_match_brute_force(spark, lineups):
+    from skirmish.functions.kungfu import _lineup_labels_join, kungfu_items, lineup_labels
+    from skirmish.sources.dimension import CLASS_NAMES, CLASS_ORDER, class_dimension
+
+    items = spark.createDataFrame([("kungfu", str(i), f'"{c}"') for i, c in CLASS_IDS.items()],
+                                  "tag string, id string, content string")
+    ki = kungfu_items(items, class_dimension(spark))
+    df = spark.createDataFrame([(i, ls) for i, ls in enumerate(lineups)], "i int, k array<int>")
+    short = {c: sh for c, _, sh in CLASS_NAMES}
+    rank = {c: n + 1 for n, c in enumerate(CLASS_ORDER)}
+
+    def brute(ids):
+        names = [CLASS_IDS.get(x) for x in ids]
+
+        def key(pair):
+            x, name = pair
+            if name is None:
+                return (1e6, x)
+            if name == "jingyu" and "tianluo" in names:
+                return (rank["tianluo"] - 0.5, x)
+            return (float(rank[name]), x)
+        return "".join(short[n] if n else "?" for _, n in sorted(zip(ids, names), key=key))
+
+    want = {i: brute(ls) for i, ls in enumerate(lineups)}
+    for impl in (lineup_labels, _lineup_labels_join):
+        got = {r.i: r.short for r in impl(df, "k", ki).collect()}
+        assert got == want
+
+
+@SETTINGS
+@given(known=st.lists(st.sampled_from("abcdef"), max_size=4, unique=True),
+       seen=st.lists(st.tuples(st.sampled_from("abcdefgh"), st.integers(0, 50)), min_size=1, max_size=12))
+def test_dictionary_versions_match_brute_force(spark, known, seen):
+    kdf = spark.createDataFrame([("t", v, i) for i, v in enumerate(known)], "tag string, value string, id long")
+    vdf = spark.createDataFrame([("t", v, s) for v, s in seen], "tag string, value string, seq long")
+    got = {r.value: (r.id, r.is_new) for r in E.dictionary_versions(kdf, vdf, "seq").collect()}
+    want = {v: (i, False) for i, v in enumerate(known)}
+    first = {}
+    for v, s in seen:
+        first[v] = min(first.get(v, s), s)
+    nxt = len(known)
+    for v in sorted((v for v in first if v not in want), key=lambda v: (first[v], v)):
+        want[v] = (nxt, True)
+        nxt += 1
+    assert got == want
