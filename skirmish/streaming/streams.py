@@ -59,22 +59,51 @@ def seed(df: DataFrame, path: str) -> None:
 
 
 def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str, checkpoint: str,
-                          key: str = "match_id", max_files: int = 1) -> StreamingQuery:
-    """L1: arriving match rows are inserted when their key is absent.
-
-    Idempotent by key, so late or repeated deliveries need no watermark."""
+                          key: str = "match_id", max_files: int = 1, roles_col: str | None = None,
+                          roles_target: str | None = None, fetched_deltas: str | None = None) -> StreamingQuery:
+    """L1: the ingest of I2 as a stream. Arriving match rows are inserted
+    when their key is absent; with ``roles_col`` (J9's participant array)
+    the participant rows of the inserted matches go to ``roles_target`` and
+    the per-(role, match type) count of new participations to
+    ``fetched_deltas`` (apply them with ``apply_fetched_deltas``).
+
+    Every output is written as the batch's own folder, so a replayed batch
+    rewrites the same rows: idempotent by key, late or repeated deliveries
+    need no watermark."""
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         b = epoch_id + 1
         have = _read_before(spark, target, b, schema).select(key)
         fresh = df.dropDuplicates([key]).join(have, key, "left_anti")
-        _write_batch(fresh, target, b)
+        if roles_col is None:
+            _write_batch(fresh, target, b)
+            return
+        fresh = fresh.persist()  # used by three writes; recomputed from the batch if lost
+        try:
+            _write_batch(fresh.drop(roles_col), target, b)
+            parts = fresh.select(key, "match_type", F.explode(roles_col).alias("p")).select(key, "match_type", "p.*")
+            if roles_target:
+                _write_batch(parts, roles_target, b)
+            if fetched_deltas:
+                _write_batch(parts.groupBy("role_id", "match_type").agg(F.count(F.lit(1)).alias("n")), fetched_deltas, b)
+        finally:
+            fresh.unpersist()
 
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def apply_fetched_deltas(scores: DataFrame, deltas: DataFrame) -> DataFrame:
+    """I2's counter: fetched_count raised by the recorded new participations
+    (NULL + n stays NULL, as the reference's increment does)."""
+    n = deltas.groupBy("role_id", "match_type").agg(F.sum("n").alias("_n"))
+    return (scores.join(n, ["role_id", "match_type"], "left")
+            .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
+                        .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
+            .drop("_n"))
+
+
 SNAPSHOT_EVERY = 10  # batches between full state snapshots
 
 

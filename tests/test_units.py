@@ -360,3 +360,23 @@ def test_kungfu_usage_order_and_heads(spark):
     assert (most.head_kungfu, most.head_name) == (9, None)
     least = E.kungfu_usage_per_role(recent, ki, pick="least").first()
     assert (least.head_kungfu, least.head_name) == (3, "taixu")
+
+
+def test_stream_insert_counts_are_replay_safe(spark, tmp_path):
+    from skirmish.streaming import streams as L
+
+    schema = "match_id long, match_type string, roles array<struct<role_id:string,kungfu:int>>"
+    land = str(tmp_path / "landing")
+    spark.createDataFrame([(1, "3c", [("a", 1), ("b", 2)])], schema).coalesce(1).write.parquet(f"{land}/f=0")
+    spark.createDataFrame([(1, "3c", [("a", 1), ("b", 2)]), (2, "3c", [("a", 3)])], schema) \
+        .coalesce(1).write.parquet(f"{land}/f=1")
+    s = spark.createDataFrame([], schema).schema
+    scores = spark.createDataFrame([("a", "3c", 5), ("b", "3c", None)], "role_id string, match_type string, fetched_count int")
+    for ck in ("ck1", "ck2"):  # the second run replays both batches
+        L.stream_insert_matches(spark, f"{land}/*", s, str(tmp_path / "t"), str(tmp_path / ck), roles_col="roles",
+                                roles_target=str(tmp_path / "r"), fetched_deltas=str(tmp_path / "d")).awaitTermination()
+        got = {r.role_id: r.fetched_count for r in
+               L.apply_fetched_deltas(scores, L.read_table(spark, str(tmp_path / "d"))).collect()}
+        assert got == {"a": 7, "b": None}
+        assert sorted((r.match_id, r.role_id) for r in L.read_table(spark, str(tmp_path / "r")).collect()) == \
+            [(1, "a"), (1, "b"), (2, "a")]
