@@ -259,6 +259,12 @@ def q_put_default(spark, sf):
     return s.select("role_id", H.put_default("score", 0).alias("score"), H.put_default("ranking", -1).alias("ranking"))
 
 
-@query("to_json_row")
+SCORE_JSON_SQL = """'{' || concat_ws(',', '"role_id":' || to_json(role_id), '"match_type":' || to_json(match_type),
+  '"score":' || to_json(score), '"total_count":' || to_json(total_count), '"win_count":' || to_json(win_count),
+  '"mvp_count":' || to_json(mvp_count), '"fetched_to":' || to_json(fetched_to), '"fetched_count":' || to_json(fetched_count),
+  '"ranking":' || to_json(ranking), '"fetched_at":"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%g') || '"') || '}'"""
+
+
+@query("to_json_row", f"SELECT {SCORE_JSON_SQL} AS value FROM scores")
 def q_to_json_row(spark, sf):
     return Domain(spark, sf).scores.select(H.to_json_row().alias("value"))

@@ -81,7 +81,18 @@ def q_replay_with_match(spark, sf):
                     "match_duration")
 
 
-@query("take_rows")
+TOP_JSON_SQL = """'{' || concat_ws(',', '"role_id":' || to_json(role_id), '"score":' || to_json(score),
+  '"ranking":' || to_json(ranking), '"win_rate":' || to_json(win_rate), '"name":' || to_json(name),
+  '"force":' || to_json(force), '"position":' || to_json(position)) || '}'"""
+
+
+def _top_sql():
+    from skirmish.plans.q_joins import TOP_SQL
+
+    return TOP_SQL.format(n=200)
+
+
+@query("take_rows", f"SELECT {TOP_JSON_SQL} AS value FROM ({_top_sql()})")
 def q_take_rows(spark, sf):
     d = Domain(spark, sf)
     return S.take_rows(top_roles(d.roles, d.scores, limit=S.DEFAULT_TAKE), order=["position"])
@@ -95,9 +106,13 @@ def q_union_rows(spark, sf):
                         d.roles.select(F.col("global_id").alias("role_id"), "name")).select("role_id", "score", "name")
 
 
-@query("to_document")
+@query("to_document", """
+SELECT 'grade_count' AS tag, string_agg(j, chr(10) ORDER BY j) AS content FROM (
+  SELECT '{' || concat_ws(',', '"grade":' || to_json(grade), '"count":' || to_json(count(*))) || '}' AS j
+  FROM matches GROUP BY grade)""")
 def q_to_document(spark, sf):
-    return S.to_document(R.grade_count(Domain(spark, sf).matches), "grade_count")
+    doc = S.to_document(R.grade_count(Domain(spark, sf).matches), "grade_count")
+    return doc.select("tag", F.array_join("content", "\n").alias("content"))
 
 
 @query("save_document", """
