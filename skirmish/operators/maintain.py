@@ -14,9 +14,27 @@ from pyspark.sql import functions as F
 from skirmish.operators.ordered import dictionary_versions, merge_seen_ranges, seen_sets
 
 LEVEL_FULL = 100  # fixed value: roles of this level go to ``roles``, others to ``lamb_roles``
+# A batch with at most this many distinct keys is broadcast (checked by a
+# capped count), so a large target is only scanned, never shuffled.
+BROADCAST_KEYS_MAX = 2_000_000
 KEY_DEFAULTS = {"global_id": "", "role_id": 0, "name": "", "zone": "", "server": ""}
 
 
+def batch_keys(batch: DataFrame, keys: list[str], max_keys: int | None = None):
+    """Distinct keys of a batch and whether they are few enough to broadcast
+    (a capped count — the size check behind every explicit broadcast here)."""
+    max_keys = BROADCAST_KEYS_MAX if max_keys is None else max_keys
+    k = batch.select(*keys).distinct()
+    return k, k.limit(max_keys + 1).count() <= max_keys
+
+
+def split_by_keys(target: DataFrame, keys_df: DataFrame, keys: list[str], small: bool):
+    """(rows of ``target`` whose key is in ``keys_df``, the other rows). With a
+    small key set it is broadcast: both halves are scans of the target."""
+    k = F.broadcast(keys_df) if small else keys_df
+    return target.join(k, keys, "left_semi"), target.join(k, keys, "left_anti")
+
+
 # --------------------------------------------------------------------- I1
 def collapse_updates(updates: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """Per key, the batch's net change: for each field the last non-NULL
@@ -32,15 +50,28 @@ def collapse_updates(updates: DataFrame, keys: list[str], order: str | None) ->
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Insert new keys, update existing ones; a NULL in an update keeps
-    the old value. Columns of the target not in the batch are kept."""
+    the old value. Columns of the target not in the batch are kept.
+
+    A small batch (checked key count) touches only its keys: the target is
+    split by a broadcast semi/anti join (scans, no shuffle of the target) and
+    only the touched rows meet the batch; a large batch takes one full outer
+    join."""
     u = collapse_updates(updates, keys, order)
+    ukeys, small = batch_keys(u, keys)
+    if small:
+        touched, untouched = split_by_keys(target, ukeys, keys, True)
+        return untouched.unionByName(_merge(touched, u, keys, target.columns))
+    return _merge(target, u, keys, target.columns)
+
+
+def _merge(target: DataFrame, u: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     j = target.alias("t").join(u.alias("u"), keys, "full_outer")
     out = []
     for c in target.columns:
         if c in keys:
             continue
         out.append(F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) if c in u.columns else F.col(f"t.{c}"))
-    return j.select(*keys, *out).select(*target.columns)
+    return j.select(*keys, *out).select(*columns)
 
 
 def guard_fetched_count(new: Column, old: Column) -> Column:
@@ -52,8 +83,18 @@ def guard_fetched_count(new: Column, old: Column) -> Column:
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """I3 (and the matches part of I2): rows of ``new`` whose key is absent
     from the target (one per key), appended."""
-    fresh = new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(fresh.select(*target.columns))
+    return target.unionByName(fresh_rows(target, new, keys).select(*target.columns))
+
+
+def fresh_rows(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` (one per key) whose key is absent from ``target``. The
+    keys already present are found by a semi join of the target with the
+    batch's keys — broadcast when few (checked) — so the target is scanned,
+    not shuffled; then the batch is anti-joined with those few keys."""
+    one = new.dropDuplicates(keys)
+    nkeys, small = batch_keys(one, keys)
+    present, _ = split_by_keys(target.select(*keys), nkeys, keys, small)
+    return one.join(F.broadcast(present) if small else present, keys, "left_anti")
 
 
 def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame,
@@ -65,7 +106,7 @@ def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame
     ``new`` holds match rows plus an array ``roles`` of participant structs
     (J9's form). Returns (matches', match_roles', scores').
     """
-    fresh = new.dropDuplicates(["match_id"]).join(matches.select("match_id"), "match_id", "left_anti")
+    fresh = fresh_rows(matches, new, ["match_id"])
     m2 = matches.unionByName(fresh.select(*matches.columns))
     fields = [f.name for f in new.schema[roles_col].dataType.elementType.fields
               if f.name not in ("match_id", "match_type")]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skirmish.operators.maintain import fresh_rows
 from skirmish.operators.ordered import change_log
 
 BATCH_COL = "batch"
@@ -73,8 +74,7 @@ def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         b = epoch_id + 1
-        have = _read_before(spark, target, b, schema).select(key)
-        fresh = df.dropDuplicates([key]).join(have, key, "left_anti")
+        fresh = fresh_rows(_read_before(spark, target, b, schema), df, [key])
         if roles_col is None:
             _write_batch(fresh, target, b)
             return

@@ -380,3 +380,19 @@ def test_stream_insert_counts_are_replay_safe(spark, tmp_path):
         assert got == {"a": 7, "b": None}
         assert sorted((r.match_id, r.role_id) for r in L.read_table(spark, str(tmp_path / "r")).collect()) == \
             [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_small_and_large_batch_paths_agree(spark, monkeypatch):
+    t = spark.createDataFrame([(f"k{i}", i, "x") for i in range(20)], "k string, a int, b string")
+    u = spark.createDataFrame([("k1", None, "y", 1), ("k1", 9, None, 2), ("k99", 5, None, 1)],
+                              "k string, a int, b string, seq int")
+    new = spark.createDataFrame([("k3", 0, "n"), ("k50", 1, "n"), ("k50", 1, "n")], "k string, a int, b string")
+    small_up = sorted(map(tuple, M.upsert(t, u, ["k"], order="seq").collect()))
+    small_ins = sorted(map(tuple, M.insert_if_absent(t, new, ["k"]).collect()))
+    plan = M.upsert(t, u, ["k"], order="seq")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    monkeypatch.setattr(M, "BROADCAST_KEYS_MAX", 0)
+    assert sorted(map(tuple, M.upsert(t, u, ["k"], order="seq").collect())) == small_up
+    assert sorted(map(tuple, M.insert_if_absent(t, new, ["k"]).collect())) == small_ins
+    assert ("k1", 9, "y") in small_up and ("k99", 5, None) in small_up and len(small_up) == 21
+    assert len(small_ins) == 21
