@@ -149,10 +149,10 @@ def insert_role_logs(target: DataFrame, seen: DataFrame, day: str = "day") -> Da
     t = role_log_key(target).select(*keys, "seen")
     s = role_log_key(seen.where(F.col("global_id").isNotNull() & (F.col("global_id") != "")))
     days = s.select(*keys, day_range(F.col(day)).alias("seen"))
-    touched_keys = days.select(*keys).distinct()
+    touched_keys, small = batch_keys(days, keys)
     # logs of keys without new days are kept as they are; only touched keys are re-merged
-    untouched = t.join(touched_keys, keys, "left_anti")
-    old = t.join(touched_keys, keys, "left_semi").select(*keys, F.explode("seen").alias("seen"))
+    touched, untouched = split_by_keys(t, touched_keys, keys, small)
+    old = touched.select(*keys, F.explode("seen").alias("seen"))
     return untouched.unionByName(seen_sets(merge_seen_ranges(old.unionByName(days), keys), keys))
 
 

@@ -114,11 +114,12 @@ def add_seen_days(ranges: DataFrame, days: DataFrame, keys: list[str], day: str
     """Add days to each key's range set: a day inside stays, an adjacent
     day extends, a bridging day joins two ranges, else it is a new range."""
     d = days.select(*keys, make_range(F.col(day), F.date_add(F.col(day), 1)).alias(col))
+    from skirmish.operators.maintain import batch_keys, split_by_keys
+
     r = ranges.select(*keys, col)
-    touched_keys = d.select(*keys).distinct()
+    touched_keys, small = batch_keys(d, keys)
     # only keys that got a day are re-merged; the others pass through as they are
-    untouched = r.join(touched_keys, keys, "left_anti")
-    touched = r.join(touched_keys, keys, "left_semi")
+    touched, untouched = split_by_keys(r, touched_keys, keys, small)
     return untouched.unionByName(merge_seen_ranges(touched.unionByName(d), keys, col))
 
 
