@@ -90,7 +90,10 @@ def _lineup_labels_join(df: DataFrame, ids_col: str, kitems: DataFrame, out: str
     """H2 for a large dictionary: labels of the distinct line-ups, joined back."""
     lineups = df.select(F.col(ids_col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     el = lineups.select("_k", F.posexplode("_k").alias("_pos", "id"))
-    j = el.join(kitems.select("id", "content", "short", "rank"), "id", "left")
+    # one entry per id, the smallest (content, short) — the same rule as class_map
+    ki = (kitems.where(F.col("id").isNotNull())
+          .groupBy("id").agg(F.min(F.struct("content", "short", "rank")).alias("_s")).select("id", "_s.*"))
+    j = el.join(ki, "id", "left")
     labels = (j.groupBy("_k")
               .agg(F.collect_list(F.struct("id", "content", "short", "rank")).alias("_e"))
               .select("_k", F.array_join(F.transform(F.array_sort(_order_key(F.col("_e"))),
