@@ -133,9 +133,10 @@ def where_list(df: DataFrame, clauses: list) -> DataFrame:
 
 
 def paged(df: DataFrame, order_by: list, prefix: str | None = None, where=None,
-          limit: int | None = None, offset: int | None = None) -> DataFrame:
+          limit: int | None = None, offset: int | None = None, **_unknown) -> DataFrame:
     """Options in the order prefix (match type), where, limit, offset,
-    over a total order. ``where`` is text (B9) or a clause list (B10)."""
+    over a total order. ``where`` is text (B9) or a clause list (B10);
+    unknown options are ignored."""
     x = df
     if prefix is not None:
         x = read_match_type(x, prefix)
