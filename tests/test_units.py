@@ -396,3 +396,32 @@ def test_small_and_large_batch_paths_agree(spark, monkeypatch):
     assert sorted(map(tuple, M.insert_if_absent(t, new, ["k"]).collect())) == small_ins
     assert ("k1", 9, "y") in small_up and ("k99", 5, None) in small_up and len(small_up) == 21
     assert len(small_ins) == 21
+
+
+# --------------------------------------------------------------------- J
+def test_payload_edge_cases(spark):
+    from skirmish.sources import payloads as J
+
+    top = spark.createDataFrame([('[{"passportId":"","globalId":"g1","personId":"p","personInfo":{"gameRoleId":"",'
+                                  '"roleName":"n","person":{"nickName":"","avatarUrl":"a"}}}]',)], "payload string")
+    r = J.flatten_top200(top).first()
+    assert (r.passport_id, r.global_id, r.role_id, r.name, r.person_name, r.avatar) == (None, "g1", None, "n", None, "a")
+    gid = spark.createDataFrame([('{"passportId":"x","personId":"p"}',), ('{"personInfo":{"gameGlobalRoleId":"g",'
+                                 '"gameRoleId":"12"},"personId":"p"}',)], "payload string")
+    rows = J.flatten_role_by_gid(gid).collect()
+    assert [(x.global_id, x.role_id) for x in rows] == [("g", 12)]
+    rep = spark.createDataFrame([("3c", '{"error": "No data found"}'), ("3c", None),
+                                 ("3c", '{"match_id": 5, "replay": [], "skill_cate": [1]}')],
+                                "match_type string, payload string")
+    out = J.flatten_match_replay(rep).collect()
+    assert [(x.match_id, x.match_type) for x in out] == [(5, "3c")] and "skill_cate" not in J.flatten_match_replay(rep).columns
+    det = spark.createDataFrame([("3c", '{"match_id": 7, "basic_info": {"map": "x3", "type": 3}, '
+                                        '"team1": {"won": null, "players_info": [{"global_role_id": "a", "score": 250, '
+                                        '"kungfu_id": 2, "equip_strength_score": 1, "stone_score": 2}]}}')],
+                                "match_type string, payload string")
+    m, roles = J.flatten_match_detail(det)
+    mr = m.first()
+    # unparsable map → NULL; missing team 2 → empty side; NULL team1.won → winner 2
+    assert (mr.map, mr.team1_score, mr.team2_score, mr.winner, mr.team2_kungfu) == (None, 250, 0, 2, [])
+    pr = roles.first()
+    assert (pr.global_id, pr.team, pr.grade, pr.equip_addition_score) == ("a", 1, 0, 3)
