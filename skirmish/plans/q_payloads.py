@@ -41,7 +41,7 @@ def top200_payloads(d: Domain):
                  F.struct(F.col("person_name").alias("nickName"), F.lit("").alias("avatarUrl"),
                           F.when(k % 2 == 0, F.concat(F.lit("sig"), k.cast("string"))).otherwise(F.lit(""))
                           .alias("signature")).alias("person")).alias("personInfo"))
-    return _page(r, "role_id", entry)
+    return d.landed("top200_payloads", _page(r, "role_id", entry))
 
 
 @query("flatten_top200", """
@@ -62,7 +62,7 @@ def person_roles_payloads(d: Domain):
         F.when(k % 3 == 0, (k % 100).cast("int")).otherwise(F.lit(100)).alias("level"),
         (k % 5 != 0).alias("valid"), "person_id", "person_name",
         F.concat(F.lit("a"), F.col("person_id")).alias("person_avatar"))
-    return _page(r, "role_id", entry, extra=["person_id"])
+    return d.landed("person_roles_payloads", _page(r, "role_id", entry, extra=["person_id"]))
 
 
 @query("flatten_person_roles", """
@@ -84,7 +84,7 @@ def role_kungfu_payloads(d: Domain):
         F.col("win_count").alias("success_times"), F.col("total_count").alias("times"))
     entry = F.struct(F.col("kungfu").alias("name"), F.array(skill).alias("skills"))
     # one response per role: its classes (a bounded list)
-    return rk.groupBy("role_id", "match_type").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload"))
+    return d.landed("role_kungfu_payloads", rk.groupBy("role_id", "match_type").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload")))
 
 
 @query("flatten_role_kungfus", """
@@ -105,9 +105,9 @@ def role_by_gid_payloads(d: Domain):
     info = F.struct(F.col("global_id").alias("gameGlobalRoleId"), k.cast("string").alias("gameRoleId"),
                     F.col("name").alias("roleName"), "server", "zone", "force", F.col("body_type").alias("bodyType"),
                     F.struct(F.col("person_name").alias("nickName"), F.lit("").alias("avatarUrl")).alias("person"))
-    return r.select(F.to_json(F.struct(F.when(k % 6 != 0, info).alias("personInfo"),
+    return d.landed("role_by_gid_payloads", r.select(F.to_json(F.struct(F.when(k % 6 != 0, info).alias("personInfo"),
                                        F.col("passport_id").alias("passportId"),
-                                       F.col("person_id").alias("personId"))).alias("payload"))
+                                       F.col("person_id").alias("personId"))).alias("payload")))
 
 
 @query("flatten_role_by_gid", """
@@ -131,11 +131,11 @@ def indicator_payloads(d: Domain):
         "mvp_count").alias("performance"))
     per_role = s.groupBy("role_id").agg(F.collect_list(ind).alias("indicator"))  # one per match type
     x = per_role.join(r, per_role.role_id == r.global_id, "inner")
-    return x.select(F.to_json(F.struct(
+    return d.landed("indicator_payloads", x.select(F.to_json(F.struct(
         F.struct("person_id", "person_name").alias("person_info"),
         F.struct(F.col("global_id").alias("global_role_id"), r.role_id.cast("string").alias("role_id"), "name",
                  "server", "zone", "force", "body_type", F.lit("").alias("camp"), F.lit("").alias("person_avatar"))
-        .alias("role_info"), "indicator")).alias("payload"))
+        .alias("role_info"), "indicator")).alias("payload")))
 
 
 @query("flatten_role_indicator", """
@@ -168,7 +168,7 @@ def corp_payloads(d: Domain):
     r = d.roles
     corp = F.struct(F.expr("cast(role_id * 10 + 1 as string)").alias("corpsId"), F.lit(3).alias("pvpType"),
                     F.concat(F.lit("corp"), F.col("global_id")).alias("corpsName"), "zone", "server")
-    return r.select(F.to_json(F.array(corp)).alias("payload"))
+    return d.landed("corp_payloads", r.select(F.to_json(F.array(corp)).alias("payload")))
 
 
 @query("flatten_corps", """
@@ -187,7 +187,7 @@ def history_payloads(d: Domain):
         (F.lit(1500) + F.col("score2") % 1000).alias("total_mmr"), "kungfu", F.lit("z").alias("zone"),
         F.lit("s").alias("server"))
     # one history page per (role, block of match ids)
-    return _page(h, "match_id", entry, extra=["role_id", "match_type"]).drop("role_id")
+    return d.landed("history_payloads", _page(h, "match_id", entry, extra=["role_id", "match_type"]).drop("role_id"))
 
 
 @query("flatten_role_history", """
@@ -206,8 +206,8 @@ def replay_payloads(d: Domain):
         F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ts"), F.col("role").alias("skillName")))).alias("replay"))
     body = F.to_json(F.struct(F.col("conv_id").alias("match_id"), "match_duration", "replay",
                               F.array(F.lit("x")).alias("skill_cate")))
-    return g.select(F.lit("3c").alias("match_type"), F.when(F.col("conv_id") % 7 == 0,
-                    F.lit('{"error": "No data found"}')).otherwise(body).alias("payload"))
+    return d.landed("replay_payloads", g.select(F.lit("3c").alias("match_type"), F.when(F.col("conv_id") % 7 == 0,
+                    F.lit('{"error": "No data found"}')).otherwise(body).alias("payload")))
 
 
 @query("flatten_match_replay", """
@@ -246,7 +246,7 @@ def detail_payloads(d: Domain):
                                          F.col("pvp_type").alias("type"), "grade").alias("basic_info"),
                     F.struct((F.col("winner") == 1).alias("won"), F.col("t1").alias("players_info")).alias("team1"),
                     F.struct((F.col("winner") == 2).alias("won"), F.col("t2").alias("players_info")).alias("team2"))
-    return m.select("match_type", F.to_json(body).alias("payload"))
+    return d.landed("detail_payloads", m.select("match_type", F.to_json(body).alias("payload")))
 
 
 @query("flatten_match_detail", f"SELECT {MATCH_COLS_SQL} FROM matches")

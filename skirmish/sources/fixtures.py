@@ -242,6 +242,11 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def landed(self, name: str, df: DataFrame) -> DataFrame:
+        """A landed input table built from the driver tables (e.g. payloads):
+        stored once like the domain tables when storing is on."""
+        return self._stored(name, df)
+
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
         if not STORE_DOMAIN:
             return df
