@@ -28,6 +28,11 @@ GRADE_MIN, GRADE_MAX = 0, 13
 # ---------------------------------------------------------------------------
 
 
+# A float at the very start of a text: sign, digits, optional fraction with
+# digits, optional exponent (group 1 is the number).
+NUMBER_PREFIX = r"^([+-]?\d+(\.\d+)?([eE][+-]?\d+)?)"
+
+
 def trim_quotes(c: ColumnOrName) -> Column:
     """H1: strip ``"`` from both ends of a JSON string literal."""
     return F.btrim(_c(c), F.lit('"'))
@@ -54,7 +59,8 @@ def icon_url_trim(c: ColumnOrName, prefix: str) -> Column:
     """H6: path after ``prefix`` without the query string; other text unchanged."""
     import re
 
-    pattern = "^" + re.escape(prefix) + r"([^?]*)(\?.*)?$"
+    # the prefix may occur anywhere in the text; the path stops at "?"
+    pattern = re.escape(prefix) + r"([^?]*)"
     col = _c(c)
     return F.when(col.rlike(pattern), F.regexp_extract(col, pattern, 1)).otherwise(col)
 
@@ -63,7 +69,7 @@ def percent_name(name: ColumnOrName, value: ColumnOrName) -> Column:
     """H7: name followed by the text after the leading number of value
     (``("crit", "12.5%")`` → ``"crit%"``); a NULL value keeps the name."""
     v = _c(value)
-    rest = F.regexp_extract(v, r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?(.*)$", 4)
+    rest = F.regexp_extract(v, NUMBER_PREFIX + r"(.*)$", 4)
     return F.when(v.isNull(), _c(name)).otherwise(F.concat(_c(name), rest))
 
 
@@ -111,8 +117,7 @@ def parse_ranking(c: ColumnOrName) -> Column:
 
 def parse_attrs(c: ColumnOrName) -> Column:
     """Array of numeric texts → doubles (leading number of each)."""
-    pattern = r"^\s*([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)"
-    return F.transform(_c(c), lambda x: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double"))
+    return F.transform(_c(c), lambda x: F.nullif(F.regexp_extract(x, NUMBER_PREFIX, 1), F.lit("")).try_cast("double"))
 
 
 EPOCH_DATE = "1970-01-01"

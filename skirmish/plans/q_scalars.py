@@ -50,8 +50,8 @@ def q_compact_timestamp(spark, sf):
 
 
 @query("icon_url_trim", f"""
-SELECT page_id, CASE WHEN regexp_matches(url, '^https://([^?]*)(\\?.*)?$')
-                     THEN regexp_extract(url, '^https://([^?]*)(\\?.*)?$', 1) ELSE url END AS path FROM pages""")
+SELECT page_id, CASE WHEN regexp_matches(url, 'https://([^?]*)')
+                     THEN regexp_extract(url, 'https://([^?]*)', 1) ELSE url END AS path FROM pages""")
 def q_icon_url_trim(spark, sf):
     p = Domain(spark, sf).raw("pages")
     return p.select("page_id", H.icon_url_trim("url", URL_PREFIX).alias("path"))
@@ -62,7 +62,7 @@ PERCENT_VALUE = """CAST(event_id % 100 AS VARCHAR) ||
 
 
 @query("percent_name", f"""
-SELECT event_id, event_type || regexp_extract({PERCENT_VALUE}, '^\\s*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?(.*)$', 4)
+SELECT event_id, event_type || regexp_extract({PERCENT_VALUE}, '^([+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?)(.*)$', 4)
   AS name FROM events""")
 def q_percent_name(spark, sf):
     e = Domain(spark, sf).raw("events")

@@ -425,3 +425,12 @@ def test_payload_edge_cases(spark):
     assert (mr.map, mr.team1_score, mr.team2_score, mr.winner, mr.team2_kungfu) == (None, 250, 0, 2, [])
     pr = roles.first()
     assert (pr.global_id, pr.team, pr.grade, pr.equip_addition_score) == ("a", 1, 0, 3)
+
+
+def test_number_prefix_rules(spark):
+    df = spark.createDataFrame([("12.5%",), ("7",), ("12.%",), (" 3",), (".5",), ("-2e3x",)], "v string")
+    r = df.select(H.percent_name(F.lit("n"), "v").alias("p"), H.parse_attrs(F.array("v"))[0].alias("a")).collect()
+    # a number must start the text; a fraction needs digits (as the reference's float parse)
+    assert [(x.p, x.a) for x in r] == [("n%", 12.5), ("n", 7.0), ("n.%", 12.0), ("n", None), ("n", None), ("nx", -2000.0)]
+    urls = spark.createDataFrame([("https://cdn/x/a.png?v=1",), ("see https://cdn/x/b.png",), ("other",)], "u string")
+    assert [x.t for x in urls.select(H.icon_url_trim("u", "https://cdn/x/").alias("t")).collect()] == ["a.png", "b.png", "other"]
