@@ -224,12 +224,14 @@ def sort_kungfus(c: ColumnOrName) -> Column:
 
 
 def encode_key(c: ColumnOrName) -> Column:
-    """Dictionary key text → canonical text: integer-like stays an
-    integer, ``:name`` → ``name``, a quoted text loses both quotes."""
+    """Dictionary key text → canonical text, checked in this order: a
+    text starting with ``"`` loses its first and last character, ``:name`` →
+    ``name``, integer-like text → the integer, anything else unchanged."""
     s = _c(c)
-    return (F.when(s.try_cast("long").isNotNull(), s.try_cast("long").cast("string"))
+    as_int = s.try_cast("long")
+    return (F.when(s.startswith('"'), s.substr(F.lit(2), F.greatest(F.length(s) - 2, F.lit(0))))
             .when(s.startswith(":"), F.substring(s, 2, 1 << 30))
-            .when(s.startswith('"') & s.endswith('"') & (F.length(s) >= 2), s.substr(F.lit(2), F.length(s) - 2))
+            .when(as_int.isNotNull(), as_int.cast("string"))
             .otherwise(s))
 
 

@@ -221,9 +221,9 @@ def q_zip_seats(spark, sf):
 
 
 @query("encode_key", """
-SELECT tag, id, CASE WHEN TRY_CAST(k AS BIGINT) IS NOT NULL THEN CAST(TRY_CAST(k AS BIGINT) AS VARCHAR)
+SELECT tag, id, CASE WHEN starts_with(k, '"') THEN substr(k, 2, greatest(length(k) - 2, 0))
                      WHEN starts_with(k, ':') THEN substr(k, 2)
-                     WHEN starts_with(k, '"') AND ends_with(k, '"') AND length(k) >= 2 THEN substr(k, 2, length(k) - 2)
+                     WHEN TRY_CAST(k AS BIGINT) IS NOT NULL THEN CAST(TRY_CAST(k AS BIGINT) AS VARCHAR)
                      ELSE k END AS encoded,
        TRY_CAST(id AS INTEGER) AS id_int
 FROM (SELECT tag, id, CASE WHEN tag = 'brand' THEN ':' || id ELSE content END AS k FROM items

@@ -434,3 +434,9 @@ def test_number_prefix_rules(spark):
     assert [(x.p, x.a) for x in r] == [("n%", 12.5), ("n", 7.0), ("n.%", 12.0), ("n", None), ("n", None), ("nx", -2000.0)]
     urls = spark.createDataFrame([("https://cdn/x/a.png?v=1",), ("see https://cdn/x/b.png",), ("other",)], "u string")
     assert [x.t for x in urls.select(H.icon_url_trim("u", "https://cdn/x/").alias("t")).collect()] == ["a.png", "b.png", "other"]
+
+
+def test_encode_key_order(spark):
+    df = spark.createDataFrame([('"abc"',), ('"12"',), (":name",), ("42",), ('"x',), ('"',), ("plain",)], "k string")
+    got = [r.e for r in df.select(H.encode_key("k").alias("e")).collect()]
+    assert got == ["abc", "12", "name", "42", "", "", "plain"]
