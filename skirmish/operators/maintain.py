@@ -1,9 +1,13 @@
 """I: table maintenance as pure functions ``(target, updates) -> new target``.
 
 No MERGE-capable format is assumed: each operation is a dedupe of the
-batch (an aggregate, reduced map-side), a full-outer or anti join on the
-key, and a projection. The caller writes the result (e.g. to a new table
-version in the shared checkpoint folder), which keeps jobs restartable.
+batch (an aggregate, reduced map-side), a join on the key, and a
+projection. When the batch's distinct keys are few (a capped count checks
+it), they are broadcast and the target is split into touched and untouched
+rows by scans — the target is never shuffled against a small batch; a large
+batch takes the plain full-outer/anti join. The caller writes the result
+(e.g. to a new table version in the shared checkpoint folder), which keeps
+jobs restartable.
 """
 
 from __future__ import annotations
@@ -115,16 +119,30 @@ def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame
     parts = parts.withColumn("role_id", F.col("role_id").cast("string"))
     mr_new = parts.select(*[F.col(c) if c in parts.columns else F.lit(None).cast(t).alias(c)
                             for c, t in match_roles.dtypes])
-    # participant rows already stored for the new match ids (normally none): found by a semi join with
-    # the batch's ids (small, broadcast by AQE), so the stored table is not shuffled against the batch
-    stored = match_roles.select("match_id", "role_id").join(fresh.select("match_id"), "match_id", "left_semi")
+    # participant rows already stored for the new match ids (normally none)
+    ids, small = batch_keys(fresh, ["match_id"])
+    stored, _ = split_by_keys(match_roles.select("match_id", "role_id"), ids, ["match_id"], small)
     mr2 = match_roles.unionByName(mr_new.join(stored, ["match_id", "role_id"], "left_anti"))
     n = parts.groupBy("role_id", "match_type").agg(F.count(F.lit(1)).alias("_n"))
-    s2 = (scores.join(n, ["role_id", "match_type"], "left")
-          .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
-                      .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
-          .drop("_n"))
-    return m2, mr2, s2
+    return m2, mr2, add_counts(scores, n)
+
+
+def add_counts(scores: DataFrame, n: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """fetched_count raised by ``_n`` per key (NULL + n stays NULL). Only the
+    score rows of the batch's keys are touched when those keys are few."""
+    keys = keys or ["role_id", "match_type"]
+
+    def bump(df: DataFrame) -> DataFrame:
+        return (df.join(n, keys, "left")
+                .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
+                            .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
+                .drop("_n"))
+
+    nkeys, small = batch_keys(n, keys)
+    if small:
+        touched, untouched = split_by_keys(scores, nkeys, keys, True)
+        return untouched.unionByName(bump(touched).select(*scores.columns))
+    return bump(scores)
 
 
 def insert_match_logs(target: DataFrame, new: DataFrame) -> DataFrame:

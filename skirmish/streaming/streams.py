@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skirmish.operators.maintain import fresh_rows
+from skirmish.operators.maintain import add_counts, fresh_rows
 from skirmish.operators.ordered import change_log
 
 BATCH_COL = "batch"
@@ -98,10 +98,7 @@ def apply_fetched_deltas(scores: DataFrame, deltas: DataFrame) -> DataFrame:
     """I2's counter: fetched_count raised by the recorded new participations
     (NULL + n stays NULL, as the reference's increment does)."""
     n = deltas.groupBy("role_id", "match_type").agg(F.sum("n").alias("_n"))
-    return (scores.join(n, ["role_id", "match_type"], "left")
-            .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
-                        .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
-            .drop("_n"))
+    return add_counts(scores, n)
 
 
 SNAPSHOT_EVERY = 10  # batches between full state snapshots
