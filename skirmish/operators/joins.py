@@ -102,6 +102,10 @@ def role_recent_kungfus(roles: DataFrame, match_roles: DataFrame, matches: DataF
     mr = match_roles if match_type is None else match_roles.where(F.col("match_type") == match_type)
     mr = mr.select("match_id", "role_id", "kungfu")
     m = matches.select("match_id", "start_time")
+    # The window shuffles by role after the match join on purpose: its partial
+    # group limit then cuts a hot role to n rows per map task before that
+    # shuffle (joining roles last would reuse the role partitioning but feed a
+    # hot role whole into one window task).
     x = r.join(mr, "role_id", "inner").join(m, "match_id", "left")
     return last_n_per_key(x, "role_id", [F.col("start_time").desc_nulls_first(), F.col("match_id").desc()], n)
 
