@@ -78,10 +78,10 @@ def match_rate(counts: DataFrame, kitems: DataFrame, n: int = 200) -> DataFrame:
     """D3: the first ``n`` line-ups of D2 with their label and win rate."""
     from skirmish.functions.kungfu import lineup_labels
 
-    top = counts.orderBy(F.col("won").desc(), F.col("kungfus")).limit(n)
-    return (lineup_labels(top, "kungfus", kitems)
-            .withColumn("rate", win_rate("won", "count", digits=None))
-            .orderBy(F.col("won").desc(), F.col("kungfus")))
+    # label first (a projection over the bounded set of line-ups), so one
+    # distributed top-k yields the ordered result without a second sort
+    labeled = lineup_labels(counts, "kungfus", kitems).withColumn("rate", win_rate("won", "count", digits=None))
+    return labeled.orderBy(F.col("won").desc(), F.col("kungfus")).limit(n)
 
 
 # --------------------------------------------------------------------- D4
