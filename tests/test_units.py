@@ -440,3 +440,28 @@ def test_encode_key_order(spark):
     df = spark.createDataFrame([('"abc"',), ('"12"',), (":name",), ("42",), ('"x',), ('"',), ("plain",)], "k string")
     got = [r.e for r in df.select(H.encode_key("k").alias("e")).collect()]
     assert got == ["abc", "12", "name", "42", "", "", "plain"]
+
+
+# --------------------------------------------------------------------- A3, A9, session
+def test_match_type_check_and_report_set_write(spark, tmp_path):
+    from skirmish.sources import sinks as S
+    from skirmish.sources import tables as A
+
+    with pytest.raises(ValueError):
+        A.check_match_type("4x")
+    assert A.check_match_type("5m") == "5m"
+    m = matches_df(spark, [(i, 1 + i % 2, 3, 0, 1, [1], [2], ["x", "y"], 1, 0) for i in range(6)])
+    docs = S.tagged_report_set(m, grades=[1, 2])
+    S.save_report_set(docs, str(tmp_path / "docs"))
+    back = spark.read.parquet(str(tmp_path / "docs"))
+    assert sorted(r.tag for r in back.select("tag").collect()) == ["grade_count", "kungfus_1", "kungfus_2"]
+    assert {"inserted_at", "updated_at", "content"} <= set(back.columns)
+
+
+def test_scale_conf_sizes_partitions():
+    from skirmish.session import scale_conf
+
+    c = scale_conf(100 * 1024 ** 4, 16000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(1024, 8)["spark.sql.shuffle.partitions"]) == 24
+    assert c["spark.sql.adaptive.enabled"] == "true"
