@@ -14,7 +14,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.functions.scalars import TIME_UNITS
 from skirmish.sources.tables import read_match_type
 
 # ---------------------------------------------------------------------------
@@ -193,6 +192,3 @@ def fetched_only(scores: DataFrame) -> DataFrame:
     """Score rows that were fetched."""
     return scores.where(F.col("fetched_at").isNotNull())
 
-
-def seconds(n: int, unit: str) -> int:
-    return n * TIME_UNITS[unit]
