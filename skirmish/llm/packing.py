@@ -9,9 +9,7 @@ groups so that each group holds nearly the same number of tokens.
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,77 +18,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.llm import words as W
 from skirmish.llm.common import read, stored
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-CACHE_WORDS = 500_000
-assert array("I").itemsize == 4 and sys.byteorder == "little"
+CACHE_PARTS = 1_000_000
+BLOCK_BYTES = 1 << 22
+
+
+# byte classes: 0 white space, 1 letter, 2 punctuation, 3 digit, 4 joins both sides (an apostrophe, all beyond ASCII)
+_CLASS = np.full(256, 2, dtype=np.int8)
+_CLASS[[32, 9, 10, 13]] = 0
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[48:58] = 3
+_CLASS[39] = _CLASS[128:] = 4
+
+
+def parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents of the runs that the tokenizer's own word
+    pattern never joins: white space and changes between ASCII letters, digits
+    and punctuation end a run."""
+    n = len(buf)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    c = _CLASS[buf]
+    cut = np.ones(n + 1, dtype=bool)
+    cut[1:n] = (c[1:] != c[:-1]) & ((c[1:] != 4) & (c[:-1] != 4) | (c[1:] == 0) | (c[:-1] == 0))
+    cut[off] = True
+    starts = np.flatnonzero(cut[:-1] & (c != 0))
+    ends = np.flatnonzero(cut[1:] & (c != 0)) + 1
+    return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
 class WordIds:
-    """Token ids of a text as little-endian bytes, put together from its
-    space-separated parts.
-
-    The vocabulary's words never reach across a space or a line feed (white
-    space is dropped), letter case is ignored, and a run of letters or digits
-    never joins the punctuation after it; so each distinct word and each
-    distinct part is tokenized once. Two generations of known parts bound the
-    memory: when the young one is full it becomes the old one."""
+    """Token ids of many texts at once: each distinct part of a block is looked
+    up (by its 64-bit hash, ASCII letter case folded as the tokenizer does) or
+    tokenized once, and the ids of all parts are put together by one gather.
+    The memory of parts is emptied when it holds ``CACHE_PARTS``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:      # may spell a special token, whose letter case counts
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = text.encode().lower().replace(b"\n", b" ").split(b" ")   # A-Z only; the tokenizer folds the rest
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            self.old, self.known = known, {b"": b""}
-            known = self.known
-        self.learn({p for p in parts if p not in known})
-        return b"".join([known[p] for p in parts])
-
-    def learn(self, parts: set[bytes]) -> None:
-        split = {p: (core, p[len(core):]) if (core := p.rstrip(b".,")) and core[-1:].isalnum() else (p, b"") for p in parts}
-        words = {w for cut in split.values() for w in cut}
-        known, old = self.known, self.old
-        new = []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
-        plain = [w for w in new if w.decode().isalpha()]
-        if plain:             # one run: each word of letters ends with the one token that ends a word
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(plain):
-                raw, at = ids.tobytes(), 0
-                for w, stop in zip(plain, stops, strict=True):
-                    known[w] = raw[4 * at: 4 * stop]
-                    at = stop
-        new = [w for w in new if w not in known]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, "<u4"), 0
+
+    def _add(self, hashes: list[int], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(self.index), len(hashes)
+        if not k:
+            return
+        while n + k > len(self.offset):
+            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.length[n:n + k] = lengths
+        self.offset[n:n + k] = self.used + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.used += len(ids)
+        self.index.update(zip(hashes, range(n, n + k), strict=True))
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        run = [k for k, w in enumerate(words) if w.isalpha()]
+        if run:           # each word of letters ends with the one token that ends a word
+            ids = np.array(self.tokenizer.encode(" ".join([words[k] for k in run]), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(run):
+                self._add([hashes[k] for k in run], np.diff(stops, prepend=0), ids)
+        rest = [(h, w) for h, w in zip(hashes, words, strict=True) if h not in self.index]
+        if rest:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False)]
+            self._add([h for h, _ in rest], np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], dtype="<u4"))
+
+    def encode_block(self, buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit values."""
+        s, e, doc = parts(buf, off)
+        h, at, which = np.unique(W.word_hashes(buf, s, e, W.FOLDED), return_index=True, return_inverse=True)
+        if len(self.index) + len(h) > CACHE_PARTS:
+            self.forget()
+        keys, index = h.tolist(), self.index
+        new = [k for k, x in enumerate(keys) if x not in index]
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        for p, (core, tail) in split.items():
-            if tail:
-                known[p] = known[core] + known[tail]
+            raw, a, b = buf.tobytes(), s[at[new]].tolist(), e[at[new]].tolist()
+            self._learn([keys[k] for k in new], [raw[i:j].lower().decode() for i, j in zip(a, b, strict=True)])
+        slot = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[which] if len(keys) else np.zeros(0, np.int64)
+        n = self.length[slot]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.offset[slot] - end[:-1], n) + np.arange(end[-1])]
+        first = end[W.word_bounds(doc, len(off) - 1)].tolist()
+        out = [ids[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)]
+        if b"<|" in (raw := buf.tobytes()):     # may spell a special token, whose letter case counts
+            for k in range(len(out)):
+                if b"<|" in (text := raw[off[k]:off[k + 1]]):
+                    out[k] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
 
 _encoders: dict[str, WordIds] = {}
@@ -105,10 +135,12 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out = []
-            for uid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                out += [(uid, doc_id, s, min(window, n - s), zlib.crc32(ids[4 * s: 4 * (s + window)]), n) for s in range(0, n, window)]
+            uids, doc_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, _, buf, off in W.blocks(b.column(2), BLOCK_BYTES):
+                for k, ids in enumerate(enc.encode_block(buf, off), i):
+                    ids += end
+                    n = len(ids) // 4
+                    out += [(uids[k], doc_ids[k], s, min(window, n - s), zlib.crc32(ids[4 * s: 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else
                                              [pa.array([], pa.int64()) for _ in PIECES_ARROW], schema=PIECES_ARROW)
 
