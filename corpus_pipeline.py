@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import decontaminate, packing, pii, quality
-from skirmish.llm.common import fresh, read, stored
+from skirmish.llm import decontaminate, jaccard_join, packing, pii, quality
+from skirmish.llm.common import drop_keys, fresh, read, stored
 
 THRESHOLD = 0.7
 
@@ -23,13 +23,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, out_col=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates: five-word shingles,
+    a Jaccard similarity of 0.8 or more, groups closed over links."""
+    return jaccard_join.keep_one(docs, size=5, num=80)
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item (rows are told apart by a hash
     of id and text, so that rows without an id are judged too)."""
-    digest, name = F.xxhash64("doc_id", "text"), fresh(docs, "row_key")
+    digest = F.xxhash64("doc_id", "text")
     bad = decontaminate.contamination(docs.select(digest.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    bad = stored(bad.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.withColumn(name, digest).join(bad, name, "left_anti").drop(name)
+    return drop_keys(docs, digest, stored(bad.select("doc_id").distinct(), "contaminated"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +49,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", jaccard_stage),
     ("benchmark_decontamination", decontaminate_stage),
     ("pii", pii_stage),
     ("packing", packing_stage),

@@ -65,6 +65,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def drop_keys(df: DataFrame, key, losers: DataFrame, filter_blocks: int = 1 << 18) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a long expression) is not in ``losers``
+    (one long column). A Bloom filter of fixed size lets rows that cannot be
+    listed pass without a shuffle; the others meet the list in an anti join."""
+    import pandas as pd
+
+    name, listed = fresh(df, "drop_key"), losers.columns[0]
+    held = df.sparkSession.sparkContext.broadcast(BlockedBloom.build(losers, listed, filter_blocks))
+
+    @F.pandas_udf("boolean")
+    def listed_maybe(k: pd.Series) -> pd.Series:
+        return pd.Series(held.value.may_hold(k.to_numpy("int64")))
+
+    keyed = df.withColumn(name, key)
+    maybe = keyed.where(listed_maybe(name)).join(losers.select(F.col(listed).alias(name)), name, "left_anti")
+    return keyed.where(~listed_maybe(name)).unionByName(maybe).select(*df.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 on an unsigned 64-bit array."""
     x = x ^ (x >> np.uint64(30))
@@ -104,3 +122,31 @@ class BlockedBloom:
         for i in range(4):
             mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
         return (word & mask) == mask
+
+
+def sorted_runs(batches, n_keys: int = 1):
+    """Rows sorted by their first ``n_keys`` columns → one list of numpy column
+    arrays per run of equal keys, also across batch borders. The caller bounds
+    a run's length; at most one run and one batch are held."""
+    held = None
+    for b in batches:
+        cols = [_numpy(c) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        n = len(cols[0])
+        if n == 0:
+            held = None
+            continue
+        change = np.zeros(n - 1, dtype=bool)
+        for k in cols[:n_keys]:
+            change |= k[1:] != k[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [c[i:j] for c in cols]
+        held = [c[cuts[-1]:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _numpy(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)

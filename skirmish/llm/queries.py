@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from skirmish.llm import url_filter
 from skirmish.llm.decontaminate import op1_decontaminate
+from skirmish.llm.jaccard_join import op8_jaccard_join
 from skirmish.llm.license_scan import op10_license_scan
 from skirmish.llm.packing import op4_packing
 from skirmish.llm.pii import op3_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
 }
