@@ -5,6 +5,7 @@ a blocked Bloom filter of fixed size, and access to Arrow text buffers.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def drop_keys(df: DataFrame, key, losers: DataFrame, filter_blocks: int = 1 << 1
     """Rows of ``df`` whose ``key`` (a long expression) is not in ``losers``
     (one long column). A Bloom filter of fixed size lets rows that cannot be
     listed pass without a shuffle; the others meet the list in an anti join."""
-    import pandas as pd
-
     name, listed = fresh(df, "drop_key"), losers.columns[0]
     held = df.sparkSession.sparkContext.broadcast(BlockedBloom.build(losers, listed, filter_blocks))
 

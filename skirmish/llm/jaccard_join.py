@@ -20,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,8 +332,6 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         @F.pandas_udf("boolean")
         def wants(k):
-            import pandas as pd
-
             return pd.Series(held.value.may_hold(k.to_numpy("int64")))
 
         texts = stored(rows.select("tkey", "text").where(wants("tkey")).join(wanted, "tkey", "left_semi").dropDuplicates(["tkey"]), "texts")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,8 +209,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         out = np.zeros(len(texts))
         for i, j, buf, off in W.blocks(texts):
             out[i:j] = held.value.score(*passages(buf, off))
-        import pandas as pd
-
         return pd.Series(out)
 
     return docs.withColumn(out_col, run(F.col(text_col).cast("string")))
