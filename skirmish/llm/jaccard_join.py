@@ -28,11 +28,32 @@ from pyspark.sql import functions as F
 from skirmish.llm import words as W
 from skirmish.llm.common import BlockedBloom, connected_components, drop_keys, fresh, mix64, read, sorted_runs, stored
 
-GROUPS = 32
 CHUNK = 512
 LEAF = 16
 
 
+def group_counts(h: np.ndarray) -> bytes:
+    """Point of a set: a power of two of groups (two to four shingles in each on
+    average), one byte a group; what goes beyond 255 in a group is summed in
+    front, so that the bound stays an upper bound."""
+    groups = 16
+    while groups * 4 < len(h):
+        groups *= 2
+    n = np.bincount((h >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return np.array([np.maximum(n - 255, 0).sum()], "<u4").tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
+def point_matrix(points) -> np.ndarray:
+    """Points as rows; finer ones are folded to the coarsest (groups are hashes
+    modulo powers of two). The last coordinate is the sum in front."""
+    groups = min(len(p) for p in points) - 4
+    out = np.zeros((len(points), groups + 1), dtype=np.int32)
+    for k, p in enumerate(points):
+        out[k, :groups] = np.frombuffer(p, np.uint8, offset=4).reshape(-1, groups).sum(axis=0)
+        out[k, groups] = np.frombuffer(p, "<u4", count=1)[0]
+    return out
+
+
 class Sizes:
     """Size bands and slices for a threshold of ``num``/``den`` shared shingles."""
 
@@ -120,7 +141,7 @@ def _scan(size: int, sizes: Sizes):
                     own = h[first[k]:first[k + 1]]
                     out["fp"].append(int(W.window_sums(own, np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0)
                     out["keys"].append(signature(own, sizes).view(np.int64))
-                    out["point"].append(np.bincount((own >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4").tobytes())
+                    out["point"].append(group_counts(own))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCAN_ARROW], schema=SCAN_ARROW)
     return run
 
@@ -237,7 +258,7 @@ def _chain(rule: Sizes):
         for _, cls, n, point in sorted_runs(batches):
             if len(cls) < 2:
                 continue
-            p = np.frombuffer(b"".join(point), "<u4").reshape(len(cls), GROUPS).astype(np.int64)
+            p = point_matrix(point)
             for k in range(1, len(cls)):
                 bound = np.minimum(p[k], p[:k]).sum(axis=1) - rule.need(n[k], n[:k])
                 for other in {int(np.argmax(bound)), 0}:
@@ -260,7 +281,7 @@ def _search(rule: Sizes):
         for _, side, cls, comp, n, point in sorted_runs(batches):
             if (comp == comp[0]).all():
                 continue
-            p = np.frombuffer(b"".join(point), "<u4").reshape(len(cls), GROUPS).astype(np.int64)
+            p = point_matrix(point)
             probe, home = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
             tree = RTree(p[home], n[home], comp[home])
             for k in probe:

@@ -86,7 +86,7 @@ def test_linked_sets_share_a_key():
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(4)
     rule = J.Sizes(85)
-    p = rng.integers(0, 6, (200, J.GROUPS))
+    p = rng.integers(0, 6, (200, 33))
     n, comp = p.sum(axis=1), rng.integers(0, 50, 200)
     tree = J.RTree(p, n, comp)
     for k in range(0, 200, 7):
@@ -102,3 +102,14 @@ def test_keep_one(docs_frame):
     assert got.columns == ["doc_id", "text", "lang", "uid", "score"]
     assert [r for r in kept if r[1] != a] == sorted([(3, None), (3, None), (4, ""), (5, "other words here")], key=repr)
     assert len(kept) == 5
+
+
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(30, 30, 28), (700, 760, 690), (5000, 5600, 4000), (60, 2, 1)]:
+        a = rng.integers(1, 1 << 62, n + m - both).astype(np.uint64)
+        p = J.point_matrix([J.group_counts(a[:n]), J.group_counts(a[n - both:])])
+        assert both <= np.minimum(p[0], p[1]).sum() <= min(n, m)
+    heavy = np.arange(400, dtype=np.uint64) + np.uint64(7 << 50)      # all in one group
+    p = J.point_matrix([J.group_counts(heavy), J.group_counts(heavy[:390])])
+    assert np.minimum(p[0], p[1]).sum() >= 390
