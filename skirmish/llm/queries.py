@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from skirmish.llm import url_filter
+from skirmish.llm import substring_dedup, url_filter
 from skirmish.llm.decontaminate import op1_decontaminate
 from skirmish.llm.jaccard_join import op8_jaccard_join
 from skirmish.llm.license_scan import op10_license_scan
 from skirmish.llm.packing import op4_packing
 from skirmish.llm.pii import op3_pii
 from skirmish.llm.quality import op9_quality
+from skirmish.llm.substring_dedup import op7_substring_dedup
+from skirmish.llm.suffix_dedup import op2_suffix_dedup
 from skirmish.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE = {"op6_url_filter": url_filter.ORACLE_SQL}
+ORACLE = {"op6_url_filter": url_filter.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}
