@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from skirmish.llm import substring_dedup, url_filter
+from skirmish.llm import embedding_dedup, substring_dedup, url_filter
 from skirmish.llm.decontaminate import op1_decontaminate
+from skirmish.llm.embedding_dedup import op5_embedding_dedup
 from skirmish.llm.jaccard_join import op8_jaccard_join
 from skirmish.llm.license_scan import op10_license_scan
 from skirmish.llm.packing import op4_packing
@@ -21,10 +22,11 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE = {"op6_url_filter": url_filter.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE = {"op5_embedding_dedup": embedding_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_substring_dedup": substring_dedup.ORACLE_SQL}
