@@ -59,11 +59,13 @@ class Sizes:
 
     def __init__(self, num: int, den: int = 100):
         self.num, self.den = num, den
-        # the smallest size at which two different sets can reach the threshold
+        # bands as narrow as the threshold allows keep slices large, so that
+        # hardly any is empty or held by a common passage alone;
+        # the first begins at the smallest size at which two different sets can reach the threshold
         n = 1
         while self.spread(n, n) < 1:
             n += 1
-        self.first, edges, step = n, [n], (den / num) ** 3
+        self.first, edges, step = n, [n], den / num
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * step)))
         self.edges = np.array(edges)
@@ -346,8 +348,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     trees = stored(buckets.dropDuplicates(["bucket"]).select("bucket", "members"), "trees")
     member = trees.select("bucket", F.explode("members").alias("cls"))
 
+    def tested(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
         wanted = stored(pairs.select(F.col("a").alias("tkey")).union(pairs.select("b")).distinct(), "wanted")
         held = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(wanted, "tkey", filter_blocks))
 
@@ -358,35 +362,36 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         texts = stored(rows.select("tkey", "text").where(wants("tkey")).join(wanted, "tkey", "left_semi").dropDuplicates(["tkey"]), "texts")
         both = (pairs.join(texts.select(F.col("tkey").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("tkey").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
-        return both.mapInArrow(_verify(size, rule), PAIR)
+        return stored(both.mapInArrow(_verify(size, rule), PAIR), "links")
 
     def labelled(links: DataFrame) -> DataFrame:
         comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        return comp.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        return stored(comp.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
 
     chained = (member.join(points, "cls").select("bucket", "cls", "n", "point")
                .repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_chain(rule), PAIR))
-    links = stored(verified(chained), "links")
-    comp = stored(labelled(links), "components")
-
-    # second round: trees (and pairs of chunks of one key) that span components
-    named = (member.join(points, "cls").join(comp, "cls", "left")
-             .select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"), "n", "point"))
-    named = stored(named, "tree-members")
-    span = stored(named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "tree-span")
-    own = named.join(span.where("low <> high").select("bucket"), "bucket", "left_semi").select(
-        F.col("bucket").alias("tree"), F.lit(0).alias("side"), "cls", "comp", "n", "point")
+    first = tested(chained)
+    links = verified(first)
+    comp = labelled(links)
+
+    # second round: trees (and pairs of chunks of one key) that span components;
+    # the one pair of a tree of two is settled already
+    named = stored(member.join(comp, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("comp")), "tree-members")
+    span = stored(named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")), "tree-span")
+    own = named.join(span.where("low <> high AND n > 2").select("bucket"), "bucket", "left_semi").select(
+        F.col("bucket").alias("tree"), F.lit(0).alias("side"), "cls", "comp")
     chunks = buckets.where("chunk >= 0").select("key", "chunk", "bucket").join(span, "bucket")
     apart = (chunks.alias("x").join(chunks.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") < F.col("y.chunk"))
                                     & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))))
              .select(F.col("x.bucket").alias("p"), F.col("y.bucket").alias("q")).distinct()
              .select(F.xxhash64("p", "q").alias("tree"), F.explode(F.array(F.struct("p", F.lit(0).alias("side")), F.struct(F.col("q").alias("p"), F.lit(1).alias("side")))).alias("s"))
              .select("tree", F.col("s.side").alias("side"), F.col("s.p").alias("bucket")))
-    across = apart.join(named, "bucket").select("tree", "side", "cls", "comp", "n", "point")
-    more = (own.unionByName(across).repartition("tree").sortWithinPartitions("tree", "side", "cls").mapInArrow(_search(rule), PAIR))
-    second = stored(verified(more.join(links, ["a", "b"], "left_anti")), "links")
+    across = apart.join(named, "bucket").select("tree", "side", "cls", "comp")
+    more = (own.unionByName(across).join(points, "cls").select("tree", "side", "cls", "comp", "n", "point")
+            .repartition("tree").sortWithinPartitions("tree", "side", "cls").mapInArrow(_search(rule), PAIR))
+    second = verified(stored(tested(more).join(first, ["a", "b"], "left_anti"), "pairs"))
     if not second.isEmpty():
-        comp = stored(labelled(links.unionByName(second)), "components")
+        comp = labelled(links.unionByName(second))
 
     # class → component → smallest document
     by_fp = (classes.select("fp", "cls").join(comp, "cls", "left").select("fp", F.coalesce("comp", "cls").alias("comp")))
