@@ -338,11 +338,21 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
     scanned = stored(rows.select("doc_id", "tkey", "text").mapInArrow(_scan(size, rule), SCAN), "shingles")
-    classes = stored(scanned.where("n > 0").groupBy("fp").agg(
-        F.min("tkey").alias("cls"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")), "classes")
-    points = classes.select("cls", "n", "point")
+    some_words = scanned.where("n > 0")
+    # rows whose set occurs once pass as they are; only the others are grouped
+    again = stored(some_words.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("fp"), "repeated-sets")
+    repeated = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(again, "fp", filter_blocks))
 
-    dealt = classes.select(F.explode("keys").alias("key"), "cls")
+    @F.pandas_udf("boolean")
+    def may_repeat(k):
+        return pd.Series(repeated.value.may_hold(k.to_numpy("int64")))
+
+    def classes(*columns: str) -> DataFrame:
+        alone = some_words.where(~may_repeat("fp")).select("fp", F.col("tkey").alias("cls"), *columns)
+        return alone.unionByName(some_words.where(may_repeat("fp")).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
+
+    points = stored(classes("n", "point"), "points")
+    dealt = classes("keys").select(F.explode("keys").alias("key"), "cls")
     buckets = (dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, BUCKET))
     buckets = stored(buckets, "trees")
     trees = stored(buckets.dropDuplicates(["bucket"]).select("bucket", "members"), "trees")
@@ -368,7 +378,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         return stored(comp.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
 
-    chained = (member.join(points, "cls").select("bucket", "cls", "n", "point")
+    chained = (member.join(points.drop("fp"), "cls").select("bucket", "cls", "n", "point")
                .repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_chain(rule), PAIR))
     first = tested(chained)
     links = verified(first)
@@ -387,14 +397,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
              .select(F.xxhash64("p", "q").alias("tree"), F.explode(F.array(F.struct("p", F.lit(0).alias("side")), F.struct(F.col("q").alias("p"), F.lit(1).alias("side")))).alias("s"))
              .select("tree", F.col("s.side").alias("side"), F.col("s.p").alias("bucket")))
     across = apart.join(named, "bucket").select("tree", "side", "cls", "comp")
-    more = (own.unionByName(across).join(points, "cls").select("tree", "side", "cls", "comp", "n", "point")
+    more = (own.unionByName(across).join(points.drop("fp"), "cls").select("tree", "side", "cls", "comp", "n", "point")
             .repartition("tree").sortWithinPartitions("tree", "side", "cls").mapInArrow(_search(rule), PAIR))
     second = verified(stored(tested(more).join(first, ["a", "b"], "left_anti"), "pairs"))
     if not second.isEmpty():
         comp = labelled(links.unionByName(second))
 
     # class → component → smallest document
-    by_fp = (classes.select("fp", "cls").join(comp, "cls", "left").select("fp", F.coalesce("comp", "cls").alias("comp")))
+    by_fp = (points.select("fp", "cls").join(comp, "cls", "left").select("fp", F.coalesce("comp", "cls").alias("comp")))
     by_fp = stored(by_fp, "class-components")
     least = scanned.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc"))
     low = stored(least.join(by_fp, "fp").groupBy("comp").agg(F.min("doc").alias("component_id")), "component-ids")
