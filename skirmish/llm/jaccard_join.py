@@ -33,11 +33,11 @@ LEAF = 16
 
 
 def group_counts(h: np.ndarray) -> bytes:
-    """Point of a set: a power of two of groups (two to four shingles in each on
+    """Point of a set: a power of two of groups (about one shingle in each on
     average), one byte a group; what goes beyond 255 in a group is summed in
     front, so that the bound stays an upper bound."""
     groups = 16
-    while groups * 4 < len(h):
+    while groups * 3 < len(h) * 2:
         groups *= 2
     n = np.bincount((h >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
     return np.array([np.maximum(n - 255, 0).sum()], "<u4").tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
@@ -285,13 +285,21 @@ def _search(rule: Sizes):
                 continue
             p = point_matrix(point)
             probe, home = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
-            tree = RTree(p[home], n[home], comp[home])
+            # a pair across components has a member outside the largest one
+            names, sizes = np.unique(comp, return_counts=True)
+            most = names[np.argmax(sizes)]
+            one = side[0] == side[-1]
+            trees = [(RTree(p[home], n[home], comp[home]), home)]
+            outside = home[comp[home] != most]
+            trees.append((RTree(p[outside], n[outside], comp[outside]), outside) if len(outside) and not one else None)
             for k in probe:
-                for m in tree.search(p[k], int(n[k]), int(comp[k]), rule):
-                    a, b = int(cls[k]), int(cls[home[m]])
-                    if side[0] != side[-1] or a < b:
-                        left.append(a)
-                        right.append(b)
+                if comp[k] == most and trees[1] is None:
+                    continue
+                tree, of = trees[comp[k] == most]
+                for m in of[tree.search(p[k], int(n[k]), int(comp[k]), rule)]:
+                    if not one or comp[m] == most or cls[k] < cls[m]:
+                        left.append(int(cls[k]))
+                        right.append(int(cls[m]))
                 if len(left) > 20_000:
                     yield _pairs(left, right)
                     left, right = [], []
