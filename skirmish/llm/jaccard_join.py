@@ -295,7 +295,7 @@ def _search(rule: Sizes):
             for k in probe:
                 if comp[k] == most and trees[1] is None:
                     continue
-                tree, of = trees[comp[k] == most]
+                tree, of = trees[int(comp[k] == most)]
                 for m in of[tree.search(p[k], int(n[k]), int(comp[k]), rule)]:
                     if not one or comp[m] == most or cls[k] < cls[m]:
                         left.append(int(cls[k]))
