@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import win_rate, zone_suffix_sql
 from skirmish.operators.filters import page
+from skirmish.operators.maintain import match_keys
 
 
 def scores_with_kungfus(scores: DataFrame, role_kungfus: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def scores_with_kungfus(scores: DataFrame, role_kungfus: DataFrame) -> DataFrame
 
 
 def roles_with_scores(roles: DataFrame, scores: DataFrame, match_type: str = "3c",
-                      offset: int = 0, limit: int | None = 5000) -> DataFrame:
+                      offset: int = 0, limit: int | None = None) -> DataFrame:
     """Roles ⟕ scores, kept when the score is of ``match_type`` or
     absent; score DESC NULLS LAST (role id breaks ties); paged (Q3: the
     limit is applied)."""
@@ -77,10 +78,11 @@ def matches_of_role(matches: DataFrame, match_roles: DataFrame, role_id: str | N
                     limit: int | None = 20, offset: int = 0) -> DataFrame:
     """Matches joined with their participant rows (optionally of one
     role), match_id DESC NULLS LAST, paged (default 20)."""
-    mr = match_roles.select("match_id", "role_id", "kungfu", "score2", "team")
+    keys = match_keys(matches, match_roles)
+    mr = match_roles.select(*keys, "role_id", "kungfu", "score2", "team")
     if role_id is not None:
         mr = mr.where(F.col("role_id") == role_id)
-    x = matches.join(mr, "match_id", "inner").orderBy(F.col("match_id").desc_nulls_last(), "role_id")
+    x = matches.join(mr, keys, "inner").orderBy(F.col("match_id").desc_nulls_last(), "role_id")
     return page(x, limit, offset)
 
 
@@ -88,8 +90,9 @@ def match_history(match_roles: DataFrame, matches: DataFrame, role_id: str | Non
     """C11: a role's participant rows ⟕ matches by start_time ascending,
     NULLs last (PostgreSQL's default, Spark's is the opposite)."""
     mr = match_roles if role_id is None else match_roles.where(F.col("role_id") == role_id)
-    m = matches.select("match_id", "start_time", "grade", "winner")
-    return mr.join(m, "match_id", "left").orderBy(F.col("start_time").asc_nulls_last(), "match_id", "role_id")
+    keys = match_keys(match_roles, matches)
+    m = matches.select(*keys, "start_time", "grade", "winner")
+    return mr.join(m, keys, "left").orderBy(F.col("start_time").asc_nulls_last(), "match_id", "role_id")
 
 
 def role_recent_kungfus(roles: DataFrame, match_roles: DataFrame, matches: DataFrame, n: int = 100,
@@ -100,13 +103,14 @@ def role_recent_kungfus(roles: DataFrame, match_roles: DataFrame, matches: DataF
 
     r = roles.select(F.col("global_id").alias("role_id"))
     mr = match_roles if match_type is None else match_roles.where(F.col("match_type") == match_type)
-    mr = mr.select("match_id", "role_id", "kungfu")
-    m = matches.select("match_id", "start_time")
+    keys = match_keys(match_roles, matches)
+    mr = mr.select(*keys, "role_id", "kungfu")
+    m = matches.select(*keys, "start_time")
     # The window shuffles by role after the match join on purpose: its partial
     # group limit then cuts a hot role to n rows per map task before that
     # shuffle (joining roles last would reuse the role partitioning but feed a
     # hot role whole into one window task).
-    x = r.join(mr, "role_id", "inner").join(m, "match_id", "left")
+    x = r.join(mr, "role_id", "inner").join(m, keys, "left").select("role_id", "match_id", "kungfu", "start_time")
     return last_n_per_key(x, "role_id", [F.col("start_time").desc_nulls_first(), F.col("match_id").desc()], n)
 
 
@@ -115,8 +119,9 @@ def roles_of_ungraded_matches(matches: DataFrame, match_roles: DataFrame) -> Dat
     most first."""
     from skirmish.operators.filters import missing_grade
 
-    m = missing_grade(matches).select("match_id")
-    return (m.join(match_roles.select("match_id", "role_id"), "match_id", "left")
+    keys = match_keys(matches, match_roles)
+    m = missing_grade(matches).select(*keys)
+    return (m.join(match_roles.select(*keys, "role_id"), keys, "left")
             .groupBy("role_id").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), "role_id"))
 
@@ -192,8 +197,9 @@ def score_match_roles(match_roles: DataFrame, role_id: str, match_type: str, lim
 def grade_backfill(matches: DataFrame, history: DataFrame) -> DataFrame:
     """Grade NULL or 0 ← the history's avg_grade of the same match
     (both cases are filled, Q6)."""
-    h = history.groupBy("match_id").agg(F.max("avg_grade").cast("int").alias("_avg_grade"))
-    return (matches.join(h, "match_id", "left")
+    keys = match_keys(matches, history)
+    h = history.groupBy(*keys).agg(F.max("avg_grade").cast("int").alias("_avg_grade"))
+    return (matches.join(h, keys, "left").select(*matches.columns, "_avg_grade")
             .withColumn("grade", F.coalesce(F.nullif(F.col("grade"), F.lit(0)), F.col("_avg_grade")))
             .drop("_avg_grade"))
 

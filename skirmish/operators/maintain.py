@@ -15,28 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.operators.ordered import dictionary_versions, merge_seen_ranges, seen_sets
+from skirmish.operators.ordered import merge_seen_ranges, seen_sets
 
 LEVEL_FULL = 100  # fixed value: roles of this level go to ``roles``, others to ``lamb_roles``
-# A batch with at most this many distinct keys is broadcast (checked by a
-# capped count), so a large target is only scanned, never shuffled.
-BROADCAST_KEYS_MAX = 2_000_000
 KEY_DEFAULTS = {"global_id": "", "role_id": 0, "name": "", "zone": "", "server": ""}
 
 
-def batch_keys(batch: DataFrame, keys: list[str], max_keys: int | None = None):
-    """Distinct keys of a batch and whether they are few enough to broadcast
-    (a capped count — the size check behind every explicit broadcast here)."""
-    max_keys = BROADCAST_KEYS_MAX if max_keys is None else max_keys
-    k = batch.select(*keys).distinct()
-    return k, k.limit(max_keys + 1).count() <= max_keys
+def match_keys(*frames: DataFrame) -> list[str]:
+    """A match is (match_type, match_id): ids repeat across types. Frames that
+    do not carry the type (a log of one type) are met by the id alone."""
+    return ["match_type", "match_id"] if all("match_type" in f.columns for f in frames) else ["match_id"]
 
 
-def split_by_keys(target: DataFrame, keys_df: DataFrame, keys: list[str], small: bool):
-    """(rows of ``target`` whose key is in ``keys_df``, the other rows). With a
-    small key set it is broadcast: both halves are scans of the target."""
-    k = F.broadcast(keys_df) if small else keys_df
-    return target.join(k, keys, "left_semi"), target.join(k, keys, "left_anti")
+def split_by_keys(target: DataFrame, keys_df: DataFrame, keys: list[str]):
+    """(rows of ``target`` whose key is in ``keys_df``, the other rows); AQE
+    broadcasts a small key set by its measured size."""
+    return target.join(keys_df, keys, "left_semi"), target.join(keys_df, keys, "left_anti")
 
 
 # --------------------------------------------------------------------- I1
@@ -52,29 +46,27 @@ def collapse_updates(updates: DataFrame, keys: list[str], order: str | None) ->
     return updates.groupBy(*keys).agg(*aggs)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None,
+           keep_max: tuple[str, ...] = ()) -> DataFrame:
     """Insert new keys, update existing ones; a NULL in an update keeps
     the old value. Columns of the target not in the batch are kept.
 
-    A small batch (checked key count) touches only its keys: the target is
-    split by a broadcast semi/anti join (scans, no shuffle of the target) and
-    only the touched rows meet the batch; a large batch takes one full outer
-    join."""
-    u = collapse_updates(updates, keys, order)
-    ukeys, small = batch_keys(u, keys)
-    if small:
-        touched, untouched = split_by_keys(target, ukeys, keys, True)
-        return untouched.unionByName(_merge(touched, u, keys, target.columns))
-    return _merge(target, u, keys, target.columns)
+    One full outer join of the target with the collapsed batch; columns in
+    ``keep_max`` never go down (I7)."""
+    return _merge(target, collapse_updates(updates, keys, order), keys, target.columns, keep_max)
 
 
-def _merge(target: DataFrame, u: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _merge(target: DataFrame, u: DataFrame, keys: list[str], columns: list[str], keep_max: tuple[str, ...] = ()) -> DataFrame:
     j = target.alias("t").join(u.alias("u"), keys, "full_outer")
     out = []
     for c in target.columns:
         if c in keys:
             continue
-        out.append(F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) if c in u.columns else F.col(f"t.{c}"))
+        new = guard_fetched_count(F.col(f"u.{c}"), F.col(f"t.{c}")) if c in keep_max and c in u.columns else None
+        if c not in u.columns:
+            out.append(F.col(f"t.{c}"))
+        else:
+            out.append((F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")) if new is None else new).alias(c))
     return j.select(*keys, *out).select(*columns)
 
 
@@ -91,14 +83,8 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> Data
 
 
 def fresh_rows(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` (one per key) whose key is absent from ``target``. The
-    keys already present are found by a semi join of the target with the
-    batch's keys — broadcast when few (checked) — so the target is scanned,
-    not shuffled; then the batch is anti-joined with those few keys."""
-    one = new.dropDuplicates(keys)
-    nkeys, small = batch_keys(one, keys)
-    present, _ = split_by_keys(target.select(*keys), nkeys, keys, small)
-    return one.join(F.broadcast(present) if small else present, keys, "left_anti")
+    """Rows of ``new`` (one per key) whose key is absent from ``target``."""
+    return new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
 
 
 def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame,
@@ -110,44 +96,36 @@ def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame
     ``new`` holds match rows plus an array ``roles`` of participant structs
     (J9's form). Returns (matches', match_roles', scores').
     """
-    fresh = fresh_rows(matches, new, ["match_id"])
+    keys = match_keys(matches, new)
+    fresh = fresh_rows(matches, new, keys)
     m2 = matches.unionByName(fresh.select(*matches.columns))
     fields = [f.name for f in new.schema[roles_col].dataType.elementType.fields
               if f.name not in ("match_id", "match_type")]
     parts = fresh.select("match_id", "match_type", F.explode(roles_col).alias("p")).select(
         "match_id", "match_type", *[F.col(f"p.{f}").alias(f) for f in fields])
-    parts = parts.withColumn("role_id", F.col("role_id").cast("string"))
+    # J9's participants carry the account-wide id beside the in-game one
+    parts = parts.withColumn("role_id", F.col("global_id" if "global_id" in parts.columns else "role_id").cast("string"))
     mr_new = parts.select(*[F.col(c) if c in parts.columns else F.lit(None).cast(t).alias(c)
                             for c, t in match_roles.dtypes])
     # participant rows already stored for the new match ids (normally none)
-    ids, small = batch_keys(fresh, ["match_id"])
-    stored, _ = split_by_keys(match_roles.select("match_id", "role_id"), ids, ["match_id"], small)
-    mr2 = match_roles.unionByName(mr_new.join(stored, ["match_id", "role_id"], "left_anti"))
+    seat = [*match_keys(match_roles, fresh), "role_id"]
+    mr2 = match_roles.unionByName(mr_new.join(match_roles.select(*seat), seat, "left_anti"))
     n = parts.groupBy("role_id", "match_type").agg(F.count(F.lit(1)).alias("_n"))
     return m2, mr2, add_counts(scores, n)
 
 
 def add_counts(scores: DataFrame, n: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """fetched_count raised by ``_n`` per key (NULL + n stays NULL). Only the
-    score rows of the batch's keys are touched when those keys are few."""
+    """fetched_count raised by ``_n`` per key (NULL + n stays NULL)."""
     keys = keys or ["role_id", "match_type"]
-
-    def bump(df: DataFrame) -> DataFrame:
-        return (df.join(n, keys, "left")
-                .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
-                            .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
-                .drop("_n"))
-
-    nkeys, small = batch_keys(n, keys)
-    if small:
-        touched, untouched = split_by_keys(scores, nkeys, keys, True)
-        return untouched.unionByName(bump(touched).select(*scores.columns))
-    return bump(scores)
+    return (scores.join(n, keys, "left")
+            .withColumn("fetched_count", F.when(F.col("_n").isNull(), F.col("fetched_count"))
+                        .otherwise(F.col("fetched_count") + F.col("_n")).cast("int"))
+            .select(*scores.columns))
 
 
 def insert_match_logs(target: DataFrame, new: DataFrame) -> DataFrame:
     """Replays inserted when their match is absent."""
-    return insert_if_absent(target, new, ["match_id"])
+    return insert_if_absent(target, new, match_keys(target, new))
 
 
 # --------------------------------------------------------------------- I4–I6
@@ -167,9 +145,8 @@ def insert_role_logs(target: DataFrame, seen: DataFrame, day: str = "day") -> Da
     t = role_log_key(target).select(*keys, "seen")
     s = role_log_key(seen.where(F.col("global_id").isNotNull() & (F.col("global_id") != "")))
     days = s.select(*keys, day_range(F.col(day)).alias("seen"))
-    touched_keys, small = batch_keys(days, keys)
     # logs of keys without new days are kept as they are; only touched keys are re-merged
-    touched, untouched = split_by_keys(t, touched_keys, keys, small)
+    touched, untouched = split_by_keys(t, days.select(*keys).distinct(), keys)
     old = touched.select(*keys, F.explode("seen").alias("seen"))
     return untouched.unionByName(seen_sets(merge_seen_ranges(old.unionByName(days), keys), keys))
 
@@ -187,14 +164,20 @@ def retire_lamb_roles(lamb_roles: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- I8–I9
-def dictionary_push(dictionary: DataFrame, entries: DataFrame, mode: str = "insert_only") -> DataFrame:
+def dictionary_push(dictionary: DataFrame, entries: DataFrame, mode: str = "insert_only", order: str | None = None) -> DataFrame:
     """I8: push (tag, id, content) entries.
 
     insert_only: only absent keys are added; overwrite: absent keys added,
     present ones replaced when the content changed; force: every entry is
-    written (last one per key wins)."""
+    written. Of several entries of one key in the batch, insert_only takes the
+    first and the other modes the last by ``order``; without an order column
+    the smallest content, so that the result does not depend on the plan."""
     keys = ["tag", "id"]
-    e = entries.select("tag", "id", "content").dropDuplicates(keys)
+    if order is None:
+        pick = F.min("content")
+    else:
+        pick = (F.min_by if mode == "insert_only" else F.max_by)("content", F.struct(order, "content"))
+    e = entries.groupBy(*keys).agg(pick.alias("content")).select("tag", "id", "content")
     if mode == "insert_only":
         return insert_if_absent(dictionary, e, keys)
     if mode in ("overwrite", "force"):
@@ -207,11 +190,6 @@ def dictionary_push(dictionary: DataFrame, entries: DataFrame, mode: str = "inse
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def dictionary_version(known: DataFrame, values: DataFrame, order: str) -> DataFrame:
-    """I8 ``version`` mode: dense first-seen ids."""
-    return dictionary_versions(known, values, order)
-
-
 def dictionary_find(dictionary: DataFrame, tag: str, *, content=None, key=None) -> DataFrame:
     """Lookup both ways — content → key rows, or key → content rows."""
     d = dictionary.where(F.col("tag") == tag)
@@ -237,8 +215,8 @@ def passport_backfill(roles: DataFrame) -> DataFrame:
 
 def repair_matches(matches: DataFrame, inferred: DataFrame) -> DataFrame:
     """Take E5's role_ids where the inference was accepted."""
-    fixed = inferred.where(F.col("status") == "fixed").select("match_id", "role_ids")
-    return upsert(matches, fixed, ["match_id"])
+    keys = match_keys(matches, inferred)
+    return upsert(matches, inferred.where(F.col("status") == "fixed").select(*keys, "role_ids"), keys)
 
 
 def role_seen_from_match(participants: DataFrame, matches: DataFrame, roles: DataFrame) -> DataFrame:
@@ -246,13 +224,14 @@ def role_seen_from_match(participants: DataFrame, matches: DataFrame, roles: Dat
     fields filled from the stored role. Output feeds I4."""
     from skirmish.functions.scalars import start_date, start_time
 
-    m = matches.select("match_id", start_date(start_time("start_time")).alias("day"))
+    keys = match_keys(participants, matches)
+    m = matches.select(*keys, start_date(start_time("start_time")).alias("day"))
     r = roles.select("global_id", F.col("role_id").alias("_rid"), F.col("name").alias("_name"),
                      F.col("zone").alias("_zone"), F.col("server").alias("_server"))
-    p = participants.select("match_id", F.col("role_id").alias("global_id"),
+    p = participants.select(*keys, F.col("role_id").alias("global_id"),
                             *[F.col(c) if c in participants.columns else F.lit(None).alias(c)
                               for c in ["name", "zone", "server"]])
-    x = p.join(m, "match_id", "inner").join(r, "global_id", "left")
+    x = p.join(m, keys, "inner").join(r, "global_id", "left")
     return x.select("global_id", F.col("_rid").alias("role_id"),
                     F.coalesce("name", "_name").alias("name"), F.coalesce("zone", "_zone").alias("zone"),
                     F.coalesce("server", "_server").alias("server"), "day")
@@ -267,9 +246,15 @@ def attach_person(role_rows: DataFrame, person_rows: DataFrame, key: str = "glob
 
 def save_performance(scores: DataFrame, perf: DataFrame, order: str | None = None):
     """One score row per (role, match type) where the payload has a
-    score; returns (scores', score_log rows)."""
+    score, with its ranking parsed (H11) and a fetched_count that never goes
+    down (I7); returns (scores', score_log rows)."""
     from skirmish.operators.ordered import score_history
 
     rows = perf.where(F.col("score").isNotNull())
+    if dict(rows.dtypes).get("ranking") == "string":
+        from skirmish.functions.scalars import parse_ranking
+
+        rows = rows.withColumn("ranking", parse_ranking("ranking"))
     cols = [c for c in rows.columns if c in scores.columns or c == order]
-    return upsert(scores, rows.select(*cols), ["role_id", "match_type"], order), score_history(rows)
+    return upsert(scores, rows.select(*cols), ["role_id", "match_type"], order,
+                  keep_max=("fetched_count",)), score_history(rows)

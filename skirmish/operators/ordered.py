@@ -72,10 +72,13 @@ def infer_teams(match_roles: DataFrame, matches: DataFrame) -> DataFrame:
     match; otherwise the status names the first failed check. Per match the
     list is bounded by the seats.
     """
-    p = match_roles.groupBy("match_id").agg(F.array_sort(F.collect_list(
+    from skirmish.operators.maintain import match_keys
+
+    keys = match_keys(match_roles, matches)
+    p = match_roles.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct("inserted_at", "role_id", "kungfu", "score2"))).alias("_p"))
-    m = matches.select("match_id", "team1_kungfu", "team2_kungfu", "team1_score", "team2_score")
-    x = m.join(p, "match_id", "inner")
+    m = matches.select(*keys, "team1_kungfu", "team2_kungfu", "team1_score", "team2_score")
+    x = m.join(p, keys, "inner")
     n1, n2 = F.size("team1_kungfu"), F.size("team2_kungfu")
     t1 = F.slice("_p", F.lit(1), F.greatest(n1, F.lit(1)))
     t2 = F.slice("_p", n1 + 1, F.greatest(n2, F.lit(1)))
@@ -84,9 +87,9 @@ def infer_teams(match_roles: DataFrame, matches: DataFrame) -> DataFrame:
     status = (F.when(F.size("_p") != n1 + n2, F.lit("size_mismatch"))
               .when((classes(t1) != F.array_sort("team1_kungfu")) | (classes(t2) != F.array_sort("team2_kungfu")),
                     F.lit("kungfu_mismatch"))
-              .when((total(t1) != F.col("team1_score")) | (total(t2) != F.col("team2_score")), F.lit("score_mismatch"))
+              .when(~(total(t1).eqNullSafe(F.col("team1_score")) & total(t2).eqNullSafe(F.col("team2_score"))), F.lit("score_mismatch"))
               .otherwise(F.lit("fixed")))
-    return x.select("match_id", F.transform("_p", lambda e: e["role_id"]).alias("role_ids"), status.alias("status"))
+    return x.select(*keys, F.transform("_p", lambda e: e["role_id"]).alias("role_ids"), status.alias("status"))
 
 
 # --------------------------------------------------------------------- E6–E7
@@ -114,12 +117,11 @@ def add_seen_days(ranges: DataFrame, days: DataFrame, keys: list[str], day: str
     """Add days to each key's range set: a day inside stays, an adjacent
     day extends, a bridging day joins two ranges, else it is a new range."""
     d = days.select(*keys, make_range(F.col(day), F.date_add(F.col(day), 1)).alias(col))
-    from skirmish.operators.maintain import batch_keys, split_by_keys
+    from skirmish.operators.maintain import split_by_keys
 
     r = ranges.select(*keys, col)
-    touched_keys, small = batch_keys(d, keys)
     # only keys that got a day are re-merged; the others pass through as they are
-    touched, untouched = split_by_keys(r, touched_keys, keys, small)
+    touched, untouched = split_by_keys(r, d.select(*keys).distinct(), keys)
     return untouched.unionByName(merge_seen_ranges(touched.unionByName(d), keys, col))
 
 
@@ -202,7 +204,12 @@ def score_history(perf_updates: DataFrame) -> DataFrame:
     """Every score observation that carries a score (append log)."""
     cols = [c for c in ["role_id", "match_type", "score", "grade", "ranking", "total_count", "win_count",
                         "mvp_count", "inserted_at"] if c in perf_updates.columns]
-    return perf_updates.where(F.col("score").isNotNull()).select(*cols)
+    rows = perf_updates.where(F.col("score").isNotNull())
+    if dict(rows.dtypes).get("ranking") == "string":
+        from skirmish.functions.scalars import parse_ranking
+
+        rows = rows.withColumn("ranking", parse_ranking("ranking"))
+    return rows.select(*cols)
 
 
 # --------------------------------------------------------------------- F

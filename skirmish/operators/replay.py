@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 
+from skirmish.operators.maintain import match_keys
+
 REPLAY_ITEM = T.StructType([
     T.StructField("ts", T.LongType()),
     T.StructField("skillId", T.LongType()),
@@ -57,8 +60,9 @@ def first_skill(replay: Column | str = "replay") -> Column:
 def replay_with_match(replays: DataFrame, matches: DataFrame) -> DataFrame:
     """Parsed replays ⟕ matches, size guard, seat split. Keeps
     match_id, replay, players, team1_ids, team2_ids, match_duration."""
-    m = matches.select("match_id", "role_ids", "team1_kungfu", "team2_kungfu")
-    x = replays.join(m, "match_id", "left")
+    keys = match_keys(replays, matches)
+    m = matches.select(*keys, "role_ids", "team1_kungfu", "team2_kungfu")
+    x = replays.join(m, keys, "left")
     n1, n2 = F.size("team1_kungfu"), F.size("team2_kungfu")
     x = x.where(F.size("role_ids") == n1 + n2)
     return x.select("match_id", "replay", "players",

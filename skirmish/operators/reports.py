@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skirmish.operators.maintain import match_keys
 from skirmish.functions.scalars import start_date, start_time, win_rate
 
 # A (day, team) group is a fixed team when it played more than this many times.
@@ -132,7 +133,7 @@ def label_teams(teams: DataFrame, day_map: DataFrame, strict: bool = False) -> D
     # The opponent is the other row of the same match: its own flag is the
     # day-map flag of our anta_role_ids, so no second join is needed.
     flag = F.col("in_team").cast("int")
-    total = F.sum(flag).over(Window.partitionBy("match_id"))
+    total = F.sum(flag).over(Window.partitionBy(*match_keys(teams)))
     return own.withColumn("anta_in_team", (total - flag) > 0)
 
 

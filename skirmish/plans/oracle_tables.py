@@ -88,7 +88,6 @@ SELECT CAST(o_custkey AS VARCHAR) AS role_id,
        CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE CAST(o_custkey % 97 AS INTEGER) END AS ranking,
        CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE max(o_orderdate) END AS fetched_at
 FROM orders
-WHERE o_custkey % 7 <> 0
 GROUP BY o_custkey
 """
 

@@ -17,7 +17,7 @@ from skirmish.streaming import streams as L
 
 def _land(df, path: str, parts: list) -> None:
     for i, cond in enumerate(parts):
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/file={i}")
+        df.where(cond).write.mode("overwrite").parquet(f"{path}/file={i}")
 
 
 def _run_insert_stream(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.functions.scalars import empty_nil, grade_of_score, icon_url_trim, percent_name
+from skirmish.functions.scalars import empty_nil, grade_of_score, icon_url_trim, parse_ranking, percent_name
 
 S, L, I, D, B = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
@@ -32,17 +32,17 @@ TOP200_ENTRY = st(("passportId", S), ("globalId", S), ("personId", S), ("personI
     ("gameRoleId", S), ("roleName", S), ("server", S), ("zone", S), ("force", S), ("bodyType", S),
     ("person", PERSON))))
 PERSON_ROLE = st(("gameGlobalRoleId", S), ("gameRoleId", S), ("passport_id", S), ("name", S), ("server", S),
-                 ("zone", S), ("force", S), ("bodily", S), ("level", I), ("valid", B), ("person_id", S),
+                 ("zone", S), ("force", S), ("bodily", S), ("level", S), ("valid", B), ("person_id", S),
                  ("person_name", S), ("person_avatar", S))
 SKILL = st(("icon", S), ("name", S), ("accuracy", D), ("success_times", L), ("times", L))
 ROLE_KUNGFU = st(("name", S), ("skills", arr(SKILL)))
 ROLE_BY_GID = st(("personInfo", st(("gameGlobalRoleId", S), ("gameRoleId", S), ("roleName", S), ("server", S),
                                    ("zone", S), ("force", S), ("bodyType", S), ("person", PERSON))),
                  ("passportId", S), ("personId", S))
-METRIC_ITEM = st(("grade", I), ("name", S), ("value", S), ("ranking", I))
+METRIC_ITEM = st(("grade", I), ("name", S), ("value", S), ("ranking", S))
 INDICATOR = st(("type", S), ("metrics", arr(st(("kungfu", S), ("mvp_count", L), ("total_count", L), ("win_count", L),
                                                 ("items", arr(METRIC_ITEM))))),
-               ("performance", st(("grade", I), ("mmr", I), ("ranking", I), ("total_count", L), ("win_count", L),
+               ("performance", st(("grade", I), ("mmr", I), ("ranking", S), ("total_count", L), ("win_count", L),
                                   ("mvp_count", L))))
 ROLE_INDICATOR = st(("person_info", st(("person_id", S), ("person_name", S))),
                     ("role_info", st(("global_role_id", S), ("role_id", S), ("name", S), ("server", S), ("zone", S),
@@ -57,7 +57,7 @@ ARMOR = st(("ui_id", S), ("name", S), ("icon", S), ("quality", I), ("strength_le
            ("mount4", S), ("mount5", S), ("pos", I))
 TALENT = st(("id", S), ("name", S), ("icon", S), ("level", I))
 PLAYER = st(("global_role_id", S), ("role_id", S), ("role_name", S), ("zone", S), ("server", S), ("kungfu_id", I),
-            ("kungfu", S), ("mmr", I), ("score", I), ("ranking", I), ("total_count", I), ("win_count", I),
+            ("kungfu", S), ("mmr", I), ("score", I), ("ranking", S), ("total_count", I), ("win_count", I),
             ("mvp_count", I), ("equip_score", I), ("equip_strength_score", I), ("stone_score", I), ("max_hp", I),
             ("metrics", arr(NAMED_VALUE)), ("armors", arr(ARMOR)), ("talents", arr(TALENT)),
             ("body_qualities", arr(NAMED_VALUE)))
@@ -119,7 +119,7 @@ def flatten_person_roles(df: DataFrame, col: str = "payload") -> DataFrame:
         empty_nil("gameGlobalRoleId").alias("global_id"), _role_id_long(F.col("gameRoleId")).alias("role_id"),
         empty_nil("passport_id").alias("passport_id"), empty_nil("name").alias("name"),
         empty_nil("server").alias("server"), empty_nil("zone").alias("zone"), empty_nil("force").alias("force"),
-        empty_nil("bodily").alias("body_type"), F.lit(None).cast("string").alias("camp"), "level", "valid",
+        empty_nil("bodily").alias("body_type"), F.lit(None).cast("string").alias("camp"), F.col("level").try_cast("int").alias("level"), "valid",
         empty_nil("person_id").alias("person_id"), empty_nil("person_name").alias("person_name"),
         empty_nil("person_avatar").alias("avatar"), F.lit(None).cast("string").alias("signature"))
 
@@ -164,7 +164,7 @@ def flatten_role_indicator(df: DataFrame, col: str = "payload"):
     ind = d.select(empty_nil(r["global_role_id"]).alias("role_id"), F.explode("d.indicator").alias("i"))
     perf = ind.where(F.col("i.performance").isNotNull()).select(
         "role_id", F.col("i.type").alias("match_type"), F.col("i.performance.grade").alias("grade"),
-        F.col("i.performance.mmr").alias("score"), F.col("i.performance.ranking").alias("ranking"),
+        F.col("i.performance.mmr").alias("score"), parse_ranking(F.col("i.performance.ranking")).alias("ranking"),
         F.col("i.performance.total_count").alias("total_count"), F.col("i.performance.win_count").alias("win_count"),
         F.col("i.performance.mvp_count").alias("mvp_count"))
     metrics = ind.select("role_id", F.col("i.type").alias("match_type"), F.explode("i.metrics").alias("m")).select(
@@ -236,7 +236,7 @@ def flatten_match_detail(df: DataFrame, col: str = "payload"):
         "match_id", "match_type", "team",
         p["global_role_id"].alias("global_id"), p["role_id"].alias("role_id"), p["role_name"].alias("name"),
         p["zone"].alias("zone"), p["server"].alias("server"), p["kungfu_id"].alias("kungfu"),
-        p["mmr"].alias("score"), p["score"].alias("score2"), p["ranking"].alias("ranking"),
+        p["mmr"].alias("score"), p["score"].alias("score2"), parse_ranking(p["ranking"]).alias("ranking"),
         grade_of_score(p["score"]).alias("grade"), p["total_count"].alias("total_count"),
         p["win_count"].alias("win_count"), p["mvp_count"].alias("mvp_count"), p["equip_score"].alias("equip_score"),
         equip_addition(p["equip_strength_score"], p["stone_score"]).alias("equip_addition_score"),

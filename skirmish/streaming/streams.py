@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skirmish.operators.maintain import add_counts, fresh_rows
+from skirmish.operators.maintain import add_counts, fresh_rows, match_keys
 from skirmish.operators.ordered import change_log
 
 BATCH_COL = "batch"
@@ -54,13 +54,19 @@ def _batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
+def _landing(spark: SparkSession, schema, path: str, max_files: int | None) -> DataFrame:
+    """Arriving files; the size of a micro-batch is Spark's own unless given."""
+    reader = spark.readStream.schema(schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
+
+
 def seed(df: DataFrame, path: str) -> None:
     """Write the initial table as batch 0."""
     _write_batch(df, path, 0)
 
 
 def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str, checkpoint: str,
-                          key: str = "match_id", max_files: int = 1, roles_col: str | None = None,
+                          key: tuple[str, ...] | None = None, max_files: int | None = None, roles_col: str | None = None,
                           roles_target: str | None = None, fetched_deltas: str | None = None) -> StreamingQuery:
     """L1: the ingest of I2 as a stream. Arriving match rows are inserted
     when their key is absent; with ``roles_col`` (J9's participant array)
@@ -74,14 +80,14 @@ def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         b = epoch_id + 1
-        fresh = fresh_rows(_read_before(spark, target, b, schema), df, [key])
+        fresh = fresh_rows(_read_before(spark, target, b, schema), df, list(key or match_keys(df)))
         if roles_col is None:
             _write_batch(fresh, target, b)
             return
         fresh = fresh.persist()  # used by three writes; recomputed from the batch if lost
         try:
             _write_batch(fresh.drop(roles_col), target, b)
-            parts = fresh.select(key, "match_type", F.explode(roles_col).alias("p")).select(key, "match_type", "p.*")
+            parts = fresh.select("match_id", "match_type", F.explode(roles_col).alias("p")).select("match_id", "match_type", "p.*")
             if roles_target:
                 _write_batch(parts, roles_target, b)
             if fetched_deltas:
@@ -89,7 +95,7 @@ def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str
         finally:
             fresh.unpersist()
 
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
+    src = _landing(spark, schema, landing, max_files)
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
@@ -105,7 +111,7 @@ SNAPSHOT_EVERY = 10  # batches between full state snapshots
 
 
 def stream_passport_changes(spark: SparkSession, landing: str, schema, log: str, state: str, checkpoint: str,
-                            null_safe: bool = False, max_files: int = 1,
+                            null_safe: bool = False, max_files: int | None = None,
                             snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """L2: the passport change log with the last row per role kept as state.
 
@@ -150,7 +156,7 @@ def stream_passport_changes(spark: SparkSession, landing: str, schema, log: str,
         if b % snapshot_every == 0:
             _write_batch(last_of(last.unionByName(delta)), f"{state}/snap", b)
 
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
+    src = _landing(spark, schema, landing, max_files)
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

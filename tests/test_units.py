@@ -382,18 +382,13 @@ def test_stream_insert_counts_are_replay_safe(spark, tmp_path):
             [(1, "a"), (1, "b"), (2, "a")]
 
 
-def test_small_and_large_batch_paths_agree(spark, monkeypatch):
+def test_upsert_and_insert_of_a_batch(spark):
     t = spark.createDataFrame([(f"k{i}", i, "x") for i in range(20)], "k string, a int, b string")
     u = spark.createDataFrame([("k1", None, "y", 1), ("k1", 9, None, 2), ("k99", 5, None, 1)],
                               "k string, a int, b string, seq int")
     new = spark.createDataFrame([("k3", 0, "n"), ("k50", 1, "n"), ("k50", 1, "n")], "k string, a int, b string")
     small_up = sorted(map(tuple, M.upsert(t, u, ["k"], order="seq").collect()))
     small_ins = sorted(map(tuple, M.insert_if_absent(t, new, ["k"]).collect()))
-    plan = M.upsert(t, u, ["k"], order="seq")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-    monkeypatch.setattr(M, "BROADCAST_KEYS_MAX", 0)
-    assert sorted(map(tuple, M.upsert(t, u, ["k"], order="seq").collect())) == small_up
-    assert sorted(map(tuple, M.insert_if_absent(t, new, ["k"]).collect())) == small_ins
     assert ("k1", 9, "y") in small_up and ("k99", 5, None) in small_up and len(small_up) == 21
     assert len(small_ins) == 21
 
@@ -465,3 +460,26 @@ def test_scale_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(1024, 8)["spark.sql.shuffle.partitions"]) == 24
     assert c["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_a_match_is_its_type_and_id(spark):
+    m = spark.createDataFrame([(1, "2c", 5)], "match_id long, match_type string, grade int")
+    new = spark.createDataFrame([(1, "3c", 6), (1, "2c", 7)], m.schema)
+    assert sorted(map(tuple, M.insert_if_absent(m, new, M.match_keys(m, new)).collect())) == [(1, "2c", 5), (1, "3c", 6)]
+    assert M.match_keys(m, m.drop("match_type")) == ["match_id"]
+
+
+def test_performance_rules(spark):
+    s = spark.createDataFrame([("a", "3c", 1, 50, 3)], "role_id string, match_type string, score int, fetched_count int, ranking int")
+    p = spark.createDataFrame([("a", "3c", 2, 3, "12%"), ("b", "3c", 4, None, "-")], "role_id string, match_type string, score int, fetched_count int, ranking string")
+    out, log = M.save_performance(s, p)
+    assert sorted(map(tuple, out.collect())) == [("a", "3c", 2, 50, -12), ("b", "3c", 4, None, None)]
+    assert {r["ranking"] for r in log.collect()} == {-12, None}
+
+
+def test_dictionary_order(spark):
+    d = spark.createDataFrame([("t", "1", "old")], "tag string, id string, content string")
+    e = spark.createDataFrame([("t", i, f"v{k}", k) for i in ("1", "2") for k in range(5)], "tag string, id string, content string, seq int")
+    last = {r["id"]: r["content"] for r in M.dictionary_push(d, e, "force", order="seq").collect()}
+    first = {r["id"]: r["content"] for r in M.dictionary_push(d, e, "insert_only", order="seq").collect()}
+    assert last == {"1": "v4", "2": "v4"} and first == {"1": "old", "2": "v0"}
