@@ -112,9 +112,15 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int, values=W.FOLDED):
     return win[new], np.searchsorted(owner[new], np.arange(n_docs + 1))
 
 
-SCAN = "doc_id long, tkey long, n long, fp long, keys array<long>, point binary"
-SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()),
-                        ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
+SCAN = "doc_id long, tkey long, n long, fp long, point binary"
+SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("point", pa.binary())])
+KEYS = "tkey long, fp long, keys array<long>"
+KEYS_ARROW = pa.schema([("tkey", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """Hash of a set (its sorted hashes); 0 if empty."""
+    return int(W.window_sums(own, np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0
 
 
 def signature(h: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -132,19 +138,31 @@ def signature(h: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _scan(size: int, sizes: Sizes):
+def _sets(batches: Iterator[pa.RecordBatch], text_at: int, size: int):
+    """(rows, their shingle sets) per block of texts."""
+    for b in batches:
+        for i, j, buf, off in W.blocks(b.column(text_at)):
+            h, first = shingle_sets(buf, off, size)
+            yield b.slice(i, j - i), [h[first[k]:first[k + 1]] for k in range(j - i)]
+
+
+def _arrow(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, tkeys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j, buf, off in W.blocks(b.column(2)):
-                h, first = shingle_sets(buf, off, size)
-                out = {"doc_id": ids[i:j], "tkey": tkeys[i:j], "n": np.diff(first), "fp": [], "keys": [], "point": []}
-                for k in range(j - i):
-                    own = h[first[k]:first[k + 1]]
-                    out["fp"].append(int(W.window_sums(own, np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0)
-                    out["keys"].append(signature(own, sizes).view(np.int64))
-                    out["point"].append(group_counts(own))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCAN_ARROW], schema=SCAN_ARROW)
+        for b, sets in _sets(batches, 2, size):
+            yield _arrow(SCAN_ARROW, b.column(0), b.column(1), [len(s) for s in sets], [fingerprint(s) for s in sets], [group_counts(s) for s in sets])
+    return run
+
+
+def _keys(size: int, sizes: Sizes):
+    """A second pass over the texts: keys are most of what a set is dealt by,
+    and hashing again costs less than storing them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, 1, size):
+            yield _arrow(KEYS_ARROW, b.column(0), [fingerprint(s) for s in sets], [signature(s, sizes).view(np.int64) for s in sets])
     return run
 
 
@@ -345,7 +363,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rule = Sizes(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
-    scanned = stored(rows.select("doc_id", "tkey", "text").mapInArrow(_scan(size, rule), SCAN), "shingles")
+    scanned = stored(rows.select("doc_id", "tkey", "text").mapInArrow(_scan(size), SCAN), "shingles")
     some_words = scanned.where("n > 0")
     # rows whose set occurs once pass as they are; only the others are grouped
     again = stored(some_words.groupBy("fp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("fp"), "repeated-sets")
@@ -355,12 +373,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def may_repeat(k):
         return pd.Series(repeated.value.may_hold(k.to_numpy("int64")))
 
-    def classes(*columns: str) -> DataFrame:
-        alone = some_words.where(~may_repeat("fp")).select("fp", F.col("tkey").alias("cls"), *columns)
-        return alone.unionByName(some_words.where(may_repeat("fp")).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
+    def classes(sets: DataFrame, *columns: str) -> DataFrame:
+        alone = sets.where(~may_repeat("fp")).select("fp", F.col("tkey").alias("cls"), *columns)
+        return alone.unionByName(sets.where(may_repeat("fp")).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
 
-    points = stored(classes("n", "point"), "points")
-    dealt = classes("keys").select(F.explode("keys").alias("key"), "cls")
+    points = stored(classes(some_words, "n", "point"), "points")
+    keyed = rows.select("tkey", "text").mapInArrow(_keys(size, rule), KEYS).where(F.size("keys") > 0)
+    dealt = classes(keyed, "keys").select(F.explode("keys").alias("key"), "cls")
     buckets = (dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, BUCKET))
     buckets = stored(buckets, "trees")
     trees = stored(buckets.dropDuplicates(["bucket"]).select("bucket", "members"), "trees")
