@@ -1,14 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question keeps its
-template when its values change. Windows of the templates are hashed; a Bloom
-filter of fixed size lets only likely benchmark windows leave a document, an
-exact hash join finds the items, and the slots (the values behind the
-placeholders) must be replaced consistently along one alignment.
+template when its values change; a number with its separators and a run of name
+words are one placeholder. Windows of the templates are hashed; a Bloom filter
+of fixed size lets only likely benchmark windows leave a document, an exact hash
+join finds the items, their windows are chained over neighbouring shifts, and
+the slots (the values behind the placeholders) must be replaced consistently
+along one alignment.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ from skirmish.llm.common import BlockedBloom, mix64, read, stored
 WINDOW = 8          # tokens of a template window
 LITERAL = 4         # of which at least so many are no placeholders
 COVER = 0.5         # share of an item's windows that an alignment must hold
+SLACK = 8           # tokens by which the shift may change from one held window to the next
 # fixed list of unit words
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms us ns hz khz mhz ghz w kw mw v kv a ma pa kpa bar j kj cal kcal "
          "c f k usd eur gbp dollars euros pounds cents percent meter meters metre metres kilometers kilometres miles inches feet yards grams "
@@ -42,10 +46,15 @@ _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 46, 58, 63]] = True      # line feed ! . : ?
+_SEPARATOR = np.zeros(256, dtype=bool)
+_SEPARATOR[[39, 44, 46, 47, 58]] = True  # ' , . / : between the digits of one number
+_APART = np.ones(256, dtype=bool)
+_APART[[32, 9, 45]] = False             # blanks and hyphens join the words of a name
 
 
 def templates(buf: np.ndarray, off: np.ndarray):
-    """Per word: its hash, its template token and whether that is a placeholder; and its document."""
+    """Per token: the hash of its value, its template token, whether that is a placeholder, and its
+    document. A token is a word, a whole number or a run of name words."""
     s, e, doc = W.spans(buf, off, W.WORD)
     h = W.word_hashes(buf, s, e, W.FOLDED)
     if len(s) == 0:
@@ -63,7 +72,15 @@ def templates(buf: np.ndarray, off: np.ndarray):
     unit = after & ~number & (UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, h), len(UNIT_HASHES) - 1)] == h)
     token = h.copy()
     token[name], token[unit], token[number] = NAME, UNIT, NUM
-    return h, token, name | unit | number, doc
+    apart = np.concatenate([[0], np.cumsum(_APART[buf])])
+    joins = np.zeros(len(s), dtype=bool)                     # goes on with the value of the word before
+    joins[1:] = ~new_doc[1:] & (number[1:] & number[:-1] & (s[1:] - e[:-1] == 1) & _SEPARATOR[buf[e[:-1]]]
+                                | name[1:] & name[:-1] & (apart[s[1:]] == apart[e[:-1]]))
+    head = np.flatnonzero(~joins)
+    end = np.append(head[1:], len(s))
+    value, many = h[head], end - head > 1
+    value[many] = W.window_sums(h, head[many], end[many])
+    return value, token[head], (name | unit | number)[head], doc[head]
 
 
 def windows(h, token, slot, doc, size: int, literal: int):
@@ -104,16 +121,76 @@ def _window_rows(size: int, literal: int, held=None):
     return run
 
 
+def alignments(item_pos: list[int], pos: list[int], slack: int, need: float) -> list[list[int]]:
+    """Chains of hits (window of the item, window of the document) that hold at
+    least ``need`` windows: all hits of one shift, and the longest chains whose
+    positions increase on both sides with shifts that change by at most
+    ``slack`` from hit to hit."""
+    order = sorted(range(len(pos)), key=lambda i: (pos[i], item_pos[i]))
+    held: dict[int, tuple[list[int], list[int]]] = {}        # shift → positions in the document, hits
+    size, back, ends = [1] * len(pos), [-1] * len(pos), set(order)
+    for i in order:
+        shift, rank = pos[i] - item_pos[i], (0, 0)
+        for t in range(shift - slack, shift + slack + 1):
+            if t in held:
+                # the last hit of this shift before i on both sides is the end of its longest chain
+                k = bisect_right(held[t][0], min(pos[i], item_pos[i] + t) - 1) - 1
+                if k >= 0 and (size[j := held[t][1][k]], -abs(t - shift)) > rank:
+                    rank, back[i] = (size[j], -abs(t - shift)), j
+        size[i] += rank[0]
+        ends.discard(back[i])
+        places, hits = held.setdefault(shift, ([], []))
+        places.append(pos[i])
+        hits.append(i)
+    out = [hits for _, hits in held.values() if len(hits) >= need]
+    for i in ends:
+        if size[i] >= need:
+            chain = [i]
+            while back[chain[-1]] >= 0:
+                chain.append(back[chain[-1]])
+            if len({pos[k] - item_pos[k] for k in chain}) > 1:
+                out.append(chain)
+    return out
+
+
+def consistent(slots: set[tuple[int, int, int]]) -> bool:
+    """Equal item values stand for equal document values and the other way round."""
+    both = {(i, d) for _, i, d in slots}
+    return len(both) == len({i for i, _ in both}) == len({d for _, d in both})
+
+
+VERDICT = "uid long, doc_id long, item long, n_windows long, coverage double, n_slots int, verbatim boolean"
+VERDICT_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int64()), ("n_windows", pa.int64()), ("coverage", pa.float64()),
+                           ("n_slots", pa.int32()), ("verbatim", pa.bool_())])
+
+
+def _verdicts(cover: float, slack: int):
+    """mapInArrow function (uid, doc_id, item, n_item, hits) → a row per alignment that counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for uid, doc_id, item, n_item, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for chain in alignments([x["item_pos"] for x in hits], [x["pos"] for x in hits], slack, cover * n_item):
+                    slots = {(p["at"], p["i"], p["d"]) for k in chain for p in hits[k]["pairs"]}
+                    if consistent(slots):
+                        out.append({"uid": uid, "doc_id": doc_id, "item": item, "n_windows": len(chain), "coverage": len(chain) / n_item,
+                                    "n_slots": len(slots), "verbatim": all(i == d for _, i, d in slots)})
+            yield pa.RecordBatch.from_pylist(out, schema=VERDICT_ARROW)
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", size: int = WINDOW, literal: int = LITERAL, cover: float = COVER,
-                  filter_blocks: int = 1 << 17) -> DataFrame:
+                  filter_blocks: int = 1 << 17, slack: int = SLACK) -> DataFrame:
     """One row per contaminated document and benchmark item: doc_id, item_id,
     n_windows (of the best alignment), coverage, n_slots, verbatim (all slot
     values equal), uid (the document's row).
 
-    An alignment is a shift between word positions. It counts where it holds at
-    least ``cover`` of the item's windows and its slots are consistent: equal
-    item values stand for equal document values and the other way round. Items
+    An alignment is a chain of common windows in increasing order, in which the
+    shift between token positions changes by at most ``slack`` from one window
+    to the next. It counts where it holds at least ``cover`` of the item's
+    windows and its slots are consistent: equal item values stand for equal
+    document values and the other way round. Items
     with fewer than ``size`` words or without a window of ``literal`` plain
     words cannot match. Null and empty texts, an empty benchmark and empty
     documents give no rows; repeated documents or items each give their rows
@@ -135,20 +212,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                      F.col("slots").alias("item_slots"))
     n_item = bench.groupBy(F.col("uid").alias("item")).agg(F.count(F.lit(1)).alias("n_item"))
     joined = hits.join(b, hits.h == b.item_h)
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"), F.transform("places", lambda p: p + F.col("item_pos")).alias("at"))
-    aligned = (joined.select("uid", "doc_id", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-               .groupBy("uid", "doc_id", "item", "shift")
-               .agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    def distinct(value):
-        return F.size(F.array_distinct(F.transform("slot", value)))
-
-    both = distinct(lambda p: F.struct(p["i"], p["d"]))
-    left, right = distinct(lambda p: p["i"]), distinct(lambda p: p["d"])
-    verdict = (aligned.withColumnRenamed("pairs", "slot").join(n_item, "item")
-               .select("uid", "doc_id", "item", "n_windows", (F.col("n_windows") / F.col("n_item")).alias("coverage"), F.size("slot").alias("n_slots"),
-                       ((both == left) & (both == right)).alias("consistent"),
-                       F.forall("slot", lambda p: p["i"] == p["d"]).alias("verbatim"))
-               .where((F.col("coverage") >= cover) & F.col("consistent")))
+    pairs = F.arrays_zip(F.transform("places", lambda p: p + F.col("item_pos")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    met = (joined.select("uid", "doc_id", "item", F.struct("item_pos", "pos", pairs.alias("pairs")).alias("hit"))
+           .groupBy("uid", "doc_id", "item").agg(F.collect_list("hit").alias("hits")).join(n_item, "item")
+           # no alignment holds more windows than were met at all
+           .where(F.size(F.array_distinct(F.transform("hits", lambda x: x["item_pos"]))) / F.col("n_item") >= cover)
+           .select("uid", "doc_id", "item", "n_item", "hits"))
+    verdict = met.mapInArrow(_verdicts(cover, slack), VERDICT)
     best = verdict.groupBy("uid", "doc_id", "item").agg(
         F.max(F.struct("n_windows", "coverage", "n_slots", "verbatim")).alias("b"))
     return (best.join(items.select(F.col("uid").alias("item"), "item_id"), "item")

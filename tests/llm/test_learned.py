@@ -63,6 +63,24 @@ def test_reparameterised_question_is_found(spark, docs_frame):
     assert D.contamination(docs_frame([]), bench).count() == 0
 
 
+def test_values_of_other_word_counts_and_edits_are_found(spark, docs_frame):
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    longer = ITEM.replace("45", "1,045.5").replace("Oslo", "New York City").replace("Anna", "Mary Ann").replace("3", "4")
+    inserted = ITEM.replace("3 hours so", "3 hours or so")
+    deleted = ITEM.replace("hours so how", "hours how")
+    rows = [(1, longer), (2, inserted), (3, deleted), (4, longer.replace("Mary Ann travel", "Carla Ann travel"))]
+    got = sorted((r["doc_id"], r["verbatim"]) for r in D.contamination(docs_frame(rows), bench).collect())
+    assert got == [(1, False), (2, True), (3, True)]
+
+
+def test_alignments_over_neighbouring_shifts():
+    item, doc = [0, 1, 2, 5, 6, 7], [10, 11, 12, 16, 17, 18]
+    assert [sorted(c) for c in D.alignments(item, doc, 8, 6)] == [[0, 1, 2, 3, 4, 5]]
+    assert D.alignments(item, [10, 11, 12, 40, 41, 42], 8, 4) == []                       # too far apart
+    assert D.alignments([5, 6, 7, 0, 1, 2], [10, 11, 12, 13, 14, 15], 8, 4) == []         # in another order
+    assert D.alignments([3] * 9, list(range(9)), 8, 2) == []                              # one window again and again
+
+
 def test_small_filter_gives_the_same(spark, docs_frame):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     rows = [(1, ITEM), (2, "many other words that form windows of their own but match no item at all here")]
