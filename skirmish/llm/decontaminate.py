@@ -6,7 +6,7 @@ words are one placeholder. Windows of the templates are hashed; a Bloom filter
 of fixed size lets only likely benchmark windows leave a document, an exact hash
 join finds the items, their windows are chained over neighbouring shifts, and
 the slots (the values behind the placeholders) must be replaced consistently
-along one alignment.
+along one alignment. Items without such a window are met by all their words.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from skirmish.llm import words as W
 from skirmish.llm.common import BlockedBloom, mix64, read, stored
+from skirmish.llm.repeats import hash_range
 
 WINDOW = 8          # tokens of a template window
 LITERAL = 4         # of which at least so many are no placeholders
@@ -39,7 +40,7 @@ def _hash_words(items: list[str]) -> np.ndarray:
 
 
 UNIT_HASHES = np.sort(_hash_words(UNITS))
-NUM, NAME, UNIT = mix64(np.array([11, 22, 33], dtype=np.uint64))
+NUM, NAME, UNIT, PLAIN = mix64(np.array([11, 22, 33, 44], dtype=np.uint64))
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -54,11 +55,12 @@ _APART[[32, 9, 45]] = False             # blanks and hyphens join the words of a
 
 def templates(buf: np.ndarray, off: np.ndarray):
     """Per token: the hash of its value, its template token, whether that is a placeholder, and its
-    document. A token is a word, a whole number or a run of name words."""
+    document. A token is a word, a whole number or a run of name words. Then per word: its hash and
+    its document."""
     s, e, doc = W.spans(buf, off, W.WORD)
     h = W.word_hashes(buf, s, e, W.FOLDED)
     if len(s) == 0:
-        return h, h, np.zeros(0, bool), doc
+        return h, h, np.zeros(0, bool), doc, h, doc
     new_doc = np.ones(len(s), dtype=bool)
     new_doc[1:] = doc[1:] != doc[:-1]
     number = _DIGIT[buf[s]]
@@ -80,43 +82,73 @@ def templates(buf: np.ndarray, off: np.ndarray):
     end = np.append(head[1:], len(s))
     value, many = h[head], end - head > 1
     value[many] = W.window_sums(h, head[many], end[many])
-    return value, token[head], (name | unit | number)[head], doc[head]
+    return value, token[head], (name | unit | number)[head], doc[head], h, doc
 
 
-def windows(h, token, slot, doc, size: int, literal: int):
-    """(start, hash, hash of the plain words) of all windows of ``size`` tokens
-    inside one document with at least ``literal`` tokens that are no placeholders."""
-    n = len(h) - size + 1
+def windows(token, slot, doc, size: int, literal: int, ranged):
+    """(start, hash) of all windows of ``size`` tokens inside one document with
+    at least ``literal`` tokens that are no placeholders; ``ranged`` is the
+    tokens' ``hash_range``."""
+    n = len(token) - size + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z.astype(np.uint64)
     starts = np.arange(n)
     filled = np.concatenate([[0], np.cumsum(~slot)])
     starts = starts[(doc[:n] == doc[size - 1:]) & (filled[size:] - filled[:-size] >= literal)]
-    return starts, W.window_sums(token, starts, starts + size), W.window_sums(h, starts, starts + size)
+    return starts, ranged(starts, starts + size)
 
 
-HIT = ("uid long, pos long, h long, slots array<long>, places array<int>")
-HIT_ARROW = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+HIT = "uid long, pos long, h long, slots array<long>, places array<int>, size int, plain boolean"
+HIT_ARROW = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
+                       ("size", pa.int32()), ("plain", pa.bool_())])
 
 
-def _window_rows(size: int, literal: int, held=None):
-    """mapInArrow function (uid, text) → HIT rows; with ``held`` only windows
-    that the filter may hold."""
+def _hits(uid, i: int, starts, hashes, size: int, doc, first, h=None, slot=None):
+    """HIT rows of the windows from ``starts``: of plain words if ``slot`` is None."""
+    for p, x in zip(starts.tolist(), hashes.view(np.int64).tolist(), strict=True):
+        at = np.zeros(0, np.int64) if slot is None else np.flatnonzero(slot[p:p + size])
+        yield {"uid": uid[i + int(doc[p])], "pos": p - int(first[doc[p]]), "h": x, "slots": [] if slot is None else h[p + at].view(np.int64).tolist(),
+               "places": at.tolist(), "size": size, "plain": slot is None}
+
+
+def _window_rows(sizes: list[tuple[int, bool]], literal: int, held=None, whole: int = 0):
+    """mapInArrow function (uid, text) → HIT rows of all windows of the listed
+    (size, plain): of the template, or of the plain words (one row per document
+    and hash, without slots). With ``held`` only windows that the filter may
+    hold; with ``whole`` a text without a window also gives one of its whole
+    length by its plain words, and one of its template if it has ``whole`` words
+    or more and its placeholders alone leave it too short."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid, out = b.column(0).to_pylist(), []
             for i, _, buf, off in W.blocks(b.column(1)):
-                h, token, slot, doc = templates(buf, off)
-                starts, hashes, _ = windows(h, token, slot, doc, size, literal)
-                if held is not None:
-                    keep = held.value.may_hold(hashes)
-                    starts, hashes = starts[keep], hashes[keep]
-                first = W.word_bounds(doc, len(off) - 1)
-                for p, x in zip(starts.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                    at = np.flatnonzero(slot[p:p + size])
-                    out.append({"uid": uid[i + int(doc[p])], "pos": p - int(first[doc[p]]), "h": x,
-                                "slots": h[p:p + size][at].view(np.int64).tolist(), "places": at.tolist()})
+                h, token, slot, doc, word, word_doc = templates(buf, off)
+                of_token, of_word = hash_range(token), hash_range(word)
+                first, first_word = (W.word_bounds(d, len(off) - 1) for d in (doc, word_doc))
+                seen = np.zeros(len(off) - 1, dtype=bool)
+                for size, plain in sizes:
+                    if plain:
+                        starts, hashes = windows(word, np.zeros(len(word), bool), word_doc, size, 0, of_word)
+                        hashes = hashes ^ PLAIN
+                    else:
+                        starts, hashes = windows(token, slot, doc, size, literal, of_token)
+                        seen[doc[starts]] = True
+                    if held is not None:
+                        keep = held.value.may_hold(hashes)
+                        starts, hashes = starts[keep], hashes[keep]
+                    if plain:
+                        _, one = np.unique(np.stack([word_doc[starts].astype(np.uint64), hashes]), axis=1, return_index=True)
+                        out += _hits(uid, i, starts[one], hashes[one], size, word_doc, first_word)
+                    else:
+                        out += _hits(uid, i, starts, hashes, size, doc, first, h, slot)
+                for d in np.flatnonzero(~seen).tolist() if whole else ():
+                    p, n = first_word[d:d + 1], int(first_word[d + 1] - first_word[d])
+                    if n:
+                        out += _hits(uid, i, p, of_word(p, p + n) ^ PLAIN, n, word_doc, first_word)
+                    p, size = first[d:d + 1], int(first[d + 1] - first[d])
+                    if size < whole <= n and np.count_nonzero(~slot[p[0]:p[0] + size]) >= literal:
+                        out += _hits(uid, i, p, of_token(p, p + size), size, doc, first, h, slot)
             yield pa.RecordBatch.from_pylist(out, schema=HIT_ARROW)
     return run
 
@@ -190,9 +222,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shift between token positions changes by at most ``slack`` from one window
     to the next. It counts where it holds at least ``cover`` of the item's
     windows and its slots are consistent: equal item values stand for equal
-    document values and the other way round. Items
-    with fewer than ``size`` words or without a window of ``literal`` plain
-    words cannot match. Null and empty texts, an empty benchmark and empty
+    document values and the other way round. An item
+    without a window of ``size`` tokens with ``literal`` plain ones has one
+    window of its whole length, which a document must hold word for word (no
+    slots are listed); one of ``size`` words or more that only its collapsed
+    values make too short is met by its whole template, too. Items without a
+    word cannot match. Null and empty texts, an empty benchmark and empty
     documents give no rows; repeated documents or items each give their rows
     (rows with one id and item are listed once per document row); other columns
     are ignored. The filter has ``filter_blocks`` 64-bit words whatever the
@@ -203,14 +238,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.col(item_text_col).cast("string").alias("text"),
                              F.col(item_col).cast("long").alias("item_id"))
     items = stored(items, "bench-items")
-    bench = stored(items.select("uid", "text").mapInArrow(_window_rows(size, literal), HIT), "bench-windows")
+    bench = stored(items.select("uid", "text").mapInArrow(_window_rows([(size, False)], literal, whole=size), HIT), "bench-windows")
+    sizes = sorted({(size, False), *((r["size"], r["plain"]) for r in bench.select("size", "plain").distinct().collect())})
     held = spark.sparkContext.broadcast(BlockedBloom.build(bench, "h", filter_blocks))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"),
                        F.col(id_col).cast("long").alias("doc_id"))
-    hits = (rows.mapInArrow(_with_id(_window_rows(size, literal, held)), HIT + ", doc_id long"))
+    hits = (rows.mapInArrow(_with_id(_window_rows(sizes, literal, held)), HIT + ", doc_id long"))
     b = bench.select(F.col("uid").alias("item"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h"),
                      F.col("slots").alias("item_slots"))
-    n_item = bench.groupBy(F.col("uid").alias("item")).agg(F.count(F.lit(1)).alias("n_item"))
+    n_item = bench.groupBy(F.col("uid").alias("item")).agg(F.countDistinct("pos").alias("n_item"))
     joined = hits.join(b, hits.h == b.item_h)
     pairs = F.arrays_zip(F.transform("places", lambda p: p + F.col("item_pos")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     met = (joined.select("uid", "doc_id", "item", F.struct("item_pos", "pos", pairs.alias("pairs")).alias("hit"))

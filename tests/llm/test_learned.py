@@ -81,6 +81,15 @@ def test_alignments_over_neighbouring_shifts():
     assert D.alignments([3] * 9, list(range(9)), 8, 2) == []                              # one window again and again
 
 
+def test_short_and_dense_items_are_found_word_for_word(spark, docs_frame):
+    items = ["What is the capital of France?", "1 + 2 = 3, 4 + 5 = 9, 10 + 20 = 30, 7 + 8 = 15", "How many people live in New York City?", "Why?", "?!"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, "He asked: what is the capital\nof France, and what is the capital of France"), (2, "so " + items[1] + " it is"), (3, "What is the capital of Spain?"),
+            (4, "1 + 2 = 3, 4 + 5 = 9, 10 + 20 = 30, 7 + 8 = 16"), (5, "How many people live in Rome now"), (6, "what is the capital"), (7, "of France why"), (None, items[0])]
+    got = sorted(((r["doc_id"], r["item_id"], r["n_windows"], r["coverage"], r["verbatim"]) for r in D.contamination(docs_frame(rows), bench).collect()), key=repr)
+    assert got == sorted([(1, 0, 1, 1.0, True), (2, 1, 1, 1.0, True), (5, 2, 1, 1.0, False), (7, 3, 1, 1.0, True), (None, 0, 1, 1.0, True)], key=repr)
+
+
 def test_small_filter_gives_the_same(spark, docs_frame):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     rows = [(1, ITEM), (2, "many other words that form windows of their own but match no item at all here")]
