@@ -5,7 +5,7 @@ template when its values change; a number with its separators and a run of name
 words are one placeholder. Windows of the templates are hashed; a Bloom filter
 of fixed size lets only likely benchmark windows leave a document, an exact hash
 join finds the items, their windows are chained over neighbouring shifts, and
-the slots (the values behind the placeholders) must be replaced consistently
+most slots (the values behind the placeholders) must be replaced consistently
 along one alignment. Items without such a window are met by all their words.
 """
 
@@ -26,6 +26,7 @@ from skirmish.llm.repeats import hash_range
 WINDOW = 8          # tokens of a template window
 LITERAL = 4         # of which at least so many are no placeholders
 COVER = 0.5         # share of an item's windows that an alignment must hold
+AGREE = 0.8         # share of an alignment's slots that must be consistent
 SLACK = 8           # tokens by which the shift may change from one held window to the next
 # fixed list of unit words
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms us ns hz khz mhz ghz w kw mw v kv a ma pa kpa bar j kj cal kcal "
@@ -99,17 +100,18 @@ def windows(token, slot, doc, size: int, literal: int, ranged):
     return starts, ranged(starts, starts + size)
 
 
-HIT = "uid long, pos long, h long, slots array<long>, places array<int>, size int, plain boolean"
+HIT = "uid long, pos long, h long, slots array<long>, places array<int>, names array<boolean>, size int, plain boolean"
 HIT_ARROW = pa.schema([("uid", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
+                       ("names", pa.list_(pa.bool_())),
                        ("size", pa.int32()), ("plain", pa.bool_())])
 
 
-def _hits(uid, i: int, starts, hashes, size: int, doc, first, h=None, slot=None):
+def _hits(uid, i: int, starts, hashes, size: int, doc, first, h=None, slot=None, token=None):
     """HIT rows of the windows from ``starts``: of plain words if ``slot`` is None."""
     for p, x in zip(starts.tolist(), hashes.view(np.int64).tolist(), strict=True):
         at = np.zeros(0, np.int64) if slot is None else np.flatnonzero(slot[p:p + size])
         yield {"uid": uid[i + int(doc[p])], "pos": p - int(first[doc[p]]), "h": x, "slots": [] if slot is None else h[p + at].view(np.int64).tolist(),
-               "places": at.tolist(), "size": size, "plain": slot is None}
+               "places": at.tolist(), "names": [] if slot is None else (token[p + at] == NAME).tolist(), "size": size, "plain": slot is None}
 
 
 def _window_rows(sizes: list[tuple[int, bool]], literal: int, held=None, whole: int = 0):
@@ -141,14 +143,14 @@ def _window_rows(sizes: list[tuple[int, bool]], literal: int, held=None, whole:
                         _, one = np.unique(np.stack([word_doc[starts].astype(np.uint64), hashes]), axis=1, return_index=True)
                         out += _hits(uid, i, starts[one], hashes[one], size, word_doc, first_word)
                     else:
-                        out += _hits(uid, i, starts, hashes, size, doc, first, h, slot)
+                        out += _hits(uid, i, starts, hashes, size, doc, first, h, slot, token)
                 for d in np.flatnonzero(~seen).tolist() if whole else ():
                     p, n = first_word[d:d + 1], int(first_word[d + 1] - first_word[d])
                     if n:
                         out += _hits(uid, i, p, of_word(p, p + n) ^ PLAIN, n, word_doc, first_word)
                     p, size = first[d:d + 1], int(first[d + 1] - first[d])
                     if size < whole <= n and np.count_nonzero(~slot[p[0]:p[0] + size]) >= literal:
-                        out += _hits(uid, i, p, of_token(p, p + size), size, doc, first, h, slot)
+                        out += _hits(uid, i, p, of_token(p, p + size), size, doc, first, h, slot, token)
             yield pa.RecordBatch.from_pylist(out, schema=HIT_ARROW)
     return run
 
@@ -185,10 +187,16 @@ def alignments(item_pos: list[int], pos: list[int], slack: int, need: float) ->
     return out
 
 
-def consistent(slots: set[tuple[int, int, int]]) -> bool:
-    """Equal item values stand for equal document values and the other way round."""
-    both = {(i, d) for _, i, d in slots}
-    return len(both) == len({i for i, _ in both}) == len({d for _, d in both})
+def consistent(slots: set[tuple[int, int, int, bool]], agree: float) -> bool:
+    """Whether the share ``agree`` of the slots is consistent: unchanged, or a
+    name that stands for one document value which stands for it alone.
+    Quantities (numbers and units) may be equal by chance on either side."""
+    to, of = {}, {}
+    for _, i, d, name in slots:
+        if name:
+            to.setdefault(i, set()).add(d)
+            of.setdefault(d, set()).add(i)
+    return sum(not name or i == d or len(to[i]) == len(of[d]) == 1 for _, i, d, name in slots) >= agree * len(slots)
 
 
 VERDICT = "uid long, doc_id long, item long, n_windows long, coverage double, n_slots int, verbatim boolean"
@@ -196,24 +204,25 @@ VERDICT_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("item",
                            ("n_slots", pa.int32()), ("verbatim", pa.bool_())])
 
 
-def _verdicts(cover: float, slack: int):
+def _verdicts(cover: float, slack: int, agree: float):
     """mapInArrow function (uid, doc_id, item, n_item, hits) → a row per alignment that counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for uid, doc_id, item, n_item, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for chain in alignments([x["item_pos"] for x in hits], [x["pos"] for x in hits], slack, cover * n_item):
-                    slots = {(p["at"], p["i"], p["d"]) for k in chain for p in hits[k]["pairs"]}
-                    if consistent(slots):
+                    slots = {(p["at"], p["i"], p["d"], p["name"]) for k in chain for p in hits[k]["pairs"]}
+                    same = sum(all(p["i"] == p["d"] for p in hits[k]["pairs"]) for k in chain)
+                    if same >= cover * n_item or consistent(slots, agree):
                         out.append({"uid": uid, "doc_id": doc_id, "item": item, "n_windows": len(chain), "coverage": len(chain) / n_item,
-                                    "n_slots": len(slots), "verbatim": all(i == d for _, i, d in slots)})
+                                    "n_slots": len(slots), "verbatim": all(i == d for _, i, d, _ in slots)})
             yield pa.RecordBatch.from_pylist(out, schema=VERDICT_ARROW)
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", size: int = WINDOW, literal: int = LITERAL, cover: float = COVER,
-                  filter_blocks: int = 1 << 17, slack: int = SLACK) -> DataFrame:
+                  filter_blocks: int = 1 << 17, slack: int = SLACK, agree: float = AGREE) -> DataFrame:
     """One row per contaminated document and benchmark item: doc_id, item_id,
     n_windows (of the best alignment), coverage, n_slots, verbatim (all slot
     values equal), uid (the document's row).
@@ -221,8 +230,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An alignment is a chain of common windows in increasing order, in which the
     shift between token positions changes by at most ``slack`` from one window
     to the next. It counts where it holds at least ``cover`` of the item's
-    windows and its slots are consistent: equal item values stand for equal
-    document values and the other way round. An item
+    windows and the share ``agree`` of its slots is consistent (see
+    ``consistent``), or where its windows with unchanged slots alone reach
+    ``cover``. An item
     without a window of ``size`` tokens with ``literal`` plain ones has one
     window of its whole length, which a document must hold word for word (no
     slots are listed); one of ``size`` words or more that only its collapsed
@@ -245,16 +255,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                        F.col(id_col).cast("long").alias("doc_id"))
     hits = (rows.mapInArrow(_with_id(_window_rows(sizes, literal, held)), HIT + ", doc_id long"))
     b = bench.select(F.col("uid").alias("item"), F.col("pos").alias("item_pos"), F.col("h").alias("item_h"),
-                     F.col("slots").alias("item_slots"))
+                     F.col("slots").alias("item_slots"), F.col("names").alias("item_names"))
     n_item = bench.groupBy(F.col("uid").alias("item")).agg(F.countDistinct("pos").alias("n_item"))
     joined = hits.join(b, hits.h == b.item_h)
-    pairs = F.arrays_zip(F.transform("places", lambda p: p + F.col("item_pos")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    pairs = F.arrays_zip(F.transform("places", lambda p: p + F.col("item_pos")).alias("at"), F.col("item_slots").alias("i"), F.col("slots").alias("d"), F.col("item_names").alias("name"))
     met = (joined.select("uid", "doc_id", "item", F.struct("item_pos", "pos", pairs.alias("pairs")).alias("hit"))
            .groupBy("uid", "doc_id", "item").agg(F.collect_list("hit").alias("hits")).join(n_item, "item")
            # no alignment holds more windows than were met at all
            .where(F.size(F.array_distinct(F.transform("hits", lambda x: x["item_pos"]))) / F.col("n_item") >= cover)
            .select("uid", "doc_id", "item", "n_item", "hits"))
-    verdict = met.mapInArrow(_verdicts(cover, slack), VERDICT)
+    verdict = met.mapInArrow(_verdicts(cover, slack, agree), VERDICT)
     best = verdict.groupBy("uid", "doc_id", "item").agg(
         F.max(F.struct("n_windows", "coverage", "n_slots", "verbatim")).alias("b"))
     return (best.join(items.select(F.col("uid").alias("item"), "item_id"), "item")

@@ -90,6 +90,16 @@ def test_short_and_dense_items_are_found_word_for_word(spark, docs_frame):
     assert got == sorted([(1, 0, 1, 1.0, True), (2, 1, 1, 1.0, True), (5, 2, 1, 1.0, False), (7, 3, 1, 1.0, True), (None, 0, 1, 1.0, True)], key=repr)
 
 
+def test_a_few_conflicting_slots_do_not_hide_an_item(spark, docs_frame):
+    fruit = "So yesterday Tom bought 2 apples and 2 oranges from the man at the market and gave half of them to Mary before lunch"
+    bench = spark.createDataFrame([(7, ITEM), (8, fruit)], "item_id long, text string")
+    rows = [(1, ITEM.replace("did Anna", "did Carla")), (2, fruit.replace("2 apples", "3 apples").replace("2 oranges", "5 oranges").replace("Tom", "Ben")),
+            (3, fruit.replace("Tom", "Eve").replace("Mary", "Eve"))]
+    got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in D.contamination(docs_frame(rows), bench).collect())
+    assert got == [(1, 7, False), (2, 8, False), (3, 8, False)]
+    assert not D.consistent({(0, 1, 5, True), (1, 1, 6, True), (2, 2, 2, False)}, 0.8)
+
+
 def test_small_filter_gives_the_same(spark, docs_frame):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     rows = [(1, ITEM), (2, "many other words that form windows of their own but match no item at all here")]
