@@ -26,6 +26,9 @@ from skirmish.llm import words as W
 from skirmish.llm.common import BlockedBloom, mix64, stored
 
 FILTER_BLOCKS = 1 << 18
+BLOCK = 1 << 20         # bytes of a block (one text may be longer)
+SEGMENT = 1 << 20       # windows of a block that are handled at once
+assert SEGMENT < 1 << 23
 
 
 @dataclass(frozen=True)
@@ -60,37 +63,50 @@ def hash_range(h: np.ndarray):
     return lambda s, e: mix64((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
 
 
-def pieces(h: np.ndarray, first: np.ndarray, sym: Symbols):
+def pieces(h: np.ndarray, first: np.ndarray, sym: Symbols, segment: int = SEGMENT):
     """(document, start, number of windows, anchor place, anchor hash, content
-    hash) of all pieces of a block; places count from the block's start."""
-    n = len(h) - sym.length + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
+    hash) of all pieces of a block; places count from the block's start. At most
+    about ``segment`` windows are handled at once, however long a text is."""
+    n, a, found = len(h) - sym.length + 1, 0, []
+    width = sym.length - sym.seed + 1              # a piece has at most so many windows
+    segment = max(segment, 2 * width)
+    while a < n:
+        z = min(a + segment, n)
+        part = _segment_pieces(h[a:z + sym.length - 1], np.arange(a, z), first, sym)
+        if z < n and len(part[1]) and part[1][-1] > a:
+            # the last piece may go on: the next segment starts with it
+            z = int(part[1][-1])
+            part = [c[:-1] for c in part]
+        a = z
+        found.append(part)
+    if not found:
+        none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _segment_pieces(h: np.ndarray, start: np.ndarray, first: np.ndarray, sym: Symbols) -> list[np.ndarray]:
+    a = int(start[0])
     ranged = hash_range(h)
     at = np.arange(len(h) - sym.seed + 1)
     seeds = ranged(at, at + sym.seed)
-    # hash in the upper 40 bits, place below: the minimum is the leftmost one
+    # hash in the upper 40 bits, place in the segment below: the minimum is the leftmost one
     low = sliding_min((seeds & ~np.uint64((1 << 24) - 1)) | (at.astype(np.uint64) & np.uint64((1 << 24) - 1)), sym.length - sym.seed + 1)
     place = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    n_sym = np.diff(first)
-    n_win = np.maximum(0, n_sym - sym.length + 1)
-    doc = np.repeat(np.arange(len(n_sym)), n_win)
-    start = np.arange(len(doc)) - (np.cumsum(n_win) - n_win)[doc] + first[:-1][doc]
-    place = place[start]
+    doc = np.searchsorted(first, start, side="right") - 1
+    own = start + sym.length <= first[1:][doc]
+    doc, start, place = doc[own], start[own], place[own]
     new = np.ones(len(start), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     cut = np.flatnonzero(new)
     count = np.diff(np.append(cut, len(start)))
     s = start[cut]
-    return doc[cut], s, count, place[cut], seeds[place[cut]], ranged(s, s + count - 1 + sym.length)
+    return [doc[cut], s, count, place[cut] + a, seeds[place[cut]], ranged(s - a, s - a + count - 1 + sym.length)]
 
 
 SCAN = "doc_id long, tkey long, n long, sha string, anchors array<long>, contents array<long>, starts array<int>, counts array<int>, places array<int>"
 SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("anchors", pa.list_(pa.int64())),
                         ("contents", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
-BLOCK = 1 << 20
-assert BLOCK < 1 << 24
 
 
 def kept_bytes(raw: bytes, sym: Symbols) -> bytes:
@@ -104,8 +120,6 @@ def _scan(sym: Symbols):
             ids, keys = b.column(0), b.column(1)
             for i, j, buf, off in W.blocks(b.column(2), BLOCK):
                 h, first = sym.of(buf, off)
-                if len(h) >= 1 << 24:
-                    raise ValueError("a text has more than 2**24 symbols")
                 doc, start, count, place, anchor, content = pieces(h, first, sym)
                 cut = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
                 raw = buf.tobytes()

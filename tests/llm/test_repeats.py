@@ -77,3 +77,22 @@ def test_empty(docs_frame):
 def test_sliding_min(width):
     v = np.random.default_rng(width).integers(0, 1000, 400).astype(np.uint64)
     assert R.sliding_min(v, width).tolist() == [int(v[i:i + width].min()) for i in range(400 - width + 1)]
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_segments_give_the_same_pieces(words):
+    rng = np.random.default_rng(5)
+    texts = ["z " * 400, "", "ab", "".join(rng.choice(list("ab "), 5000)), "x" * 900, "".join(rng.choice(list("abcdefg "), 3000))]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    sym = R.Symbols(words=words, length=35 if words else 200, seed=8 if words else 32)
+    h, first = sym.of(buf, off)
+    whole, small = R.pieces(h, first, sym), R.pieces(h, first, sym, segment=1)
+    assert len(whole[0]) > 20 and all(a.tolist() == b.tolist() for a, b in zip(whole, small, strict=True))
+
+
+def test_a_text_of_more_than_16_mib(docs_frame):
+    text = np.random.default_rng(6).integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes().decode()
+    rows = [(1, text), (2, text[-300:]), (3, text[(1 << 20) - 150:(1 << 20) + 150]), (4, text[100:250])]
+    got = {r["doc_id"]: tuple(r)[1:4] for r in remove_repeated_bytes(docs_frame(rows)).collect()}
+    assert got == {1: (len(text), 600, 2), 2: (300, 300, 1), 3: (300, 300, 1), 4: (150, 0, 0)}
