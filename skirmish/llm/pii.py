@@ -2,9 +2,10 @@
 
 Seeds are what the base patterns find (email, ip, card, phone). The words
 around seeds induce lexical patterns; Spark scores the graph of patterns and
-instances in rounds (a pattern by the share of its instances that are known,
-an instance by its patterns); accepted patterns discover identifiers that no
-base pattern matches, which become known in the next round.
+instances in rounds (a pattern by the share of one kind among its known
+instances, an instance by its patterns); accepted patterns discover identifiers
+that no base pattern matches, which become known in the next round, until a
+round finds none.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ KINDS = ("email", "ip", "card", "phone")
 HINT = re.compile(r"[0-9@]")
 # an identifier-like token: no white space or quotes, and a digit or @ in it
 TOKEN = re.compile(r"[^\s=:;,\"'<>()\[\]{}]*[0-9@][^\s=:;,\"'<>()\[\]{}]*")
+# what joins tokens to a run, and the brackets around one
+BETWEEN = re.compile(r"(?=.{1,4}\Z)[ \t]*[()\[\]{}]*[ \t]*")
+OPEN, CLOSE = "([{", ")]}"
 CONTEXT = re.compile(r"\w+|[^\w\s]")
 REACH = 80
 
@@ -90,19 +94,42 @@ def instances(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
         a, b, c = context(text, s, e)
         out.append({"kind": kind, "start": s, "end": e, "value": text[s:e], "before2": a, "before1": b, "after1": c})
     taken = sorted((s, e) for _, s, e in found)
+    tokens: list[tuple[int, int, bool]] = []           # start, end, does a sentence end here
     k = 0
     for m in TOKEN.finditer(text):
         s, e = m.start(), m.end()
         while e > s and text[e - 1] in ".!?":
             e -= 1
-        if e - s < 5:
-            continue
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if any(t[0] < e and t[1] > s for t in taken[k:k + 3]):
-            continue
-        a, b, c = context(text, s, e)
-        out.append({"kind": None, "start": s, "end": e, "value": text[s:e], "before2": a, "before1": b, "after1": c})
+        if e > s and not any(t[0] < e and t[1] > s for t in taken[k:k + 3]):
+            tokens.append((s, e, e < m.end()))
+    spans = [(s, e) for s, e, _ in tokens] + runs(text, tokens)
+    for s, e in sorted(spans):
+        if e - s >= 5:
+            a, b, c = context(text, s, e)
+            out.append({"kind": None, "start": s, "end": e, "value": text[s:e], "before2": a, "before1": b, "after1": c})
+    return out
+
+
+def runs(text: str, tokens: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Spans of two or more adjacent tokens with only blanks and brackets
+    between them, and a bracket around the run whose partner is inside."""
+    out, i = [], 0
+    while i < len(tokens):
+        j = i + 1
+        while j < len(tokens) and not tokens[j - 1][2] and BETWEEN.fullmatch(text[tokens[j - 1][1]:min(tokens[j][0], tokens[j - 1][1] + 5)]):
+            j += 1
+        if j - i > 1:
+            s, e = tokens[i][0], tokens[j - 1][1]
+            inner = text[s:e]
+            for x, y in zip(OPEN, CLOSE, strict=True):
+                if s and text[s - 1] == x and inner.count(y) > inner.count(x):
+                    s -= 1
+                elif text[e:e + 1] == y and inner.count(x) > inner.count(y):
+                    e += 1
+            out.append((s, e))
+        i = j
     return out
 
 
@@ -138,12 +165,14 @@ def scan_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
 
-def discover(marked: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.8,
-             min_instance: float = 0.8) -> DataFrame:
+def discover(marked: DataFrame, rounds: int = 60, min_support: int = 3, min_pattern: float = 0.8,
+             min_instance: float = 0.8, min_known: float = 0.5) -> DataFrame:
     """Instances (uid, kind or null, start, end, value, contexts) → newly found
     (uid, kind, start, end, value). A pattern counts distinct values; it is
     accepted with ``min_support`` known values of one kind that make up
-    ``min_pattern`` of all its values (plus one unknown, as a prior)."""
+    ``min_pattern`` of its known values and ``min_known`` of all its values (a
+    context of mostly other things says nothing). A found value keeps its kind;
+    rounds go on until none is added, and more than ``rounds`` are an error."""
     inst = marked.select("uid", F.explode("instances").alias("i")).select("uid", "i.*")
     # value → patterns, one row per pair however often the value is repeated
     pattern = F.explode(F.array(
@@ -154,18 +183,27 @@ def discover(marked: DataFrame, rounds: int = 3, min_support: int = 3, min_patte
     seeds = known
     unknown = graph.where("kind IS NULL").select("pattern", "value")
     total = graph.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    accepted = None
+    edges = stored(graph.select("pattern", "value").distinct(), "pii-edges")
+    learned = None
     for _ in range(rounds):
-        by_kind = (graph.drop("kind").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.count("value").alias("hit"))
-                   .where(F.col("hit") >= min_support).join(total, "pattern")
-                   .select("pattern", "kind", (F.col("hit") / (F.col("n") + 1)).alias("p")).where(F.col("p") >= min_pattern))
+        met = edges.join(known, "value")
+        judged = met.groupBy("pattern").agg(F.countDistinct("value").alias("n_known")).join(total, "pattern")
+        by_kind = (met.groupBy("pattern", "kind").agg(F.count("value").alias("hit")).where(F.col("hit") >= min_support).join(judged, "pattern")
+                   .where(F.col("hit") >= min_known * F.col("n"))
+                   .select("pattern", "kind", (F.col("hit") / F.col("n_known")).alias("p")).where(F.col("p") >= min_pattern))
         accepted = (unknown.join(by_kind, "pattern").groupBy("value", "kind")
                     .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("p"))
                     .where(F.col("p") >= min_instance)
                     .groupBy("value").agg(F.max_by("kind", F.struct("p", "kind")).alias("kind")))
-        accepted = stored(accepted, "pii-known")
-        known = seeds.unionByName(accepted.select("value", "kind").join(seeds.select("value"), "value", "left_anti"))
-    return (inst.where("kind IS NULL").drop("kind").join(accepted, "value")
+        new = stored(accepted if learned is None else accepted.join(learned.select("value"), "value", "left_anti"), "pii-known")
+        none = new.isEmpty()
+        learned = new if learned is None else learned.unionByName(new)
+        if none:
+            break
+        known = seeds.unionByName(learned.join(seeds.select("value"), "value", "left_anti"))
+    else:
+        raise RuntimeError("personal data did not settle")
+    return (inst.where("kind IS NULL").drop("kind").join(learned, "value")
             .select("uid", F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end", "value"))
 
 

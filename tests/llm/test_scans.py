@@ -113,6 +113,24 @@ def test_pii_bootstraps_patterns(docs_frame):
     assert pii.redact(got[8]["spans"], rows[-1][1]) == "my contact mail : [email] thanks"
 
 
+def test_pii_runs_and_mixed_contexts(docs_frame):
+    rows = [(i, f"dial number : +1 269 555 {1000 + i} today") for i in range(3)]
+    rows += [(10, "dial number : (555) 123-4567 today"), (11, "dial number : 8930 2044 0532 today")]
+    rows += [(100 + i, f"write mail to user{i}@host.org soon") for i in range(50)] + [(200 + i, f"write mail to user{i}#host soon") for i in range(20)]
+    # zed88 is only met through the pattern that the values of the first round make known
+    rows += [(300 + i, f"ask via {v} maybe") for i, v in enumerate(("user1#host", "user2#host", "user3#host", "zed88"))]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs_frame(rows)).collect()}
+    assert pii.redact(got[10], rows[3][1]) == pii.redact(got[11], rows[4][1]) == "dial number : [phone] today"
+    assert all(got[200 + i] == f"ctx_email:14:{24 + (i > 9)}" for i in range(20)) and got[303] == "ctx_email:8:13"
+
+
+def test_pii_discovery_fails_loudly_beyond_its_rounds(docs_frame):
+    rows = [(i, f"the contact mail : user{i}@host.org thanks") for i in range(8)] + [(8, "my contact mail : zed77 thanks")]
+    d = docs_frame(rows).select("doc_id", "doc_id", "text").toDF("uid", "doc_id", "text")
+    with pytest.raises(RuntimeError):
+        pii.discover(d.mapInArrow(pii.scan_base, pii.SCHEMA), rounds=1)
+
+
 def test_redact_documents(docs_frame):
     d = docs_frame([(1, "write a@b.cc now"), (1, "write a@b.cc now"), (2, None), (None, "1.2.3.4"), (3, "clean")])
     got = sorted(((r["doc_id"], r["text"], r["uid"]) for r in pii.redact_documents(d).collect()), key=repr)
