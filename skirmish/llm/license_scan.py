@@ -27,9 +27,18 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software {{8}} to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 [[0]]"),
     ("cc-by-nc", "licensed under [[a {{2}}]] cc by nc [[{{2}}]]"),
-    ("gpl-3", "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("gpl-3", "[[licensed]] under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("gpl-2", "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
+    ("lgpl-3", "under the [[terms of the]] gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("agpl-3", "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl-2.0", "under the terms of the eclipse public license [[v]] [[version]] 2 0"),
+    ("cc-by-4.0", "licensed under [[a]] [[the]] creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "licensed under [[a]] [[the]] creative commons attribution sharealike 4 0 international license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v [[ersion]] 2 0"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
 ]
 MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\s\[\]{}]+")
 

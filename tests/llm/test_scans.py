@@ -67,6 +67,17 @@ def test_license_scan(docs_frame):
     assert got[6]["labels"] == got[9]["labels"] == "gpl-3" and got[7]["labels"] == ""
 
 
+@pytest.mark.parametrize("label,notice", [
+    ("gpl-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+              "either version 3 of the License"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0."), ("mpl-2.0", "subject to the terms of the Mozilla Public License version 2.0"),
+    ("gpl-2", "under the terms of the GNU General Public License, version 2"), ("epl-2.0", "under the terms of the Eclipse Public License v. 2.0 which"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")])
+def test_usual_notices(docs_frame, label, notice):
+    assert [r["labels"] for r in L.scan_licenses(docs_frame([(1, notice)])).collect()] == [label]
+
+
 def test_template_markup():
     a = L.Automaton([("t", "a [[b c]] {{2}} d")])
     for text, ok in [("a d", 1), ("a b c d", 1), ("a b d", 1), ("a x y d", 1), ("a x y z d", 0), ("a b c x y d", 1), ("a b c x y z d", 0)]:
