@@ -1,10 +1,12 @@
-"""Hierarchical multi-length packing.
+"""Multi-length packing by best fit.
 
 Documents are tokenized and cut into whole windows of the longest tier plus a
-remainder. Remainders are routed to the smallest tier that holds them; each
-tier opens its windows longest piece first, and the gaps of long windows are
-filled from the shorter tiers. The sequences of a bucket are dealt to step
-groups so that each group holds nearly the same number of tokens.
+remainder. Every sequence has the longest window: remainders open it longest
+piece first and its gap is filled with the longest piece that fits, again and
+again. A tier is only the label of the smallest tier that holds the opening
+piece; no shorter windows are packed. The sequences of remainders of a bucket
+are dealt to step groups so that each group holds nearly the same number of
+tokens; whole windows, which all hold the same, have none.
 """
 
 from __future__ import annotations
