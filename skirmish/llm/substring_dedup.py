@@ -5,8 +5,9 @@ k-1. The windows of one anchor lie in one bin (see ``repeats``), where runs of
 consecutive edges are compacted to path pieces; equal pieces, met through
 Spark joins, are repeated paths as a whole. Pieces that share their context
 with another piece but are not equal (a path branches there) are opened to
-single edges, edges that two sources hold are joined to paths again, and the
-paths' source coordinates give the words to remove.
+single edges. Counting the edges by hash replaces the joining of repeated ones
+to paths: each gives a span of its own at its source coordinates, and the union
+of the spans gives the words to remove. Source texts are not compared again.
 """
 
 from __future__ import annotations

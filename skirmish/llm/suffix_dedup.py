@@ -5,9 +5,9 @@ sampled suffixes. Equal strings have equal anchors at the same place (see
 ``repeats``), so positions counted from the anchor need only one residue of a
 period as their difference cover, where unaligned positions would need two of
 three: the sample is every ``period``-th suffix. Its names are built by
-tripling (a name stands for three shorter names; names are hashes, so equal
-prefixes get equal names without a global sort per level), sorted, and
-adjacent equal names are classes of equal prefixes. The suffixes between two
+tripling (a name stands for three shorter names). Names are hashes, so equal
+prefixes get equal names: grouping by the hash replaces the sort of the names
+and the comparison of adjacent ones, and gives the classes of equal prefixes. The suffixes between two
 sampled ones are merged: where a class's surroundings are equal too, all of
 them repeat with it; elsewhere they are compared by their own full prefixes.
 """
