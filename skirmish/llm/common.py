@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _MASK_SQL = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({{h}}, {6 * i}) & 63 as int))" for i in range(4))
 
 
+_CHUNK = 1 << 13
+
+
+def _packed_words(batches):
+    """(chunk, its non-zero words) → the chunk's words as bytes."""
+    for b in batches:
+        for k, c in enumerate(b.column(0).to_pylist()):
+            words = b.column(1).slice(k, 1).flatten()
+            full = np.zeros(_CHUNK, dtype=np.int64)
+            full[words.field(0).to_numpy() % _CHUNK] = words.field(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([full.tobytes()], pa.binary())], ["c", "words"])
+
+
 class BlockedBloom:
     """One 64-bit word per block; a key sets four bits of one block."""
 
@@ -104,14 +118,19 @@ class BlockedBloom:
 
     @staticmethod
     def build(df: DataFrame, hash_col: str, n_blocks: int) -> BlockedBloom:
-        """Aggregate the masks of all keys per block in Spark. What reaches the
-        driver is at most ``n_blocks`` words (a parameter, not the data)."""
+        """Aggregate the masks of all keys per block in Spark and pack them to
+        chunks of ``_CHUNK`` words there. What reaches the driver is at most
+        8 bytes for each of the ``n_blocks`` words (a parameter, not the data)."""
         block = f"pmod(shiftrightunsigned({hash_col}, 32), {n_blocks}L)"
         rows = (df.where(F.col(hash_col).isNotNull())
                 .select(F.expr(block).alias("b"), F.expr(_MASK_SQL.format(h=hash_col)).alias("m"))
-                .groupBy("b").agg(F.bit_or("m").alias("m")).toPandas())
-        blocks = np.zeros(n_blocks, dtype=np.uint64)
-        blocks[rows["b"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).view(np.uint64)
+                .groupBy("b").agg(F.bit_or("m").alias("m"))
+                .groupBy(F.expr(f"b div {_CHUNK}").alias("c")).agg(F.collect_list(F.struct("b", "m")).alias("words"))
+                .mapInArrow(_packed_words, "c long, words binary"))
+        blocks = np.zeros(-(-n_blocks // _CHUNK) * _CHUNK, dtype=np.uint64)
+        for r in rows.collect():
+            blocks[r["c"] * _CHUNK: (r["c"] + 1) * _CHUNK] = np.frombuffer(r["words"], dtype=np.uint64)
+        blocks = blocks[:n_blocks]
         return BlockedBloom(blocks)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ PASSAGE = 64
 N_WORD, N_CHAR, N_HASH = 14, 44, 32
 N_FEATURES = N_WORD + N_CHAR + N_HASH
 SAMPLE = 3000
+BLOCK_BYTES = 1 << 17          # a block's arrays take about a hundred times its bytes
 
 # byte classes: own ones for punctuation, shared ones for letters and the rest
 _CLASS = np.full(256, 0, dtype=np.int64)
@@ -174,7 +174,7 @@ FEATURES_ARROW = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("x", pa.binar
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         y, out = b.column(0).to_pylist(), []
-        for i, j, buf, off in W.blocks(b.column(1)):
+        for i, j, buf, off in W.blocks(b.column(1), BLOCK_BYTES):
             x, first = passages(buf, off)
             out += [{"y": y[k], "n": int(first[k - i + 1] - first[k - i]), "x": x[first[k - i]: first[k - i + 1]].astype(np.float16).tobytes()}
                     for k in range(i, j)]
@@ -203,13 +203,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     text counts as empty and is scored like one; all columns and rows stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(text):
-        texts = pa.Array.from_pandas(text, type=pa.large_string())
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for i, j, buf, off in W.blocks(texts):
+        for i, j, buf, off in W.blocks(texts, BLOCK_BYTES):
             out[i:j] = held.value.score(*passages(buf, off))
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.withColumn(out_col, run(F.col(text_col).cast("string")))
 
