@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.llm import words as W
@@ -114,8 +114,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int, values=W.FOLDED):
 
 SCAN = "doc_id long, tkey long, n long, fp long, point binary"
 SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("point", pa.binary())])
-KEYS = "tkey long, fp long, keys array<long>"
-KEYS_ARROW = pa.schema([("tkey", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+KEYS = "tkey long, fp long, keys array<long>, again boolean"
+KEYS_ARROW = pa.schema([("tkey", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("again", pa.bool_())])
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -157,12 +157,16 @@ def _scan(size: int):
     return run
 
 
-def _keys(size: int, sizes: Sizes):
+def _keys(size: int, sizes: Sizes, repeated):
     """A second pass over the texts: keys are most of what a set is dealt by,
-    and hashing again costs less than storing them."""
+    and hashing again costs less than storing them. ``again`` tells the sets
+    that may be ``repeated`` (here, since a filter of its own behind this
+    function would hold a second Python worker for each task)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, 1, size):
-            yield _arrow(KEYS_ARROW, b.column(0), [fingerprint(s) for s in sets], [signature(s, sizes).view(np.int64) for s in sets])
+            fp = [fingerprint(s) for s in sets]
+            yield _arrow(KEYS_ARROW, b.column(0), fp, [signature(s, sizes).view(np.int64) for s in sets],
+                         repeated.value.may_hold(np.array(fp, dtype=np.int64)))
     return run
 
 
@@ -373,13 +377,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def may_repeat(k):
         return pd.Series(repeated.value.may_hold(k.to_numpy("int64")))
 
-    def classes(sets: DataFrame, *columns: str) -> DataFrame:
-        alone = sets.where(~may_repeat("fp")).select("fp", F.col("tkey").alias("cls"), *columns)
-        return alone.unionByName(sets.where(may_repeat("fp")).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
+    def classes(sets: DataFrame, again: Column, *columns: str) -> DataFrame:
+        alone = sets.where(~again).select("fp", F.col("tkey").alias("cls"), *columns)
+        return alone.unionByName(sets.where(again).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
 
-    points = stored(classes(some_words, "n", "point"), "points")
-    keyed = rows.select("tkey", "text").mapInArrow(_keys(size, rule), KEYS).where(F.size("keys") > 0)
-    dealt = classes(keyed, "keys").select(F.explode("keys").alias("key"), "cls")
+    points = stored(classes(some_words, may_repeat("fp"), "n", "point"), "points")
+    keyed = rows.select("tkey", "text").mapInArrow(_keys(size, rule, repeated), KEYS).where(F.size("keys") > 0)
+    dealt = classes(keyed, F.col("again"), "keys").select(F.explode("keys").alias("key"), "cls")
     buckets = (dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, BUCKET))
     buckets = stored(buckets, "trees")
     trees = stored(buckets.dropDuplicates(["bucket"]).select("bucket", "members"), "trees")
