@@ -26,8 +26,8 @@ from skirmish.llm.common import read, stored
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-CACHE_PARTS = 700_000
-BLOCK_BYTES = 1 << 21
+CACHE_PARTS = 600_000
+BLOCK_BYTES = 1 << 19
 
 
 # byte classes: 0 white space, 1 letter, 2 punctuation, 3 digit, 4 joins both sides (an apostrophe, all beyond ASCII)
