@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skirmish.operators import joins as C
+from skirmish.operators.keyset import Key, cursor_of, page_after
 from skirmish.plans.catalog import query
 from skirmish.plans.q_reports import MATCH_COLS_SQL, flat_matches
 from skirmish.sources.fixtures import Domain
@@ -31,6 +32,21 @@ def q_roles_with_scores(spark, sf):
     return C.roles_with_scores(d.roles, d.scores, "3c", offset=10, limit=100).select("global_id", "name", "match_type", "score")
 
 
+@query("roles_with_scores_by_cursor", """
+SELECT r.global_id, r.name, s.match_type, s.score
+FROM roles r LEFT JOIN scores s ON s.role_id = r.global_id
+WHERE s.match_type = '3c' OR s.match_type IS NULL
+ORDER BY s.score DESC NULLS LAST, r.global_id LIMIT 40 OFFSET 80""")
+def q_roles_with_scores_by_cursor(spark, sf):
+    """The third page of 40, behind the cursors of the first two."""
+    d = Domain(spark, sf)
+    x = C.roles_with_scores(d.roles, d.scores, "3c").select("global_id", "name", "match_type", "score")
+    keys, cursor = [Key("score", desc=True), Key("global_id")], None
+    for _ in range(2):
+        cursor = cursor_of(page_after(x, keys, 40, cursor), keys)
+    return page_after(x, keys, 40, cursor)
+
+
 TOP_SQL = """
 SELECT round(s.win_count / s.total_count, 3) AS win_rate, s.score, s.role_id, s.ranking, r.name, r.force,
        CAST(row_number() OVER (ORDER BY s.score DESC, s.role_id) AS INTEGER) AS position
@@ -177,7 +193,7 @@ def q_score_match_roles(spark, sf):
 
 
 def _history(d: Domain):
-    return d.match_roles.select("match_id", "role_id", (F.col("match_id") % 13 + 1).cast("int").alias("avg_grade"))
+    return d.match_roles.select("match_id", "match_type", "role_id", (F.col("match_id") % 13 + 1).cast("int").alias("avg_grade"))
 
 
 @query("grade_backfill", f"""
