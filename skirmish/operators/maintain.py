@@ -22,9 +22,13 @@ KEY_DEFAULTS = {"global_id": "", "role_id": 0, "name": "", "zone": "", "server":
 
 
 def match_keys(*frames: DataFrame) -> list[str]:
-    """A match is (match_type, match_id): ids repeat across types. Frames that
-    do not carry the type (a log of one type) are met by the id alone."""
-    return ["match_type", "match_id"] if all("match_type" in f.columns for f in frames) else ["match_id"]
+    """A match is (match_type, match_id): ids repeat across types. Frames of one
+    type that do not carry it are met by the id alone; a frame without the type
+    cannot meet one that has it."""
+    typed = ["match_type" in f.columns for f in frames]
+    if any(typed) and not all(typed):
+        raise ValueError("match_type is missing on one side: match ids repeat across types")
+    return ["match_type", "match_id"] if all(typed) else ["match_id"]
 
 
 def split_by_keys(target: DataFrame, keys_df: DataFrame, keys: list[str]):
@@ -37,10 +41,11 @@ def split_by_keys(target: DataFrame, keys_df: DataFrame, keys: list[str]):
 def collapse_updates(updates: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """Per key, the batch's net change: for each field the last non-NULL
     value by ``order`` (two updates of one key apply in order; NULL keeps
-    what was there)."""
+    what was there). Without an order column the largest value of each field,
+    so that the result does not depend on the plan."""
     fields = [c for c in updates.columns if c not in keys and c != order]
     if order is None:
-        aggs = [F.first(c, ignorenulls=True).alias(c) for c in fields]
+        aggs = [F.max(c).alias(c) for c in fields]
     else:
         aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
     return updates.groupBy(*keys).agg(*aggs)
@@ -53,10 +58,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str |
 
     One full outer join of the target with the collapsed batch; columns in
     ``keep_max`` never go down (I7)."""
-    return _merge(target, collapse_updates(updates, keys, order), keys, target.columns, keep_max)
+    return merge_updates(target, collapse_updates(updates, keys, order), keys, target.columns, keep_max)
 
 
-def _merge(target: DataFrame, u: DataFrame, keys: list[str], columns: list[str], keep_max: tuple[str, ...] = ()) -> DataFrame:
+def merge_updates(target: DataFrame, u: DataFrame, keys: list[str], columns: list[str], keep_max: tuple[str, ...] = ()) -> DataFrame:
+    """The target with one collapsed update per key merged in."""
     j = target.alias("t").join(u.alias("u"), keys, "full_outer")
     out = []
     for c in target.columns:
@@ -82,9 +88,24 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return target.unionByName(fresh_rows(target, new, keys).select(*target.columns))
 
 
-def fresh_rows(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` (one per key) whose key is absent from ``target``."""
-    return new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+def fresh_rows(target: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``new`` (one per key) whose key is absent from ``target``. Of
+    several rows of one key the first by ``order``, then by their content:
+    every use of the result sees the same one."""
+    rest = [c for c in new.columns if c not in keys]
+    ranked = F.struct(*([order] if order else []), *rest) if rest else F.lit(True)
+    one = new.groupBy(*keys).agg(F.min(ranked).alias("_row"))
+    one = one.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in new.columns])
+    return one.join(target.select(*keys), keys, "left_anti").select(*new.columns)
+
+
+def participants(matches: DataFrame, roles_col: str = "roles") -> DataFrame:
+    """One row per entry of the participant array. J9's entries carry the
+    account-wide id beside the in-game one; ``role_id`` becomes the former."""
+    keys = match_keys(matches)
+    fields = [f.name for f in matches.schema[roles_col].dataType.elementType.fields if f.name not in ("match_id", "match_type")]
+    parts = matches.select(*keys, F.explode(roles_col).alias("p")).select(*keys, *[F.col(f"p.{f}").alias(f) for f in fields])
+    return parts.withColumn("role_id", F.col("global_id" if "global_id" in parts.columns else "role_id").cast("string"))
 
 
 def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame,
@@ -99,12 +120,7 @@ def insert_matches(matches: DataFrame, match_roles: DataFrame, scores: DataFrame
     keys = match_keys(matches, new)
     fresh = fresh_rows(matches, new, keys)
     m2 = matches.unionByName(fresh.select(*matches.columns))
-    fields = [f.name for f in new.schema[roles_col].dataType.elementType.fields
-              if f.name not in ("match_id", "match_type")]
-    parts = fresh.select("match_id", "match_type", F.explode(roles_col).alias("p")).select(
-        "match_id", "match_type", *[F.col(f"p.{f}").alias(f) for f in fields])
-    # J9's participants carry the account-wide id beside the in-game one
-    parts = parts.withColumn("role_id", F.col("global_id" if "global_id" in parts.columns else "role_id").cast("string"))
+    parts = participants(fresh, roles_col)
     mr_new = parts.select(*[F.col(c) if c in parts.columns else F.lit(None).cast(t).alias(c)
                             for c, t in match_roles.dtypes])
     # participant rows already stored for the new match ids (normally none)

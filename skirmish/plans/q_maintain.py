@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import epoch_seconds
+from skirmish.operators import buckets as K
 from skirmish.operators import joins as C
 from skirmish.operators import maintain as M
 from skirmish.operators import ordered as E
 from skirmish.plans.catalog import query
 from skirmish.plans.q_ordered import HALF_MONTH, ISLANDS_SQL
 from skirmish.plans.q_reports import MATCH_COLS_SQL, flat_matches
+from skirmish.session import scratch_path
 from skirmish.sources.fixtures import Domain
 
 HALF_EPOCH = f"epoch(TIMESTAMP '{HALF_MONTH}')"
@@ -54,6 +56,18 @@ def q_upsert(spark, sf):
     return M.upsert(d.scores, score_updates(d), ["role_id", "match_type"], order="seq")
 
 
+@query("bucketed_upsert", UPSERT_SQL)
+def q_bucketed_upsert(spark, sf):
+    """The upsert on a stored target of 16 buckets, as two batches of roles."""
+    d = Domain(spark, sf)
+    table = K.Bucketed(scratch_path(spark, "scores"), ("role_id", "match_type"), 16)
+    table.write(d.scores)
+    u = score_updates(d)
+    for part in (0, 1):
+        K.upsert_stored(table, u.where(F.col("role_id").cast("long") % 2 == part), order="seq")
+    return table.read(spark)
+
+
 @query("save_performance", UPSERT_SQL.replace("FROM ({UPDATES_SQL})".format(UPDATES_SQL=UPDATES_SQL),
                                               "FROM ({UPDATES_SQL}) WHERE score IS NOT NULL".format(UPDATES_SQL=UPDATES_SQL)))
 def q_save_performance(spark, sf):
@@ -136,6 +150,24 @@ def q_insert_role_logs(spark, sf):
         "seen", lambda r: F.concat(r["lower"].cast("string"), F.lit("/"), r["upper"].cast("string"))), ";").alias("seen"))
 
 
+@query("bucketed_role_logs", f"""
+SELECT CAST(user_id AS VARCHAR) AS global_id, user_id AS role_id, '' AS name, '' AS zone, '' AS server,
+       string_agg(CAST(lower AS VARCHAR) || '/' || CAST(upper AS VARCHAR), ';' ORDER BY lower) AS seen
+FROM ({ISLANDS_SQL}) GROUP BY user_id""")
+def q_bucketed_role_logs(spark, sf):
+    """The two halves of the month inserted into stored role logs of 16 buckets."""
+    d = Domain(spark, sf)
+    keyed = d.seen_days.select(F.col("user_id").cast("string").alias("global_id"), F.col("user_id").alias("role_id"),
+                               *[F.lit(None).cast("string").alias(c) for c in ("name", "zone", "server")], "day")
+    half = F.lit(HALF_MONTH).cast("date")
+    empty = keyed.where(F.lit(False)).select(*M.KEY_DEFAULTS, F.array().cast("array<" + _range_t() + ">").alias("seen"))
+    table = K.Bucketed(scratch_path(spark, "role-logs"), tuple(M.KEY_DEFAULTS), 16)
+    table.write(M.insert_role_logs(empty, keyed.where(F.col("day") < half)))
+    K.insert_role_logs_stored(table, keyed.where(F.col("day") >= half))
+    return table.read(spark).select(*M.KEY_DEFAULTS, F.array_join(F.transform(
+        "seen", lambda r: F.concat(r["lower"].cast("string"), F.lit("/"), r["upper"].cast("string"))), ";").alias("seen"))
+
+
 def _range_t():
     from skirmish.functions.ranges import RANGE_TYPE
 
