@@ -4,8 +4,8 @@ Hot keys: every per-key window here is either bounded by the domain (a
 match's seats, a role's distinct day ranges, a tag's vocabulary), pre-reduced
 before the shuffle (top-n per key gets Spark's partial WindowGroupLimit;
 "first/last per key" is a ``max_by`` aggregate with map-side combine), or
-split by time (the change log E8 windows over (key, time bucket) and stitches
-bucket edges from a per-bucket summary).
+spread over range partitions (the change log E8 and the dictionary ids E10 are
+segmented scans with one carry per partition, see ``operators.scan``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions.ranges import make_range
+from skirmish.operators.scan import carried, numbered, placed, with_carry
 
 FAR_PAST = "0001-01-01"
 FAR_FUTURE = "9999-12-31"
@@ -132,8 +133,7 @@ def seen_sets(merged: DataFrame, keys: list[str], col: str = "seen") -> DataFram
 
 
 # --------------------------------------------------------------------- E8
-def change_log(df: DataFrame, key: str, value: str, order: list[str], null_safe: bool = False,
-               bucket: str = "day", time_col: str | None = None) -> DataFrame:
+def change_log(df: DataFrame, key: str, value: str, order: list[str], null_safe: bool = False) -> DataFrame:
     """E8 (general form): rows where ``value`` is logged for its key — the
     first row of the key, or a row whose value differs from the previous
     row's (by ``order``); the logged value is never NULL.
@@ -141,28 +141,20 @@ def change_log(df: DataFrame, key: str, value: str, order: list[str], null_safe:
     Default (``null_safe=False``) compares with ``<>``, so NULL → value is
     not logged (Q13); ``null_safe=True`` logs it.
 
-    Skew: the window runs over (key, time bucket), so a hot key is spread
-    over its buckets; the previous value at a bucket's first row comes from
-    a per-(key, bucket) summary (much smaller than the rows).
+    Skew: a segmented scan (``operators.scan``). Rows are range-partitioned by
+    (key, order), so a key that is hot within one instant's neighbourhood is
+    spread too; a partition's first key takes its previous value from the last
+    row that an earlier partition has of it.
     """
-    tcol = time_col or order[0]
-    b = F.to_date(tcol) if bucket == "day" else F.date_trunc(bucket, F.col(tcol))
-    x = df.withColumn("_b", b)
-    ordk = F.struct(*[F.col(c) for c in order])
-    # last value per (key, bucket), then the previous bucket's last per key
-    last = (x.groupBy(key, "_b").agg(F.max_by(F.struct(F.col(value).alias("v")), ordk).alias("_last"))
-            .withColumn("_prev_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_b"))))
-    w = Window.partitionBy(key, "_b").orderBy(*[F.col(c) for c in order])
-    s = last.select(F.col(key).alias("_sk"), F.col("_b").alias("_sb"), "_prev_bucket")
-    rows = x.withColumn("_prev_row", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    # null-safe on both parts: a NULL key or time forms its own group, as in a window
-    y = rows.join(s, F.col(key).eqNullSafe(F.col("_sk")) & F.col("_b").eqNullSafe(F.col("_sb")), "inner") \
-            .drop("_sk", "_sb")
-    prev = F.coalesce(F.col("_prev_row"), F.col("_prev_bucket"))
+    at = F.struct(F.col(value).alias("v"))
+    rows = placed(df, [key], order, "change-log", {"_prev_row": F.lag(at)})
+    carry = carried(rows, [key], {"_l": F.max_by(at, F.struct(*order))}, {"_prev_part": F.last("_l")})
+    y = with_carry(rows, carry, [key])
+    prev = F.coalesce(F.col("_prev_row"), F.col("_prev_part"))
     first = prev.isNull()
     changed = ~F.col(value).eqNullSafe(prev["v"]) if null_safe else (F.col(value) != prev["v"])
     keep = F.col(value).isNotNull() & (first | F.coalesce(changed, F.lit(False)))
-    return y.where(keep).drop("_b", "_prev_row", "_prev_bucket")
+    return y.where(keep).select(*df.columns)
 
 
 def passport_changes(updates: DataFrame, null_safe: bool = False) -> DataFrame:
@@ -185,19 +177,16 @@ def dictionary_versions(known: DataFrame, values: DataFrame, order: str, tag: st
     their ids; new distinct values get max(id)+1, +2, … by first appearance.
     Output: tag, value, id, is_new.
 
-    Known and new values share one window per tag (its vocabulary: bounded by
-    the dictionary, not by the data); no join is needed for the max id."""
+    New values are ranked by a segmented scan (``operators.scan``): range
+    partitions, a count per (partition, tag), and the counts of the earlier
+    partitions added up, so a large vocabulary is spread over all tasks."""
     firsts = values.groupBy(tag, value).agg(F.min(order).alias("_first"))
     new = firsts.join(known.select(tag, value), [tag, value], "left_anti")
-    first_type = firsts.schema["_first"].dataType
-    k = known.select(tag, value, F.col("id").cast("long").alias("id"), F.lit(None).cast(first_type).alias("_first"),
-                     F.lit(False).alias("is_new"))
-    n = new.select(tag, value, F.lit(None).cast("long").alias("id"), "_first", F.lit(True).alias("is_new"))
-    both = k.unionByName(n)
-    base = F.coalesce(F.max("id").over(Window.partitionBy(tag)), F.lit(-1).cast("long"))
-    rn = F.row_number().over(Window.partitionBy(tag, "is_new").orderBy("_first", value))
-    out = both.withColumn("id", F.when(F.col("is_new"), base + rn).otherwise(F.col("id")))
-    return out.select(tag, value, F.col("id").cast("long").alias("id"), "is_new")
+    base = known.groupBy(tag).agg(F.max("id").cast("long").alias("_base"))
+    ranked = numbered(new, [tag], ["_first", value], "_rank", "dictionary").join(base, tag, "left")
+    rank = F.coalesce(F.col("_base"), F.lit(-1).cast("long")) + 1 + F.col("_rank")
+    return (known.select(tag, value, F.col("id").cast("long").alias("id"), F.lit(False).alias("is_new"))
+            .unionByName(ranked.select(tag, value, rank.alias("id"), F.lit(True).alias("is_new"))))
 
 
 def score_history(perf_updates: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skirmish.operators.maintain import add_counts, fresh_rows, match_keys
+from skirmish.operators.maintain import add_counts, fresh_rows, match_keys, participants
 from skirmish.operators.ordered import change_log
 
 BATCH_COL = "batch"
@@ -31,13 +31,6 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH_COL}={batch}")
 
 
-def _read_before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
-    """The target as of before ``batch`` (its own folder excluded)."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).where(F.col(BATCH_COL) < batch).drop(BATCH_COL)
-
-
 def _batch_ids(spark: SparkSession, path: str) -> list[int]:
     """Batch ids present under ``path`` (folder names ``batch=<id>``; a
     metadata listing on the driver, no data read)."""
@@ -60,43 +53,83 @@ def _landing(spark: SparkSession, schema, path: str, max_files: int | None) -> D
     return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
-def seed(df: DataFrame, path: str) -> None:
+IDS_COL = "ids"           # folder of a range of match ids inside a batch's folder
+IDS_WIDTH = 100_000       # ids per folder
+REDELIVERY = "7 days"     # how long a delivery is remembered as state
+
+
+def _write_ranges(df: DataFrame, path: str, batch: int, id_col: str, width: int) -> None:
+    """Overwrite this batch's folder, with a folder per range of ids in it."""
+    (df.withColumn(IDS_COL, F.expr(f"{id_col} div {width}")).write.mode("overwrite").partitionBy(IDS_COL)
+     .parquet(f"{path}/{BATCH_COL}={batch}"))
+
+
+def target_slice(spark: SparkSession, path: str, batch: int, rows: DataFrame, schema, id_col: str = "match_id",
+                 width: int = IDS_WIDTH) -> DataFrame:
+    """The target as of before ``batch``, in the id ranges that ``rows`` touch:
+    the other folders are pruned. The list of ranges that reaches the driver
+    has at most one number per ``width`` ids (matches arrive with growing
+    ids, so a batch lies in few)."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    ranges = [r[0] for r in rows.select(F.expr(f"{id_col} div {width}").alias("r")).distinct().where("r IS NOT NULL").collect()]
+    return spark.read.parquet(path).where((F.col(BATCH_COL) < batch) & F.col(IDS_COL).isin(ranges)).drop(BATCH_COL, IDS_COL)
+
+
+def seed(df: DataFrame, path: str, id_col: str = "match_id", width: int = IDS_WIDTH) -> None:
     """Write the initial table as batch 0."""
-    _write_batch(df, path, 0)
+    _write_ranges(df, path, 0, id_col, width)
+
+
+def without_redeliveries(src: DataFrame, keys: list[str], keep: str = REDELIVERY) -> DataFrame:
+    """``src`` without rows that were delivered with the same content within
+    ``keep`` before. Deliveries are held in the state store as (key, hash of
+    the row). The watermark runs on the time of arrival, so no row is ever
+    late and none is lost; a state entry goes once ``keep`` is over, and what
+    is delivered again after that meets the stored table."""
+    cols = src.columns
+    return (src.withColumn("_arrived", F.current_timestamp()).withColumn("_digest", F.xxhash64(*cols))
+            .withWatermark("_arrived", keep).dropDuplicatesWithinWatermark([*keys, "_digest"]).select(*cols))
 
 
 def stream_insert_matches(spark: SparkSession, landing: str, schema, target: str, checkpoint: str,
                           key: tuple[str, ...] | None = None, max_files: int | None = None, roles_col: str | None = None,
-                          roles_target: str | None = None, fetched_deltas: str | None = None) -> StreamingQuery:
+                          roles_target: str | None = None, fetched_deltas: str | None = None, id_col: str = "match_id",
+                          width: int = IDS_WIDTH, keep: str = REDELIVERY) -> StreamingQuery:
     """L1: the ingest of I2 as a stream. Arriving match rows are inserted
     when their key is absent; with ``roles_col`` (J9's participant array)
     the participant rows of the inserted matches go to ``roles_target`` and
     the per-(role, match type) count of new participations to
     ``fetched_deltas`` (apply them with ``apply_fetched_deltas``).
 
-    Every output is written as the batch's own folder, so a replayed batch
-    rewrites the same rows: idempotent by key, late or repeated deliveries
-    need no watermark."""
+    Re-deliveries are dropped by streaming state; the rest meets the stored
+    table in the id ranges of the batch only. Every output is written as the
+    batch's own folder, so a replayed batch rewrites the same rows."""
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         b = epoch_id + 1
-        fresh = fresh_rows(_read_before(spark, target, b, schema), df, list(key or match_keys(df)))
-        if roles_col is None:
-            _write_batch(fresh, target, b)
-            return
-        fresh = fresh.persist()  # used by three writes; recomputed from the batch if lost
+        rows = df.persist()  # read for its id ranges and for the insert
+        fresh = None
         try:
-            _write_batch(fresh.drop(roles_col), target, b)
-            parts = fresh.select("match_id", "match_type", F.explode(roles_col).alias("p")).select("match_id", "match_type", "p.*")
+            fresh = fresh_rows(target_slice(spark, target, b, rows, schema, id_col, width), rows, list(key or match_keys(rows)))
+            if roles_col is None:
+                _write_ranges(fresh, target, b, id_col, width)
+                return
+            fresh = fresh.persist()  # used by three writes; recomputed from the batch if lost
+            _write_ranges(fresh.drop(roles_col), target, b, id_col, width)
+            parts = participants(fresh, roles_col)
             if roles_target:
                 _write_batch(parts, roles_target, b)
             if fetched_deltas:
                 _write_batch(parts.groupBy("role_id", "match_type").agg(F.count(F.lit(1)).alias("n")), fetched_deltas, b)
         finally:
-            fresh.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
+            rows.unpersist()
 
     src = _landing(spark, schema, landing, max_files)
-    return (src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    keys = list(key or match_keys(src))
+    return (without_redeliveries(src, keys, keep).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -163,4 +196,4 @@ def stream_passport_changes(spark: SparkSession, landing: str, schema, log: str,
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A streamed table as a whole (all batch folders)."""
-    return spark.read.parquet(path).drop(BATCH_COL)
+    return spark.read.parquet(path).drop(BATCH_COL, IDS_COL)
