@@ -56,9 +56,10 @@ def get_role(roles: DataFrame, scores: DataFrame, role_id: str, match_type: str
     return r.join(s, "global_id", "left")
 
 
-def get_match(matches: DataFrame, match_id: int) -> DataFrame:
-    """One match by id."""
-    return matches.where(F.col("match_id") == match_id)
+def get_match(matches: DataFrame, match_id: int, match_type: str | None = None) -> DataFrame:
+    """One match by its type and id (by the id alone in a table of one type)."""
+    x = matches if match_type is None else read_match_type(matches, match_type)
+    return x.where(F.col("match_id") == match_id)
 
 
 def get_matches(matches: DataFrame) -> DataFrame:

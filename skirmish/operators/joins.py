@@ -215,5 +215,6 @@ def recode_match_type(scores: DataFrame, roles: DataFrame) -> DataFrame:
 
 def participant_of(detail: DataFrame, role_id: str, players: str = "players") -> DataFrame:
     """C20: the participant entries of each match equal to a role."""
-    x = detail.select("match_id", F.explode(players).alias("p"))
-    return x.where(F.col("p.role_id") == role_id).select("match_id", "p.*")
+    keys = match_keys(detail)
+    x = detail.select(*keys, F.explode(players).alias("p")).where(F.col("p.role_id") == role_id)
+    return x.select(*keys, *[f"p.{f.name}" for f in x.schema["p"].dataType.fields if f.name not in keys])

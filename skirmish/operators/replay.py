@@ -43,11 +43,11 @@ def parse_replay(match_logs: DataFrame, col: str = "replay") -> DataFrame:
 
     Blank and NULL texts are dropped first (Q10); a malformed text gives a
     row whose parsed fields are NULL (PERMISSIVE), as the reference's JSON
-    reader does. The log's own match_id is kept as the key."""
+    reader does. The log's own match_id (and match_type) is kept as the key."""
     x = match_logs.where(F.col(col).isNotNull() & (F.trim(F.col(col)) != ""))
     parsed = F.from_json(F.col(col), REPLAY_SCHEMA, {"mode": "PERMISSIVE"})
-    return x.select("match_id", parsed.alias("_r")).select(
-        "match_id", "_r.replay", "_r.players", "_r.match_duration")
+    keys = match_keys(match_logs)
+    return x.select(*keys, parsed.alias("_r")).select(*keys, "_r.replay", "_r.players", "_r.match_duration")
 
 
 def first_skill(replay: Column | str = "replay") -> Column:
@@ -59,13 +59,13 @@ def first_skill(replay: Column | str = "replay") -> Column:
 
 def replay_with_match(replays: DataFrame, matches: DataFrame) -> DataFrame:
     """Parsed replays ⟕ matches, size guard, seat split. Keeps
-    match_id, replay, players, team1_ids, team2_ids, match_duration."""
+    the match's key, replay, players, team1_ids, team2_ids, match_duration."""
     keys = match_keys(replays, matches)
     m = matches.select(*keys, "role_ids", "team1_kungfu", "team2_kungfu")
     x = replays.join(m, keys, "left")
     n1, n2 = F.size("team1_kungfu"), F.size("team2_kungfu")
     x = x.where(F.size("role_ids") == n1 + n2)
-    return x.select("match_id", "replay", "players",
+    return x.select(*keys, "replay", "players",
                     F.slice("role_ids", F.lit(1), n1).alias("team1_ids"),
                     F.slice("role_ids", n1 + 1, n2).alias("team2_ids"),
                     "match_duration")

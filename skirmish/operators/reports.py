@@ -303,7 +303,7 @@ def count_word(df: DataFrame, col: str) -> DataFrame:
 
 def team_scores(players: DataFrame, score: str = "score2") -> DataFrame:
     """Σ player score per (match, team)."""
-    return players.groupBy("match_id", "team").agg(F.sum(score).alias("team_score"))
+    return players.groupBy(*match_keys(players), "team").agg(F.sum(score).alias("team_score"))
 
 
 def first_skill_count(replays: DataFrame) -> DataFrame:
@@ -320,6 +320,19 @@ def describe(df: DataFrame, *cols: str) -> DataFrame:
     return x.summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
 
 
+def describe_columns(df: DataFrame, cols: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
+    """D19 with typed columns: one row per column with its non-NULL ``count``,
+    exact ``mean``, ``min`` and ``max``, and the ``quantiles`` of ``shares`` by
+    a mergeable sketch whose rank error is at most 1 / ``accuracy``. One pass:
+    sketches are built per task and merged."""
+    def stats(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
+                        F.percentile_approx(x, list(shares), accuracy).alias("quantiles"))
+
+    return df.agg(F.array(*[stats(c) for c in cols]).alias("s")).select(F.inline("s"))
+
+
 def fetched_counts(history: DataFrame) -> DataFrame:
     """Stored matches per role."""
     return history.groupBy("role_id").agg(F.count(F.lit(1)).alias("fetched"))

@@ -288,6 +288,39 @@ def q_collect_dictionary(spark, sf):
     return J.collect_dictionary(detail_payloads(Domain(spark, sf)), CDN)
 
 
+def dictionary_payloads(d: Domain):
+    """One payload per participant in which names and entries change from match
+    to match, with a field that no schema names, and ids and numbers that
+    arrive as numbers or as text."""
+    odd = F.col("match_id") % 2 == 1
+    k7 = F.col("kungfu") % 7
+    armor = lambda ui, quality: F.struct(
+        ui.alias("ui_id"), F.concat(F.lit("armor"), F.col("match_id").cast("string")).alias("name"),
+        F.concat(F.lit(CDN + "a"), k7.cast("string"), F.lit(".png?v=2")).alias("icon"), quality.alias("quality"),
+        F.struct((F.col("match_id") % 3).alias("no")).alias("set"), F.lit(2).alias("strength_level"), F.col("seat").alias("pos"))
+    player = lambda a: F.to_json(F.struct(F.struct(F.array(F.struct(
+        F.col("kungfu").alias("kungfu_id"), F.concat(F.lit("name"), F.col("match_id").cast("string")).alias("kungfu"),
+        F.array(a).alias("armors"))).alias("players_info")).alias("team1")))
+    text = player(armor(F.concat(F.lit("100"), k7.cast("string")), F.lit("3")))
+    number = player(armor((F.lit(1000) + k7), F.lit(3)))
+    return d.match_roles.select("match_id", "role_id", F.when(odd, text).otherwise(number).alias("payload"))
+
+
+@query("dictionary_by_arrival", """
+SELECT 'kungfu' AS tag, CAST(kungfu AS VARCHAR) AS id, '"name' || CAST(max(match_id) AS VARCHAR) || '"' AS content
+FROM match_roles GROUP BY kungfu
+UNION ALL
+SELECT 'equip' AS tag, '100' || CAST(k AS VARCHAR) AS id, '{"icon":"a' || CAST(k AS VARCHAR) || '.png","name":"armor' || CAST(m AS VARCHAR) ||
+  '","quality":3,"set":{"no":' || CAST(m % 3 AS VARCHAR) || '},"ui_id":"100' || CAST(k AS VARCHAR) || '"}' AS content
+FROM (SELECT kungfu % 7 AS k, min(match_id) AS m FROM match_roles GROUP BY kungfu % 7)""")
+def q_dictionary_by_arrival(spark, sf):
+    d = Domain(spark, sf)
+    p = dictionary_payloads(d)
+    e = J.dictionary_entries(p, CDN, ["match_id", "role_id"])
+    empty = spark.createDataFrame([], "tag string, id string, content string")
+    return J.push_entries(empty, e)
+
+
 @query("name_list_versions", """
 SELECT 'attr_names' AS tag, 'hp' AS value, CAST(0 AS BIGINT) AS id, true AS is_new
 UNION ALL SELECT 'metric_names' AS tag, 'dps%|hps' AS value, CAST(0 AS BIGINT) AS id, true AS is_new

@@ -320,7 +320,7 @@ def q_count_word(spark, sf):
 @query("team_scores", """
 SELECT match_id, team, CAST(sum(score2) AS BIGINT) AS team_score FROM match_roles GROUP BY match_id, team""")
 def q_team_scores(spark, sf):
-    return R.team_scores(Domain(spark, sf).match_roles)
+    return R.team_scores(Domain(spark, sf).match_roles).drop("match_type")
 
 
 @query("fetched_counts", "SELECT role_id, count(*) AS fetched FROM match_roles GROUP BY role_id")
@@ -333,6 +333,29 @@ def q_describe(spark, sf):
     return R.describe(flat_rates(rates(Domain(spark, sf))), "total_count", "team_weight", "person_rate", "team_rate")
 
 
+DESCRIBED = ["score2", "kungfu", "seat"]
+
+
+@query("describe_columns", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, CAST(min({c}) AS DOUBLE) AS min,
+       CAST(max({c}) AS DOUBLE) AS max, true AS within FROM match_roles""" for c in DESCRIBED))
+def q_describe_columns(spark, sf):
+    """Moments, and whether each quantile's rank is within the bound (judged
+    against exact ranks)."""
+    shares, bound = (0.25, 0.5, 0.75), 1e-3
+    x = Domain(spark, sf).match_roles
+    d = R.describe_columns(x, DESCRIBED, shares, accuracy=1000)
+    values = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in DESCRIBED])).alias("e")).select("e.*")
+    met = values.join(F.broadcast(d.select("column", "quantiles")), "column")
+    near = F.lit(True)
+    for i, s in enumerate(shares):
+        q = F.col("quantiles")[i]
+        below, upto = F.count_if(F.col("v") < q) / F.count("v"), F.count_if(F.col("v") <= q) / F.count("v")
+        near = near & (below <= s + bound) & (upto >= s - bound)
+    ranks = met.groupBy("column").agg(near.alias("within"))
+    return d.join(ranks, "column").select("column", "count", F.round("mean", 6).alias("mean"), "min", "max", "within")
+
+
 @query("kungfu_items", "SELECT id, content, kungfu, short, rank FROM kungfu_items")
 def q_kungfu_items(spark, sf):
     return kitems(Domain(spark, sf))

@@ -139,6 +139,20 @@ def q_tagged_report_set(spark, sf):
     return docs.select("tag", F.size("content").cast("long").alias("n"), games.alias("games"))
 
 
+@query("replace_report_set", """
+SELECT r.run, t.tag, t.n FROM (SELECT 'a' AS run UNION ALL SELECT 'b') r CROSS JOIN (
+  SELECT 'grade_count' AS tag, count(*) AS n FROM (SELECT grade FROM matches GROUP BY grade)
+  UNION ALL SELECT 'kungfus_' || CAST(grade AS VARCHAR), count(*)
+  FROM (SELECT grade, kungfus FROM teams WHERE grade BETWEEN 1 AND 13 GROUP BY grade, kungfus) GROUP BY grade) t""")
+def q_replace_report_set(spark, sf):
+    """Two runs, the first written twice: each document is there once."""
+    path = scratch_path(spark, "report-sets")
+    docs = S.tagged_report_set(Domain(spark, sf).matches)
+    for run in ("a", "b", "a"):
+        S.replace_report_set(docs, path, run)
+    return spark.read.parquet(path).select("run", "tag", F.size("content").cast("long").alias("n"))
+
+
 RECENT_LOG_ID = 10
 
 

@@ -207,7 +207,7 @@ def match_logs(conversations: DataFrame) -> DataFrame:
         "replay",
         F.array().cast("array<string>").alias("players"),
     )
-    return g.select(F.col("conv_id").alias("match_id"), F.to_json(payload).alias("replay"))
+    return g.select(F.col("conv_id").alias("match_id"), _match_type(F.col("conv_id")).alias("match_type"), F.to_json(payload).alias("replay"))
 
 
 def role_updates(events: DataFrame) -> DataFrame:

@@ -275,6 +275,57 @@ def collect_dictionary(df: DataFrame, icon_prefix: str, col: str = "payload") ->
     return rows.groupBy("tag", "id").agg(F.max("content").alias("content"))
 
 
+# Scalar fields of a dictionary entry that have one type however they arrive.
+TEXT_FIELDS, NUMBER_FIELDS = ["ui_id", "id", "name", "icon"], ["quality"]
+
+
+def _entry(entry: Column, dropped: list[str], icon_prefix: str) -> Column:
+    """A dictionary entry's content as JSON text: every field it came with but
+    the ``dropped`` ones, in the order of their names. Known fields get their
+    type (a number may arrive as text and the reverse)."""
+    def field(k: Column, v: Column) -> Column:
+        text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "bigint")
+        return (F.when(k == "icon", icon_url_trim(text, icon_prefix).cast("variant"))
+                .when(k.isin(TEXT_FIELDS), text.cast("variant"))
+                .when(k.isin(NUMBER_FIELDS) & number.isNotNull(), number.cast("variant")).otherwise(v))
+
+    fields = F.try_variant_get(entry, "$", "map<string,variant>")
+    return F.to_json(F.transform_values(F.map_filter(fields, lambda k, _v: ~k.isin(dropped)), field))
+
+
+def dictionary_entries(df: DataFrame, icon_prefix: str, order: list[str], col: str = "payload") -> DataFrame:
+    """J10 as it arrives: one (tag, id, content, at) row per class name, equip
+    and talent met, ``at`` being its place by the payload's ``order`` columns,
+    then by team, seat and position. Payloads are parsed as VARIANT, so fields
+    that no schema names stay in the content. Entries without an id, and
+    payloads that are no JSON, give nothing. Feed it to ``push_entries``."""
+    v = df.select(F.struct(*order).alias("o"), F.try_parse_json(col).alias("v"))
+    team = lambda n: F.try_variant_get("v", f"$.team{n}.players_info", "array<variant>")
+    none = F.array().cast("array<variant>")
+    players = v.select("o", F.posexplode(F.concat(F.coalesce(team(1), none), F.coalesce(team(2), none))).alias("seat", "p"))
+    whole = lambda c, path: F.try_variant_get(c, path, "string").try_cast("int").cast("string")
+    zero = F.lit(0)
+    kung = players.select(F.lit("kungfu").alias("tag"), whole(F.col("p"), "$.kungfu_id").alias("id"),
+                          F.concat(F.lit('"'), F.try_variant_get("p", "$.kungfu", "string"), F.lit('"')).alias("content"),
+                          F.struct("o", "seat", zero.alias("pos")).alias("at"))
+    out = [kung]
+    for tag, path, key, dropped in (("equip", "armors", "$.ui_id", ARMOR_DROPPED), ("talent", "talents", "$.id", TALENT_DROPPED)):
+        e = players.select("o", "seat", F.posexplode(F.try_variant_get("p", f"$.{path}", "array<variant>")).alias("pos", "e"))
+        out.append(e.select(F.lit(tag).alias("tag"), whole(F.col("e"), key).alias("id"), _entry(F.col("e"), dropped, icon_prefix).alias("content"),
+                            F.struct("o", "seat", "pos").alias("at")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).where(F.col("id").isNotNull() & F.col("content").isNotNull())
+
+
+def push_entries(dictionary: DataFrame, entries: DataFrame) -> DataFrame:
+    """J10's rules over I8: class names overwrite what is there (the last one
+    met stays); equips and talents are inserted once (the first one met)."""
+    from skirmish.operators.maintain import dictionary_push
+
+    names = F.col("tag") == "kungfu"
+    renamed = dictionary_push(dictionary, entries.where(names), "overwrite", order="at")
+    return dictionary_push(renamed, entries.where(~names), "insert_only", order="at")
+
+
 def name_lists(roles: DataFrame) -> DataFrame:
     """The metric / attribute name lists seen (tag, value = list text,
     first = first match id), ready for ``dictionary_versions``."""

@@ -77,3 +77,11 @@ def tagged_report_set(matches: DataFrame, grades: list[int] | None = None) -> Da
 def save_report_set(docs: DataFrame, path: str, mode: str = "append") -> None:
     """Write every document of the set in one job, partitioned by tag."""
     stamp(docs).write.mode(mode).partitionBy("tag").parquet(path)
+
+
+def replace_report_set(docs: DataFrame, path: str, run: str) -> None:
+    """A8/A9 as a repeatable write: the documents of one ``run`` are stored by
+    (run, tag) and replace what an earlier try of the same run left; other runs
+    and tags keep their files (dynamic partition overwrite)."""
+    (stamp(docs).withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run", "tag").parquet(path))

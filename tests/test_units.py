@@ -466,7 +466,9 @@ def test_a_match_is_its_type_and_id(spark):
     m = spark.createDataFrame([(1, "2c", 5)], "match_id long, match_type string, grade int")
     new = spark.createDataFrame([(1, "3c", 6), (1, "2c", 7)], m.schema)
     assert sorted(map(tuple, M.insert_if_absent(m, new, M.match_keys(m, new)).collect())) == [(1, "2c", 5), (1, "3c", 6)]
-    assert M.match_keys(m, m.drop("match_type")) == ["match_id"]
+    assert M.match_keys(m.drop("match_type"), m.drop("match_type")) == ["match_id"]
+    with pytest.raises(ValueError):
+        M.match_keys(m, m.drop("match_type"))
 
 
 def test_performance_rules(spark):
