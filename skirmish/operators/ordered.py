@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.ranges import make_range
 from skirmish.operators.scan import carried, numbered, placed, with_carry
+from skirmish.session import written
 
 FAR_PAST = "0001-01-01"
 FAR_FUTURE = "9999-12-31"
@@ -182,7 +183,7 @@ def dictionary_versions(known: DataFrame, values: DataFrame, order: str, tag: st
     partitions added up, so a large vocabulary is spread over all tasks."""
     firsts = values.groupBy(tag, value).agg(F.min(order).alias("_first"))
     new = firsts.join(known.select(tag, value), [tag, value], "left_anti")
-    base = known.groupBy(tag).agg(F.max("id").cast("long").alias("_base"))
+    base = written(known.groupBy(tag).agg(F.max("id").cast("long").alias("_base")), "dictionary-base")  # a row per tag
     ranked = numbered(new, [tag], ["_first", value], "_rank", "dictionary").join(base, tag, "left")
     rank = F.coalesce(F.col("_base"), F.lit(-1).cast("long")) + 1 + F.col("_rank")
     return (known.select(tag, value, F.col("id").cast("long").alias("id"), F.lit(False).alias("is_new"))
