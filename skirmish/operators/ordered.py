@@ -1,7 +1,7 @@
 """E / F: window and order-dependent operators.
 
 Hot keys: every per-key window here is either bounded by the domain (a
-match's seats, a role's distinct day ranges, a tag's vocabulary), pre-reduced
+match's seats, a tag's vocabulary), pre-reduced
 before the shuffle (top-n per key gets Spark's partial WindowGroupLimit;
 "first/last per key" is a ``max_by`` aggregate with map-side combine), or
 spread over range partitions (the change log E8 and the dictionary ids E10 are
@@ -17,9 +17,6 @@ from skirmish.functions.ranges import make_range
 from skirmish.operators.scan import carried, numbered, placed, with_carry
 from skirmish.session import written
 
-FAR_PAST = "0001-01-01"
-FAR_FUTURE = "9999-12-31"
-
 
 # --------------------------------------------------------------------- E2–E4
 def last_n_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -95,23 +92,86 @@ def infer_teams(match_roles: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- E6–E7
-def merge_seen_ranges(ranges: DataFrame, keys: list[str], col: str = "seen") -> DataFrame:
-    """Merge overlapping and day-adjacent ranges per key (gaps and
-    islands). Input: one canonical range per row in ``col``; output: one
-    row per merged range. Ranges are deduplicated first (map-side), so a
-    key's window holds at most its distinct ranges."""
+def _shift(name: str, value: Column, bits: Column) -> Column:
+    return F.call_function(name, value, bits)
+
+
+def seen_bitmaps(ranges: DataFrame, keys: list[str], col: str = "seen") -> DataFrame:
+    """The days of each key's ranges as a mergeable bitmap: one row per key and
+    word of 64 days (``_word``, ``_bits``), combined by ``bit_or`` before and
+    after the shuffle. A half-open range has no last word: the smallest day
+    from which every day is in is ``_from``, the largest day before which
+    every day is in is ``_to`` (both on a row without a word)."""
+    lo, up = F.unix_date(f"{col}.lower"), F.unix_date(f"{col}.upper")
     r = (ranges.where(F.col(col).isNotNull())
-         .select(*keys, F.coalesce(F.col(f"{col}.lower"), F.lit(FAR_PAST).cast("date")).alias("_lo"),
-                 F.coalesce(F.col(f"{col}.upper"), F.lit(FAR_FUTURE).cast("date")).alias("_up"))
-         .distinct())
-    w = Window.partitionBy(*keys).orderBy("_lo", "_up")
-    prev_max = F.max("_up").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(prev_max.isNull() | (F.col("_lo") > prev_max), F.lit(1)).otherwise(F.lit(0))
-    isl = r.withColumn("_start", start).withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = isl.groupBy(*keys, "_island").agg(F.min("_lo").alias("_lo"), F.max("_up").alias("_up"))
-    lo = F.when(F.col("_lo") == F.lit(FAR_PAST).cast("date"), F.lit(None).cast("date")).otherwise(F.col("_lo"))
-    up = F.when(F.col("_up") == F.lit(FAR_FUTURE).cast("date"), F.lit(None).cast("date")).otherwise(F.col("_up"))
-    return g.select(*keys, make_range(lo, up).alias(col))
+         .select(*keys, lo.alias("_lo"), up.alias("_up")))
+    closed = F.col("_lo").isNotNull() & F.col("_up").isNotNull()
+    everything = F.col("_lo").isNull() & F.col("_up").isNull()
+    words = F.when(closed, F.sequence(F.shiftright("_lo", 6), F.shiftright(F.col("_up") - 1, 6)))
+    x = r.select(*keys, "_lo", "_up", F.explode_outer(words).alias("_word"))
+    first = F.greatest(F.col("_lo") - F.col("_word") * 64, F.lit(0))
+    last = F.least(F.col("_up") - F.col("_word") * 64, F.lit(64))
+    ones = F.lit(-1).cast("long")
+    bits = _shift("shiftleft", ones, first).bitwiseAND(_shift("shiftrightunsigned", ones, F.lit(64) - last))
+    start = F.when(everything, F.lit(0)).when(~closed & F.col("_up").isNull(), F.col("_lo"))
+    end = F.when(everything, F.lit(0)).when(~closed & F.col("_lo").isNull(), F.col("_up"))
+    return (x.select(*keys, "_word", F.when(F.col("_word").isNotNull(), bits).alias("_bits"),
+                     start.alias("_from"), end.alias("_to"))
+            .groupBy(*keys, "_word").agg(F.bit_or("_bits").alias("_bits"), F.min("_from").alias("_from"),
+                                         F.max("_to").alias("_to")))
+
+
+def _days_of(words: Column, bits: str) -> Column:
+    """The day numbers of the set bits of sorted words."""
+    return F.flatten(F.transform(words, lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: _shift("shiftright", w[bits], i).bitwiseAND(F.lit(1).cast("long")) == 1),
+        lambda i: w["_word"] * 64 + i)))
+
+
+def merge_seen_ranges(ranges: DataFrame, keys: list[str], col: str = "seen") -> DataFrame:
+    """Merge overlapping and day-adjacent ranges per key. Input: one
+    canonical range per row in ``col``; output: one row per merged range.
+
+    Ranges become words of a day bitmap, merged by ``bit_or`` with map-side
+    combine, so a hot key ships one row per word and task, and no key is
+    sorted. A key's list holds its distinct words (six a year). A run starts
+    at a set bit after an unset one and ends at a set bit before an unset one;
+    starts and ends pair up in order. A closed range costs its words (a year
+    six, all years the calendar has some 57,000)."""
+    per_key = seen_bitmaps(ranges, keys, col).groupBy(*keys).agg(
+        F.array_sort(F.filter(F.collect_list(F.struct("_word", "_bits")), lambda w: w["_word"].isNotNull())).alias("_ws"),
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    ws = F.col("_ws")
+    one = F.lit(1).cast("long")
+
+    def edges(w: Column, i: Column) -> Column:
+        before, after = F.get(ws, i - 1), F.get(ws, i + 1)
+        joined = F.coalesce((before["_word"] == w["_word"] - 1) & (before["_bits"] < 0), F.lit(False)).cast("int").cast("long")
+        goes_on = F.coalesce((after["_word"] == w["_word"] + 1) & (after["_bits"].bitwiseAND(one) == 1), F.lit(False)).cast("int").cast("long")
+        b = w["_bits"]
+        opens = b.bitwiseAND(F.bitwise_not(F.shiftleft(b, 1).bitwiseOR(joined)))
+        closes = b.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(b, 1).bitwiseOR(F.shiftleft(goes_on, 63))))
+        return F.struct(w["_word"].alias("_word"), opens.alias("_opens"), closes.alias("_closes"))
+
+    runs = (per_key.withColumn("_edges", F.transform(ws, edges))
+            .withColumn("_runs", F.zip_with(_days_of(F.col("_edges"), "_opens"), _days_of(F.col("_edges"), "_closes"),
+                                            lambda a, b: F.struct(a.alias("_lo"), (b + 1).alias("_up")))))
+    start, end = F.col("_from"), F.col("_to")
+    # runs that touch a half-open range belong to it
+    start = F.least(start, F.array_min(F.transform(F.filter("_runs", lambda r: r["_up"] >= F.col("_from")), lambda r: r["_lo"])))
+    end = F.greatest(end, F.array_max(F.transform(F.filter("_runs", lambda r: r["_lo"] <= F.col("_to")), lambda r: r["_up"])))
+    opened = (runs.withColumn("_start", F.when(F.col("_from").isNotNull(), start))
+              .withColumn("_end", F.when(F.col("_to").isNotNull(), end)))
+    none = F.lit(None).cast("int")
+    apart = F.filter("_runs", lambda r: (F.col("_from").isNull() | (r["_up"] < F.col("_from")))
+                     & (F.col("_to").isNull() | (r["_lo"] > F.col("_to"))))
+    pair = lambda a, b: F.array(F.struct(a.alias("_lo"), b.alias("_up")))
+    no_run = F.slice(pair(none, none), 1, 0)
+    out = F.when(F.col("_start") <= F.col("_end"), pair(none, none)).otherwise(F.concat(
+        F.when(F.col("_end").isNotNull(), pair(none, F.col("_end"))).otherwise(no_run), apart,
+        F.when(F.col("_start").isNotNull(), pair(F.col("_start"), none)).otherwise(no_run)))
+    g = opened.select(*keys, F.explode(out).alias("_run"))
+    return g.select(*keys, make_range(F.date_from_unix_date("_run._lo"), F.date_from_unix_date("_run._up")).alias(col))
 
 
 def add_seen_days(ranges: DataFrame, days: DataFrame, keys: list[str], day: str = "day",

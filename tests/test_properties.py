@@ -7,6 +7,8 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skirmish.functions.ranges import make_range
 from skirmish.operators import maintain as M
 from skirmish.operators import ordered as E
@@ -34,6 +36,32 @@ def test_merge_ranges_is_set_of_days(spark, rows):
     assert sorted(map(str, again.collect())) == sorted(map(str, E.merge_seen_ranges(df, ["k"]).collect()))
 
 
+spans_st = st.lists(st.tuples(st.integers(0, 1), st.one_of(st.none(), st.integers(-80, 200)), st.one_of(st.none(), st.integers(1, 140))),
+                    min_size=1, max_size=8)
+
+
+@SETTINGS
+@given(rows=spans_st)
+def test_merge_ranges_with_open_ends(spark, rows):
+    """Half-open and unbounded ranges, runs over several words of the bitmap,
+    days before 1970: against a set of days inside a frame that the bounds
+    never reach."""
+    start = dt.date(1970, 1, 1)
+    day = lambda n: None if n is None else start + dt.timedelta(days=n)
+    bounds = [(k, lo, None if n is None else (0 if lo is None else lo) + n) for k, lo, n in rows]
+    df = spark.createDataFrame([(k, day(lo), day(up)) for k, lo, up in bounds], "k int, lo date, up date").select(
+        "k", make_range("lo", "up").alias("seen"))
+    res = E.merge_seen_ranges(df, ["k"])
+    assert "Window" not in res._jdf.queryExecution().executedPlan().toString()
+    frame = range(-500, 500)
+    for k in {r[0] for r in rows}:
+        want = {x for kk, lo, up in bounds if kk == k for x in frame if (lo is None or lo <= x) and (up is None or x < up)}
+        mine = [(r.seen.lower, r.seen.upper) for r in res.where(F.col("k") == k).collect()]
+        mine = sorted((-500 if lo is None else (lo - start).days, 500 if up is None else (up - start).days) for lo, up in mine)
+        assert {x for lo, up in mine for x in range(lo, up)} == want
+        assert all(a[1] < b[0] for a, b in zip(mine, mine[1:], strict=False))
+
+
 events_st = st.lists(st.tuples(st.sampled_from(["g", "h"]), st.sampled_from([None, "a", "b"]), st.integers(0, 72)),
                      min_size=1, max_size=15)
 
