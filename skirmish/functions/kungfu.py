@@ -1,15 +1,13 @@
 """Class items, display order and line-up labels.
 
 The class dictionary (items with tag kungfu) is a dimension of a few dozen
-rows. When its size is under a checked limit it is inlined as a map literal,
-so labelling is a projection inside codegen; above the limit the labels of
-the distinct line-ups (bounded by the class combinatorics) are computed by
-a join and joined back on the line-up array.
+rows. It reaches the line-ups as one map, a scalar subquery, so that labelling
+is a projection.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import trim_quotes
@@ -44,64 +42,34 @@ def _order_key(entries: F.Column) -> F.Column:
                                                      F.coalesce(e["short"], F.lit(UNKNOWN_LABEL)).alias("short")))
 
 
-# A class dictionary larger than this is not inlined (the join path is used).
-MAX_INLINE_CLASSES = 5000
+# More class items than this make the labels fail: they are one row's map.
+MAX_CLASS_ITEMS = 100_000
 
 
-def class_map(kitems: DataFrame, max_rows: int = MAX_INLINE_CLASSES) -> Column | None:
-    """The class dictionary (id → content, short, rank) as a map literal,
-    when it has at most ``max_rows`` entries (checked); otherwise None.
-    Duplicate ids keep the smallest (content, short)."""
-    rows = (kitems.where(F.col("id").isNotNull()).select("id", "content", "short", "rank")
-            .limit(max_rows + 1).collect())
-    if len(rows) > max_rows:
-        return None
-    first: dict[int, tuple] = {}
-    for r in sorted(rows, key=lambda r: (r["id"], r["content"] or "", r["short"] or "")):
-        first.setdefault(r["id"], (r["content"], r["short"], r["rank"]))
-    t = "struct<content:string,short:string,rank:int>"
-    if not first:
-        return F.lit(None).cast(f"map<int,{t}>")
-    kv = []
-    for k, (c, sh, rk) in first.items():
-        kv += [F.lit(int(k)), F.struct(F.lit(c).cast("string").alias("content"), F.lit(sh).cast("string").alias("short"),
-                                       F.lit(rk).cast("int").alias("rank"))]
-    return F.create_map(*kv)
+def class_map(kitems: DataFrame) -> DataFrame:
+    """One row, one map: id → (content, short, rank) of the items of known
+    classes. Of duplicate ids the smallest (content, short) counts."""
+    first = (kitems.where(F.col("id").isNotNull())
+             .groupBy("id").agg(F.min(F.struct("content", "short", "rank")).alias("_s"))
+             .where(F.col("_s.short").isNotNull()))
+    few = first.limit(MAX_CLASS_ITEMS + 1)
+    return few.agg(F.when(F.count(F.lit(1)) <= MAX_CLASS_ITEMS, F.map_from_entries(F.collect_list(F.struct("id", "_s"))))
+                   .otherwise(F.raise_error(F.lit(f"more than {MAX_CLASS_ITEMS} class items"))).alias("m"))
 
 
 def lineup_labels(df: DataFrame, ids_col: str, kitems: DataFrame, out: str = "short") -> DataFrame:
     """H2: add ``out`` = short labels of the ids in ``ids_col``, sorted in
     class display order and concatenated. Unknown ids give ``?`` (last).
 
-    With a small (size-checked) class dictionary the labels are one
-    projection over a map literal — no join and no second pass over ``df``;
-    beyond the limit the labels of the distinct line-ups are joined back."""
-    m = class_map(kitems)
-    if m is not None:
-        entries = F.transform(F.col(ids_col), lambda i: F.struct(
-            i.alias("id"), F.try_element_at(m, i)["content"].alias("content"),
-            F.try_element_at(m, i)["short"].alias("short"), F.try_element_at(m, i)["rank"].alias("rank")))
-        label = F.array_join(F.transform(F.array_sort(_order_key(entries)), lambda x: x["short"]), "")
-        return df.withColumn(out, F.when(F.col(ids_col).isNull(), F.lit(None)).otherwise(label))
-    return _lineup_labels_join(df, ids_col, kitems, out)
-
-
-def _lineup_labels_join(df: DataFrame, ids_col: str, kitems: DataFrame, out: str = "short") -> DataFrame:
-    """H2 for a large dictionary: labels of the distinct line-ups, joined back."""
-    lineups = df.select(F.col(ids_col).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    el = lineups.select("_k", F.posexplode("_k").alias("_pos", "id"))
-    # one entry per id, the smallest (content, short) — the same rule as class_map
-    ki = (kitems.where(F.col("id").isNotNull())
-          .groupBy("id").agg(F.min(F.struct("content", "short", "rank")).alias("_s")).select("id", "_s.*"))
-    j = el.join(ki, "id", "left")
-    labels = (j.groupBy("_k")
-              .agg(F.collect_list(F.struct("id", "content", "short", "rank")).alias("_e"))
-              .select("_k", F.array_join(F.transform(F.array_sort(_order_key(F.col("_e"))),
-                                                     lambda x: x["short"]), "").alias(out)))
-    # empty line-ups explode to nothing: they get the empty label
-    res = df.join(labels, df[ids_col] == labels["_k"], "left").drop("_k")
-    return res.withColumn(out, F.when(F.col(ids_col).isNull(), F.lit(None))
-                          .otherwise(F.coalesce(F.col(out), F.lit(""))))
+    The class items reach the rows as a scalar subquery, so labelling is a
+    projection: building the plan starts no job, and ``df`` is neither
+    shuffled nor read again."""
+    x = df.withColumn("_m", class_map(kitems).scalar())
+    entries = F.transform(F.col(ids_col), lambda i: F.struct(i.alias("id"), F.try_element_at(F.col("_m"), i).alias("c")))
+    flat = F.transform(entries, lambda e: F.struct(e["id"].alias("id"), e["c"]["content"].alias("content"),
+                                                   e["c"]["short"].alias("short"), e["c"]["rank"].alias("rank")))
+    label = F.array_join(F.transform(F.array_sort(_order_key(flat)), lambda e: e["short"]), "")
+    return x.withColumn(out, F.when(F.col(ids_col).isNull(), F.lit(None)).otherwise(label)).drop("_m")
 
 
 def label_sql(lineups: str, key: str = "k") -> str:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skirmish.operators.maintain import KEY_DEFAULTS, collapse_updates, insert_role_logs, merge_updates, role_log_key
 
@@ -25,11 +26,13 @@ BUCKET = "bucket"
 
 @dataclass(frozen=True)
 class Bucketed:
-    """A table stored in ``n`` folders by the hash of ``keys``."""
+    """A table stored in ``n`` folders by the hash of ``keys``. With ``schema``
+    (without the bucket) a table of no rows can be read too."""
 
     path: str
     keys: tuple[str, ...]
     n: int
+    schema: StructType | None = None
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
@@ -44,7 +47,7 @@ class Bucketed:
 
     def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
         """The table, or its rows in ``buckets`` (other folders aren't read)."""
-        x = spark.read.parquet(self.path)
+        x = (spark.read if self.schema is None else spark.read.schema(StructType([*self.schema, StructField(BUCKET, IntegerType())]))).parquet(self.path)
         return (x if buckets is None else x.where(F.col(BUCKET).isin(buckets))).drop(BUCKET)
 
     def change(self, batch: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> list[int]:

@@ -7,13 +7,14 @@ allows it.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.operators.predicates import refused
+from skirmish.operators.trigram import TrigramIndex
 from skirmish.sources.tables import read_match_type
 
 # ---------------------------------------------------------------------------
@@ -72,22 +73,29 @@ def search_role(roles: DataFrame, persons: DataFrame, q: str) -> DataFrame:
     wildcards, as in the reference), with their person's name. The name
     filter runs on the roles scan; only the matching roles meet persons (the
     result keys need no score aggregate)."""
-    r = roles.where(F.col("name").like(f"%{q}%"))
+    return with_person(roles.where(F.col("name").like(f"%{q}%")), persons)
+
+
+def search_role_indexed(spark, index: TrigramIndex, persons: DataFrame, q: str) -> DataFrame:
+    """B8 over a trigram index of the roles' names: the same rows as
+    ``search_role``, reading the postings of the pattern's trigrams and the
+    rows of the folders they point to."""
+    return with_person(index.search(spark, q), persons)
+
+
+def with_person(r: DataFrame, persons: DataFrame) -> DataFrame:
+    """Found roles with their person's name (B8's columns)."""
     p = persons.select("person_id", F.col("name").alias("person_name"))
     return (r.join(p, "person_id", "left")
             .select(F.col("global_id").alias("role_id"), "force", "name", "zone", "server", "person_name"))
 
 
-# Caller text may only hold column expressions: no subqueries, and none of
-# the functions that call into the JVM by name.
-_FORBIDDEN = re.compile(r"\b(select|from|exists|in\s*\(|reflect|try_reflect|java_method)\b", re.IGNORECASE)
-
-
 def where_text(df: DataFrame, text: str, alias: str = "x1") -> DataFrame:
     """Caller-given predicate text in Spark SQL spelling over ``alias``.
-    Only column expressions are accepted (no subqueries)."""
-    if _FORBIDDEN.search(text):
-        raise ValueError("predicate text may only use column expressions")
+    Only expressions of one row are accepted, judged on the parsed text
+    (``predicates``): no subqueries, no windows, no functions beyond its list."""
+    if bad := refused(df.sparkSession, text):
+        raise ValueError(f"predicate text may not use {', '.join(bad)}")
     return df.alias(alias).where(F.expr(text))
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import is_recent
 from skirmish.operators import filters as B
+from skirmish.operators.trigram import TrigramIndex
 from skirmish.plans.catalog import query
 from skirmish.plans.q_reports import MATCH_COLS_SQL, flat_matches
+from skirmish.session import scratch_path
 from skirmish.sources.fixtures import Domain
 
 MIN_MATCH_ID = 1000
@@ -16,6 +18,7 @@ AS_OF_SCORES = "2001-08-01 00:00:00"
 ROLE = "8"
 MATCH = 100
 NAME_PART = "00001"
+NAME_PATTERN = "000_1%2"
 
 
 @query("recent_matches", f"SELECT {MATCH_COLS_SQL} FROM matches WHERE match_id > {MIN_MATCH_ID}")
@@ -73,6 +76,17 @@ def q_search_role(spark, sf):
     return B.search_role(d.roles, d.persons, NAME_PART)
 
 
+@query("search_role_indexed", f"""
+SELECT r.global_id AS role_id, r.force, r.name, r.zone, r.server, p.name AS person_name
+FROM roles r LEFT JOIN persons p ON p.person_id = r.person_id WHERE r.name LIKE '%{NAME_PATTERN}%'""")
+def q_search_role_indexed(spark, sf):
+    """All roles indexed, then found by a pattern with wildcards inside."""
+    d = Domain(spark, sf)
+    index = TrigramIndex(scratch_path(spark, "names"), "global_id", "name", d.roles.schema)
+    index.write(d.roles)
+    return B.search_role_indexed(spark, index, d.persons, NAME_PATTERN)
+
+
 @query("where_text", """
 SELECT x1.global_id, x1.name, x1.body_type FROM roles x1 WHERE x1.role_id < 100 AND x1.body_type = 'little'""")
 def q_where_text(spark, sf):
@@ -80,6 +94,15 @@ def q_where_text(spark, sf):
     return x.select("global_id", "name", "body_type")
 
 
+@query("where_text_list", """
+SELECT x1.global_id, x1.name, x1.body_type FROM roles x1
+WHERE x1.body_type IN ('little', 'from') AND x1.name <> 'select' AND x1.role_id % 2 = 1""")
+def q_where_text_list(spark, sf):
+    """An IN list and words of SQL inside literals are plain predicates."""
+    x = B.where_text(Domain(spark, sf).roles, "x1.body_type in ('little', 'from') and x1.name <> 'select' and x1.role_id % 2 = 1")
+    return x.select("global_id", "name", "body_type")
+
+
 @query("where_list", f"""
 SELECT {MATCH_COLS_SQL} FROM matches
 WHERE grade >= 10 AND team1_score + team2_score > 10000 AND match_type = '3c'""")

@@ -108,7 +108,7 @@ lineups_st = st.lists(st.lists(st.sampled_from([1, 2, 3, 4, 5, 99]), min_size=0,
 @SETTINGS
 @given(lineups=lineups_st)
 def test_labels_match_brute_force(spark, lineups):
-    from skirmish.functions.kungfu import _lineup_labels_join, kungfu_items, lineup_labels
+    from skirmish.functions.kungfu import kungfu_items, lineup_labels
     from skirmish.sources.dimension import CLASS_NAMES, CLASS_ORDER, class_dimension
 
     items = spark.createDataFrame([("kungfu", str(i), f'"{c}"') for i, c in CLASS_IDS.items()],
@@ -131,9 +131,8 @@ def test_labels_match_brute_force(spark, lineups):
         return "".join(short[n] if n else "?" for _, n in sorted(zip(ids, names), key=key))
 
     want = {i: brute(ls) for i, ls in enumerate(lineups)}
-    for impl in (lineup_labels, _lineup_labels_join):
-        got = {r.i: r.short for r in impl(df, "k", ki).collect()}
-        assert got == want
+    got = {r.i: r.short for r in lineup_labels(df, "k", ki).collect()}
+    assert got == want
 
 
 @SETTINGS

@@ -114,6 +114,28 @@ def test_only_the_touched_buckets_are_scanned(spark, tmp_path):
     assert leaves.head().metrics().apply("numFiles").value() == 2
 
 
+def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
+    from skirmish.operators.trigram import TrigramIndex, pattern_trigrams
+
+    assert pattern_trigrams("ab%cde_\\%fg") == ["%fg", "cde"]
+    words = ["abcd", "xabcy", "ab", "", None, "a%bc", "abc_d", "ABCD", "名字很長的人", "aaaa", "bcabc", "12😀34"]
+    rows = spark.createDataFrame([(str(i), words[i % len(words)], i) for i in range(600)] + [(None, "abcd", -1)],
+                                 "global_id string, name string, n int")
+    index = TrigramIndex(str(tmp_path / "t"), "global_id", "name", rows.schema, 8)
+    index.write(rows)
+    for q in ["abc", "ab", "", "b%abc", "a_cd", "a\\%bc", "abc\\_", "很長的", "aaa", "2😀3", "nowhere", "%", "abcd%x"]:
+        want = sorted(r.n for r in rows.where(F.col("name").like(f"%{q}%") & F.col("global_id").isNotNull()).collect())
+        assert sorted(r.n for r in index.search(spark, q).collect()) == want, q
+    read = index.postings(spark, ["abc"])
+    read.collect()
+    plan = read._jdf.queryExecution().executedPlan()
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() <= len(os.listdir(f"{index.path}/postings"))
+    assert "(bucket#" in plan.toString() and "EqualTo(gram,abc)" in plan.toString()
+    none = TrigramIndex(str(tmp_path / "none"), "global_id", "name", rows.schema, 8)
+    none.write(rows.where("false"))
+    assert none.search(spark, "abc").count() == 0 == none.search(spark, "a").count()
+
+
 def test_role_logs_in_buckets(spark, tmp_path):
     rows = [("a", dt.date(2024, 1, 1)), ("a", dt.date(2024, 1, 2)), ("b", dt.date(2024, 1, 1)), (None, dt.date(2024, 1, 1)), ("", dt.date(2024, 1, 1))]
     seen = spark.createDataFrame([(g, None, None, None, None, d) for g, d in rows],

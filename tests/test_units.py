@@ -73,10 +73,16 @@ def test_labels_exception_pair_and_unknown(spark):
     assert got[(4, 99)] == "剑?"
     assert got[()] == ""
     assert got[None] is None
-    from skirmish.functions.kungfu import _lineup_labels_join
 
-    joined = {tuple(r.k) if r.k is not None else None: r.short for r in _lineup_labels_join(df, "k", ki).collect()}
-    assert joined == got
+def test_labels_start_no_job_while_planned(spark):
+    """The class items are read when the labels are, not before."""
+    ki = kungfu_items(spark.createDataFrame([("kungfu", "1", '"jingyu"')], "tag string, id string, content string"), class_dimension(spark))
+    df = spark.createDataFrame([([1],)], "k array<int>")
+    never = ki.where(F.raise_error(F.lit("read")).isNull())
+    out = lineup_labels(df, "k", never)
+    assert out.columns == ["k", "short"]
+    with pytest.raises(Exception, match="read"):
+        out.collect()
 
 
 # --------------------------------------------------------------------- D6 / Q7
@@ -234,6 +240,15 @@ def test_predicates(spark):
         B.where_text(df, "role_id in (select 1)")
     with pytest.raises(ValueError):
         B.where_text(df, "java_method('java.lang.System', 'exit', 0) is null")
+    for text, n in [("x1.role_id in (1, 12)", 1), ("x1.body_type <> 'from'", 2), ("exists(array(role_id), x -> x > 1)", 1),
+                    ("x1.body_type like '%select%' or role_id between 2 and 4", 1)]:
+        assert B.where_text(df, text).count() == n, text
+    df.createOrReplaceTempView("tg")
+    for text in ["x1.role_id = (table tg limit 1)", "exists (select 1)", "system.builtin.reflect('java.lang.System', 'exit', 0) is null",
+                 "`java_method`('java.lang.System', 'exit', 0) is null", "count(*) > 1", "sum(role_id) over (order by role_id) > 1",
+                 "identifier('role_id') = 1", ":p = 1", "role_id in (1, (select max(role_id) from tg))", "input_file_name() = ''"]:
+        with pytest.raises(ValueError):
+            B.where_text(df, text)
     assert B.where_list(df, [("body_type", B.Lit("big")), (("role_id", "+", 1), ">", 3)]).count() == 1
 
 
