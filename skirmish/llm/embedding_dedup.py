@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import connected_components, read, stored
@@ -175,13 +175,22 @@ def _tiles(batches):
         yield held[1], held[2], held[3], held[4].astype(bool), held[5]
 
 
+def scaled(vector: Column) -> Column:
+    """The vector over the power of two at its largest component: an exact change
+    of scale that no norm or product of finite doubles overflows or loses."""
+    size = F.array_max(F.transform(vector, F.abs))
+    half = F.pow(F.lit(2.0), F.floor(F.log2(size) / 2))       # in two steps: 2^1074 is no double
+    return F.transform(F.transform(vector, lambda x: x / half), lambda x: x / half)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                     threshold: float = 0.98) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of one label and one dimension link at a cosine of ``threshold`` or
     more. Null labels, null, empty or zero vectors and those with null or
-    non-finite components link with nothing and keep themselves. Equal vectors
+    non-finite components link with nothing and keep themselves. Finite vectors
+    of any size are compared, the largest and the smallest doubles too. Equal vectors
     of a label are compared once and counted as often as they occur (repeated
     rows too). A null id never names a component unless all its ids are null,
     and is not kept. Other columns are ignored; an empty table gives an empty
@@ -195,7 +204,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = base.select("vec_id", "label", "embedding", F.when(valid, F.xxhash64("label", "embedding")).alias("cid"))
     ids = stored(rows.select("vec_id", "cid"), "vectors")
     classes = stored(rows.where("cid IS NOT NULL").groupBy("cid", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"))
-                     .select("cid", "label", "embedding", "copies"), "classes")
+                     .select("cid", "label", scaled(F.col("embedding")).alias("embedding"), "copies"), "classes")
     turn = rotations(classes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-9
     cells = stored(classes.mapInArrow(_cells(turn, width), CELL), "cells")

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,19 +25,20 @@ from skirmish.llm.common import fresh, read, stored
 # fixed patterns of the base scan
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match never starts inside a run of digits, as it would start at the run's first one (so time is linear in a run)
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
 HINT = re.compile(r"[0-9@]")
-# an identifier-like token: no white space or quotes, and a digit or @ in it
-TOKEN = re.compile(r"[^\s=:;,\"'<>()\[\]{}]*[0-9@][^\s=:;,\"'<>()\[\]{}]*")
+# a run without white space or quotes; one with a digit or @ in it is an identifier-like token
+RUN = re.compile(r"[^\s=:;,\"'<>()\[\]{}]+")
 # what joins tokens to a run, and the brackets around one
 BETWEEN = re.compile(r"(?=.{1,4}\Z)[ \t]*[()\[\]{}]*[ \t]*")
 OPEN, CLOSE = "([{", ")]}"
 CONTEXT = re.compile(r"\w+|[^\w\s]")
-REACH = 80
+MIN_VALUE = 5       # characters of a value that is no seed: shorter ones say nothing of their own
 
 
 def luhn(digits: str) -> bool:
@@ -79,25 +82,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """Two tokens before, one after (lower case; empty at the text's edges)."""
-    before = CONTEXT.findall(text[max(0, start - REACH): start].lower())[-2:]
-    after = CONTEXT.findall(text[end: end + REACH].lower())[:1]
-    before = [""] * (2 - len(before)) + before
-    return before[0], before[1], (after or [""])[0]
+class Contexts:
+    """Neighbouring tokens of the spans of one text, which is split once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = array("q"), array("q")
+        for m in CONTEXT.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def around(self, start: int, end: int) -> tuple[str, str, str]:
+        """Two tokens before, one after (whole, lower case; empty at the text's
+        edges). A token that the span cuts counts by its part outside."""
+        before, i = [], bisect_left(self.starts, start) - 1
+        while i >= 0 and len(before) < 2:
+            before.append(self.text[self.starts[i]:min(self.ends[i], start)].lower())
+            i -= 1
+        before += [""] * (2 - len(before))
+        j = bisect_right(self.ends, end)
+        after = self.text[max(self.starts[j], end):self.ends[j]].lower() if j < len(self.ends) else ""
+        return before[1], before[0], after
 
 
 def instances(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds and identifier-like tokens outside them, with their contexts."""
-    out = []
+    out, contexts = [], Contexts(text)
     for kind, s, e in found:
-        a, b, c = context(text, s, e)
+        a, b, c = contexts.around(s, e)
         out.append({"kind": kind, "start": s, "end": e, "value": text[s:e], "before2": a, "before1": b, "after1": c})
     taken = sorted((s, e) for _, s, e in found)
     tokens: list[tuple[int, int, bool]] = []           # start, end, does a sentence end here
     k = 0
-    for m in TOKEN.finditer(text):
-        s, e = m.start(), m.end()
+    for m in RUN.finditer(text):
+        s, e = m.span()
+        if not HINT.search(text, s, e):
+            continue
         while e > s and text[e - 1] in ".!?":
             e -= 1
         while k < len(taken) and taken[k][1] <= s:
@@ -106,8 +126,8 @@ def instances(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
             tokens.append((s, e, e < m.end()))
     spans = [(s, e) for s, e, _ in tokens] + runs(text, tokens)
     for s, e in sorted(spans):
-        if e - s >= 5:
-            a, b, c = context(text, s, e)
+        if e - s >= MIN_VALUE:
+            a, b, c = contexts.around(s, e)
             out.append({"kind": None, "start": s, "end": e, "value": text[s:e], "before2": a, "before1": b, "after1": c})
     return out
 
@@ -214,7 +234,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     Null and empty texts hold nothing; null ids and repeated rows keep their
     rows (rows are told apart by a row number that is written once); other
     columns are ignored; an empty table gives an empty result. A text is
-    handled whole and alone; what is shuffled are identifier-like tokens and
+    handled whole and alone, in time linear in its length, long runs without
+    white space included; what is shuffled are identifier-like tokens and
     their context words.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),

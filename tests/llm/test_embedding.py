@@ -51,3 +51,12 @@ def test_links_match_brute_force(spark, monkeypatch, home, probe):
 
 def test_empty(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_doubles_of_any_size(spark):
+    """Equal directions link whatever the size; norms and products of these overflow or vanish unscaled."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 5e-324], 1), (5, [1.7e308, -1.7e308], 1),
+            (6, [1e-310, -1e-310], 1), (7, [1.0, 0.0], 1), (8, [1e-320, 0.0], 1), (9, [0.0, 0.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in
+           E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (0, 9)}

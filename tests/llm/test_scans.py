@@ -86,18 +86,22 @@ def test_template_markup():
         L.compile_template("a [[b")
 
 
+# the contract's own patterns, written apart from the module's
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
 def brute_spans(t):
     out = [("email", m.start(), m.end()) for m in EMAIL.finditer(t)]
-    out += [("ip", m.start(), m.end()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
-    for m in pii.CARD.finditer(t):
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
         d = [int(c) for c in m[0] if c.isdigit()]
         s = sum(d[::-1][0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[::-1][1::2])
         if 13 <= len(d) <= 19 and s % 10 == 0:
             out.append(("card", m.start(), m.end()))
-    out += [("phone", m.start(), m.end()) for m in pii.PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    out += [("phone", m.start(), m.end()) for m in PHONE.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
     return out
 
 
@@ -116,6 +120,34 @@ def test_pii_base(docs_frame):
         assert [got[i]["n_" + k] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
 
 
+def test_pii_base_spans_of_random_texts():
+    rng = np.random.default_rng(5)
+    for alphabet in ("0123456789. ", "19.+-() @a", "4-1 .@x+"):
+        for _ in range(400):
+            t = "".join(rng.choice(list(alphabet), int(rng.integers(1, 60))))
+            assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_pii_contexts_are_whole_tokens_of_the_text():
+    t = "x" * 300 + " call: id#12345end, Then É now"
+    around = pii.Contexts(t).around
+    assert around(t.index("12345"), t.index("12345") + 5) == ("id", "#", "end")
+    assert around(t.index("call"), t.index("call") + 4) == ("", "x" * 300, ":")
+    assert around(t.index("É"), t.index("É") + 1) == (",", "then", "now")
+    assert around(0, len(t)) == ("", "", "")
+
+
+@pytest.mark.parametrize("unit", ["1", "字", "字1", "1.", "+1", "a@", "(1", "1 ", "#1a "])
+def test_pii_is_linear_in_long_runs(unit):
+    import time
+
+    t = unit * (500_000 // len(unit))
+    start = time.perf_counter()
+    found = pii.base_spans(t)
+    pii.instances(t, found)
+    assert time.perf_counter() - start < 30
+
+
 def test_pii_bootstraps_patterns(docs_frame):
     rows = [(i, f"the contact mail : user{i}@host.org thanks") for i in range(8)] + [(100, "the contact mail : user99(at)host9 thanks"),
             (101, "unrelated token abc12345 here"), (None, None), (8, "my contact mail : zed77 thanks")]
