@@ -1,12 +1,13 @@
-"""Multi-length packing by best fit.
+"""Hierarchical multi-length packing.
 
 Documents are tokenized and cut into whole windows of the longest tier plus a
-remainder. Every sequence has the longest window: remainders open it longest
-piece first and its gap is filled with the longest piece that fits, again and
-again. A tier is only the label of the smallest tier that holds the opening
-piece; no shorter windows are packed. The sequences of remainders of a bucket
-are dealt to step groups so that each group holds nearly the same number of
-tokens; whole windows, which all hold the same, have none.
+remainder. Each remainder is routed to the smallest tier that holds it. The
+longest tier is packed first and its gaps are filled from the shorter tiers,
+then each shorter tier is packed into windows of its own length, with gaps
+filled from the tiers below. A short window that is full is a sequence of its
+own; the others go up: they are laid into windows of the longest tier. The
+sequences of a tier are dealt to step groups of nearly the same number of
+tokens, whole windows too.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from skirmish.llm.common import read, stored
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
+STEP = 64           # sequences of a step group
 END_ID = 1
 CACHE_PARTS = 600_000
 BLOCK_BYTES = 1 << 19
@@ -149,44 +151,86 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
     return docs.mapInArrow(run, PIECES)
 
 
+class Pool:
+    """Items by length, from which the longest one that fits is taken; items of
+    equal length in order. A bit per length tells which lengths are left."""
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.argsort(lengths, kind="stable")
+        sizes, first = np.unique(lengths[order], return_index=True)
+        parts = np.split(order, first[1:]) if len(order) else []
+        self.left = {int(n): part[::-1].tolist() for n, part in zip(sizes, parts, strict=True)}
+        self.have = sum(1 << n for n in self.left)
+
+    def longest(self, room: int) -> int:
+        """The greatest length left that is at most ``room`` (0: none)."""
+        return max(0, (self.have & ((1 << (room + 1)) - 1)).bit_length() - 1)
+
+    def take(self, n: int) -> int:
+        i = self.left[n].pop()
+        if not self.left[n]:
+            self.have ^= 1 << n
+            del self.left[n]
+        return i
+
+    def windows(self, size: int, above: int) -> Iterator[tuple[list[int], int]]:
+        """Windows of ``size`` as (items, tokens): each is opened by the longest
+        item over ``above`` left, its gap filled with the longest that fits."""
+        while (n := self.longest(size)) > above:
+            items, gap = [], size
+            while n > 0:
+                items.append(self.take(n))
+                gap -= n
+                n = self.longest(gap) if gap else 0
+            yield items, size - gap
+
+
 def pack_lengths(lengths: np.ndarray, window: int = WINDOW, tiers=TIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence number, offset and tier (of the opening piece) for each piece.
-
-    Each window is opened by the longest piece left and filled with the longest
-    piece that fits its gap, again and again; pieces of equal length are taken
-    in order. A bit per length tells which lengths are left."""
-    order = np.argsort(lengths, kind="stable")
-    sizes, first = np.unique(lengths[order], return_index=True)
-    left = {int(n): list(part[::-1]) for n, part in zip(sizes, np.split(order, first[1:]), strict=True)}
-    have = sum(1 << n for n in left)
+    """Sequence number, offset and tier of its sequence for each piece."""
+    pool = Pool(lengths)
+    done: list[tuple[int, list[int]]] = []
+    part: list[tuple[list[int], int]] = []                  # short windows with a gap
+    below = sorted((t for t in tiers if t < window), reverse=True) + [0]
+    for size, low in zip([window, *below], below, strict=False):
+        for items, tokens in pool.windows(size, low):
+            if size == window or tokens == size:
+                done.append((size, items))
+            else:
+                part.append((items, tokens))
+    up = Pool(np.array([n for _, n in part], dtype=np.int64))
+    done += [(window, [i for k in windows for i in part[k][0]]) for windows, _ in up.windows(window, 0)]
     seq, off, tier = (np.zeros(len(lengths), dtype=np.int64) for _ in range(3))
-    k = 0
-    while have:
-        gap, own_tier = window, 0
-        while gap and (fits := have & ((1 << (gap + 1)) - 1)):
-            n = fits.bit_length() - 1
-            i = left[n].pop()
-            if not left[n]:
-                have ^= 1 << n
-            own_tier = own_tier or next(t for t in tiers if t >= n)
-            seq[i], off[i], tier[i] = k, window - gap, own_tier
-            gap -= n
-        k += 1
+    for k, (size, items) in enumerate(done):
+        n = lengths[items]
+        seq[items], off[items], tier[items] = k, np.cumsum(n) - n, size
     return seq, off, tier
 
 
+def step_groups(tokens: np.ndarray, tier: np.ndarray, step: int) -> np.ndarray:
+    """A group for each sequence: about ``step`` of one tier, dealt there and
+    back by falling length, so that the groups of a tier hold nearly the same."""
+    group, base = np.empty(len(tokens), dtype=np.int64), 0
+    for t in np.unique(tier):
+        own = np.flatnonzero(tier == t)
+        rank = np.empty(len(own), dtype=np.int64)
+        rank[np.argsort(-tokens[own], kind="stable")] = np.arange(len(own))
+        groups = max(1, len(own) // step)
+        lap, at = rank // groups, rank % groups
+        group[own] = base + np.where(lap % 2, groups - 1 - at, at)
+        base += groups
+    return group
+
+
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-def pack_bucket(pdf: pd.DataFrame, step: int = 64) -> pd.DataFrame:
+def pack_bucket(pdf: pd.DataFrame, step: int = STEP) -> pd.DataFrame:
     pdf = pdf.sort_values(["uid", "start"], kind="stable").reset_index(drop=True)
     seq, off, tier = pack_lengths(pdf["length"].to_numpy())
     tokens = np.bincount(seq, weights=pdf["length"])
-    rank = np.empty(len(tokens), dtype=np.int64)
-    rank[np.argsort(-tokens, kind="stable")] = np.arange(len(tokens))
-    groups = max(1, len(tokens) // step)
-    lap, at = rank // groups, rank % groups
-    group = np.where(lap % 2, groups - 1 - at, at)          # there and back: sums stay even
+    own = np.zeros(len(tokens), dtype=np.int64)
+    own[seq] = tier
+    group = step_groups(tokens, own, step)
     base = int(pdf["bucket"].iloc[0]) << 32
     return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "start": pdf["start"], "length": pdf["length"], "ids_crc32": pdf["ids_crc32"],
                          "doc_tokens": pdf["doc_tokens"], "sequence_id": base + seq, "offset": off,
@@ -203,6 +247,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     windows never move; remainders are dealt by hash to buckets of about
     ``bucket_rows`` (their number grows with the input), so that packing is
     bounded per task and one source or document cannot make a bucket hot.
+    ``tier`` is the length of the sequence's window; a shorter one than
+    ``window`` is always full. Step groups hold sequences of one tier; whole
+    windows are dealt in blocks as they are read (the last of a task is smaller).
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
@@ -212,10 +259,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rest = (pieces.where(F.col("length") < window)
             .withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("long"))
             .groupBy("bucket").applyInPandas(lambda pdf: pack_bucket(pdf), PACKED))
-    own = F.lit(1 << 62) + F.monotonically_increasing_id()
+    row = F.monotonically_increasing_id()
+    own, own_group = F.lit(1 << 62) + row, F.lit(1 << 62) + F.floor(row / STEP)
     whole = (pieces.where(F.col("length") == window).withColumn("sequence_id", own)
              .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"),
-                     F.lit(window).alias("tier"), F.lit(None).cast("long").alias("step_group")))
+                     F.lit(window).alias("tier"), own_group.alias("step_group")))
     return whole.unionByName(rest)
 
 

@@ -211,7 +211,49 @@ def test_packing(docs_frame):
     assert P.pack(docs_frame([]), P.public_tokenizer()).count() == 0
 
 
-def test_pack_lengths_leaves_little_padding():
-    n = np.random.default_rng(2).integers(1, 2048, 5000)
-    seq, _, _ = P.pack_lengths(n)
-    assert n.sum() / ((seq.max() + 1) * 2048) > 0.98
+@pytest.mark.parametrize("draw", ["uniform", "short", "long", "equal", "few"])
+def test_pack_lengths_by_tiers(draw):
+    rng = np.random.default_rng(2)
+    n = {"uniform": rng.integers(1, 2048, 5000), "short": np.minimum(2047, rng.geometric(1 / 120, 5000)), "long": rng.integers(1000, 2048, 1000),
+         "equal": np.full(1000, 600), "few": np.array([300])}[draw]
+    seq, off, tier = P.pack_lengths(n)
+    tokens = np.bincount(seq, weights=n)
+    size = np.zeros(len(tokens), dtype=np.int64)
+    size[seq] = tier
+    assert set(size) <= set(P.TIERS) and (tokens <= size).all() and (tokens[size < 2048] == size[size < 2048]).all()
+    for k in range(len(tokens)):                # gapless, one tier to a sequence
+        own = np.flatnonzero(seq == k)
+        own = own[np.argsort(off[own])]
+        assert (tier[own] == size[k]).all() and (off[own] == np.cumsum(n[own]) - n[own]).all()
+    if draw in ("uniform", "short"):
+        assert n.sum() / size.sum() > 0.98
+    if draw == "short":
+        assert set(size) == set(P.TIERS)        # every tier is packed
+    if draw == "uniform":                       # a long piece opens its window, shorter tiers fill the gap
+        long = np.flatnonzero(n > 1024)
+        assert len(set(seq[long])) == len(long) and (off[long] == 0).all()
+        assert np.mean([(seq == seq[i]).sum() > 1 for i in long]) > 0.9
+    if draw == "equal":
+        assert np.unique(tokens).tolist() == [600, 1800] or np.unique(tokens).tolist() == [1800]
+
+
+def test_step_groups_are_balanced():
+    rng = np.random.default_rng(3)
+    tokens, tier = rng.integers(1500, 2049, 1000), rng.choice([512, 2048], 1000)
+    tokens[tier == 512] = 512
+    group = P.step_groups(tokens, tier, 64)
+    for t in (512, 2048):
+        sums = np.array([tokens[group == g].sum() for g in np.unique(group[tier == t])])
+        mean = np.mean([tokens[(group == g)].mean() for g in np.unique(group[tier == t])])
+        assert sums.max() - sums.min() <= 2 * mean
+    assert all(len(set(tier[group == g])) == 1 for g in np.unique(group))
+
+
+def test_every_sequence_has_a_step_group(docs_frame):
+    got = P.pack(docs_frame([(i, "word " * (500 * i)) for i in range(12)]), P.public_tokenizer()).collect()
+    group, tokens = {}, {}
+    for r in got:
+        assert group.setdefault(r["sequence_id"], (r["step_group"], r["tier"])) == (r["step_group"], r["tier"]) and r["step_group"] is not None
+        tokens[r["sequence_id"]] = tokens.get(r["sequence_id"], 0) + r["length"]
+    assert all(n == t or t == 2048 for n, t in ((tokens[s], group[s][1]) for s in tokens))
+
