@@ -175,12 +175,12 @@ def _tiles(batches):
         yield held[1], held[2], held[3], held[4].astype(bool), held[5]
 
 
-def scaled(vector: Column) -> Column:
-    """The vector over the power of two at its largest component: an exact change
-    of scale that no norm or product of finite doubles overflows or loses."""
+def half_size(vector: Column) -> Column:
+    """A power of two near the square root of the vector's largest component. The
+    vector divided by it twice has an exact change of scale (2^1074 is no
+    double), and no norm or product of it overflows or vanishes."""
     size = F.array_max(F.transform(vector, F.abs))
-    half = F.pow(F.lit(2.0), F.floor(F.log2(size) / 2))       # in two steps: 2^1074 is no double
-    return F.transform(F.transform(vector, lambda x: x / half), lambda x: x / half)
+    return F.pow(F.lit(2.0), F.floor(F.log2(size) / 2))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -203,8 +203,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = base.select("vec_id", "label", "embedding", F.when(valid, F.xxhash64("label", "embedding")).alias("cid"))
     ids = stored(rows.select("vec_id", "cid"), "vectors")
-    classes = stored(rows.where("cid IS NOT NULL").groupBy("cid", "label", "embedding").agg(F.count(F.lit(1)).alias("copies"))
-                     .select("cid", "label", scaled(F.col("embedding")).alias("embedding"), "copies"), "classes")
+    classes = stored(rows.where("cid IS NOT NULL").groupBy("cid", "label", "embedding")
+                     .agg(F.count(F.lit(1)).alias("copies"), F.first(half_size(F.col("embedding"))).alias("half"))
+                     .select("cid", "label", F.transform("embedding", lambda x: x / F.col("half") / F.col("half")).alias("embedding"), "copies"), "classes")
     turn = rotations(classes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-9
     cells = stored(classes.mapInArrow(_cells(turn, width), CELL), "cells")
