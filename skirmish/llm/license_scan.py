@@ -21,6 +21,11 @@ WORD_RE = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # fixed phrases of the base scan
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+# what the BSD licenses of two and of three clauses share; what follows tells them apart
+BSD = ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+       "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+       "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+       "in the documentation and or other materials provided with the distribution ")
 # (label, markup)
 TEMPLATES = [
     ("mit", "[[released]] under the [[terms of the]] mit license"),
@@ -36,7 +41,9 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under [[a]] [[the]] creative commons attribution 4 0 international license"),
     ("cc-by-sa-4.0", "licensed under [[a]] [[the]] creative commons attribution sharealike 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", BSD + "this software is provided by"),
+    ("bsd-3-clause", BSD + "[[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products "
+                           "derived from this software without specific [[prior]] written permission"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
 ]
@@ -139,8 +146,7 @@ SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row per document with its base places, template labels, spans and a
-    score: the largest share of a label's evidence that its full template
-    covers (1 = an accepted template, 0.5 = only a base phrase, 0 = none).
+    score: 1 with an accepted template, 0.5 with a base phrase only, else 0.
 
     Whole texts are scanned, one by one (memory is one text). Null and empty
     texts have no words and no labels; null ids and repeated rows keep their

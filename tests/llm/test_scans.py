@@ -78,6 +78,22 @@ def test_usual_notices(docs_frame, label, notice):
     assert [r["labels"] for r in L.scan_licenses(docs_frame([(1, notice)])).collect()] == [label]
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. """
+THIRD = """{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission. """
+END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
+
+def test_bsd_licenses_differ_by_the_third_clause(docs_frame):
+    texts = [BSD.format("1. ", "2. ") + END, BSD.format("* ", "* ") + THIRD.format("* ") + END, BSD.format("1. ", "2. ") + THIRD.format("3. ") + END,
+             BSD.format("", "")[:140] + " and so on", BSD.format("1. ", "2. ") + "something else"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan_licenses(docs_frame(list(enumerate(texts)))).collect()}
+    assert got == {0: ("bsd-2-clause", 1.0), 1: ("bsd-3-clause", 1.0), 2: ("bsd-3-clause", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
 def test_template_markup():
     a = L.Automaton([("t", "a [[b c]] {{2}} d")])
     for text, ok in [("a d", 1), ("a b c d", 1), ("a b d", 1), ("a x y d", 1), ("a x y z d", 0), ("a b c x y d", 1), ("a b c x y z d", 0)]:
