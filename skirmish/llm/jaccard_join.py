@@ -30,6 +30,7 @@ from skirmish.llm.common import BlockedBloom, connected_components, drop_keys, f
 
 CHUNK = 512
 LEAF = 16
+FIRST = 16          # trees of a member by which repeated pairs are told
 
 
 def group_counts(h: np.ndarray) -> bytes:
@@ -296,13 +297,26 @@ def _chain(rule: Sizes):
     return run
 
 
+def earlier(own, others, tree: int, one: bool) -> np.ndarray:
+    """Which of ``others`` (lists of the first trees of members) meet ``own`` in
+    a tree that gives their pair instead of ``tree``: a smaller one, or any if
+    ``tree`` is of two chunks (``one`` false; such trees are in no list)."""
+    mine = np.asarray(own)
+    mine = mine[mine < tree] if one else mine
+    at = np.cumsum([0, *map(len, others)])
+    met = np.isin(np.concatenate(others), mine)
+    return np.diff(np.concatenate([[0], np.cumsum(met)])[at]) > 0
+
+
 def _search(rule: Sizes):
     """Second round: all surviving pairs across components. Rows: (tree, side,
-    cls, component, n, point); side 0 is searched in the tree of side 1, or in
-    its own tree if there is no side 1."""
+    cls, component, n, point, trees); side 0 is searched in the tree of side 1,
+    or in its own tree if there is no side 1. ``trees`` are a member's smallest
+    trees: a pair that two members have in an earlier common one is left to it,
+    so near copies that share most trees do not give their pairs in all of them."""
     def run(batches):
         left, right = [], []
-        for _, side, cls, comp, n, point in sorted_runs(batches):
+        for name, side, cls, comp, n, point, first in sorted_runs(batches):
             if (comp == comp[0]).all():
                 continue
             p = point_matrix(point)
@@ -318,7 +332,10 @@ def _search(rule: Sizes):
                 if comp[k] == most and trees[1] is None:
                     continue
                 tree, of = trees[int(comp[k] == most)]
-                for m in of[tree.search(p[k], int(n[k]), int(comp[k]), rule)]:
+                near = of[tree.search(p[k], int(n[k]), int(comp[k]), rule)]
+                if len(near):
+                    near = near[~earlier(first[k], first[near], int(name[0]), one)]
+                for m in near:
                     if not one or comp[m] == most or cls[k] < cls[m]:
                         left.append(int(cls[k]))
                         right.append(int(cls[m]))
@@ -428,7 +445,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
              .select(F.xxhash64("p", "q").alias("tree"), F.explode(F.array(F.struct("p", F.lit(0).alias("side")), F.struct(F.col("q").alias("p"), F.lit(1).alias("side")))).alias("s"))
              .select("tree", F.col("s.side").alias("side"), F.col("s.p").alias("bucket")))
     across = apart.join(named, "bucket").select("tree", "side", "cls", "comp")
-    more = (own.unionByName(across).join(points.drop("fp"), "cls").select("tree", "side", "cls", "comp", "n", "point")
+    # a member's trees are at most as many as its keys
+    early = own.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("tree")), 1, FIRST).alias("trees"))
+    inside = (points.select("cls", "n", "point").join(early, "cls", "left")
+              .select("cls", "n", "point", F.coalesce("trees", F.array().cast("array<long>")).alias("trees")))
+    more = (own.unionByName(across).join(inside, "cls").select("tree", "side", "cls", "comp", "n", "point", "trees")
             .repartition("tree").sortWithinPartitions("tree", "side", "cls").mapInArrow(_search(rule), PAIR))
     second = verified(stored(tested(more).join(first, ["a", "b"], "left_anti"), "pairs"))
     if not second.isEmpty():

@@ -113,3 +113,11 @@ def test_points_bound_the_overlap():
     heavy = np.arange(400, dtype=np.uint64) + np.uint64(7 << 50)      # all in one group
     p = J.point_matrix([J.group_counts(heavy), J.group_counts(heavy[:390])])
     assert np.minimum(p[0], p[1]).sum() >= 390
+
+
+def test_a_pair_comes_from_its_first_common_tree():
+    first = np.array([[1, 4, 9], [4, 9], [2, 3], []], dtype=object)
+    assert J.earlier(first[0], first[1:], 9, True).tolist() == [True, False, False]
+    assert J.earlier(first[0], first[1:], 4, True).tolist() == [False, False, False]
+    assert J.earlier(first[0], first[1:], -7, False).tolist() == [True, False, False]
+    assert J.earlier(first[3], first[:1], 4, True).tolist() == [False]
