@@ -12,6 +12,7 @@ along one alignment. Items without such a window are met by all their words.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from skirmish.llm.repeats import hash_range
 WINDOW = 8          # tokens of a template window
 LITERAL = 4         # of which at least so many are no placeholders
 COVER = 0.5         # share of an item's windows that an alignment must hold
-AGREE = 0.8         # share of an alignment's slots that must be consistent
+AGREE = 0.75        # share of an alignment's slots that must be consistent: one of four may differ
 SLACK = 8           # tokens by which the shift may change from one held window to the next
 # fixed list of unit words
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms us ns hz khz mhz ghz w kw mw v kv a ma pa kpa bar j kj cal kcal "
@@ -188,15 +189,19 @@ def alignments(item_pos: list[int], pos: list[int], slack: int, need: float) ->
 
 
 def consistent(slots: set[tuple[int, int, int, bool]], agree: float) -> bool:
-    """Whether the share ``agree`` of the slots is consistent: unchanged, or a
-    name that stands for one document value which stands for it alone.
-    Quantities (numbers and units) may be equal by chance on either side."""
-    to, of = {}, {}
+    """Whether the share ``agree`` of the slots is consistent. A name is if it is
+    unchanged, or stands for one document value which stands for it alone. Of
+    the places of one quantity (a number or unit) those are that hold its most
+    frequent replacement; two quantities may become equal by chance."""
+    to, of, many = {}, {}, {}
     for _, i, d, name in slots:
         if name:
             to.setdefault(i, set()).add(d)
             of.setdefault(d, set()).add(i)
-    return sum(not name or i == d or len(to[i]) == len(of[d]) == 1 for _, i, d, name in slots) >= agree * len(slots)
+        else:
+            many.setdefault(i, Counter())[d] += 1
+    names = sum(name and (i == d or len(to[i]) == len(of[d]) == 1) for _, i, d, name in slots)
+    return names + sum(max(n.values()) for n in many.values()) >= agree * len(slots)
 
 
 VERDICT = "uid long, doc_id long, item long, n_windows long, coverage double, n_slots int, verbatim boolean"

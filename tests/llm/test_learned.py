@@ -100,6 +100,17 @@ def test_a_few_conflicting_slots_do_not_hide_an_item(spark, docs_frame):
     assert not D.consistent({(0, 1, 5, True), (1, 1, 6, True), (2, 2, 2, False)}, 0.8)
 
 
+def test_a_wrong_second_number_makes_an_item_inconsistent(spark, docs_frame):
+    item = "A baker sold 12 loaves in the morning and then he sold another 12 loaves in the evening of that day"
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [(1, item.replace("12", "30")), (2, item.replace("another 12", "another 45").replace("12", "30")), (3, item)]
+    got = sorted((r["doc_id"], r["verbatim"]) for r in D.contamination(docs_frame(rows), bench).collect())
+    assert got == [(1, False), (3, True)]
+    assert D.consistent({(0, 5, 8, False), (1, 5, 8, False), (2, 5, 8, False), (3, 5, 9, False)}, 0.75)
+    assert D.consistent({(0, 5, 8, False), (1, 6, 8, False)}, 1.0)
+    assert not D.consistent({(0, 5, 8, False), (1, 5, 5, False)}, 0.75)
+
+
 def test_small_filter_gives_the_same(spark, docs_frame):
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     rows = [(1, ITEM), (2, "many other words that form windows of their own but match no item at all here")]
