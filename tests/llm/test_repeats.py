@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from skirmish.llm import repeats as R
+from skirmish.llm import substring_dedup as S
 from skirmish.llm.substring_dedup import remove_repeated_words
 from skirmish.llm.suffix_dedup import remove_repeated_bytes
 
@@ -96,3 +97,25 @@ def test_a_text_of_more_than_16_mib(docs_frame):
     rows = [(1, text), (2, text[-300:]), (3, text[(1 << 20) - 150:(1 << 20) + 150]), (4, text[100:250])]
     got = {r["doc_id"]: tuple(r)[1:4] for r in remove_repeated_bytes(docs_frame(rows)).collect()}
     assert got == {1: (len(text), 600, 2), 2: (300, 300, 1), 3: (300, 300, 1), 4: (150, 0, 0)}
+
+
+def test_repeated_edges_are_joined_to_nonbranching_paths(spark):
+    """Texts of edges: 1 2 3 4 5 twice, once more from 3 on (2 branches into 3), and a loop 7 7."""
+    texts = {1: [1, 2, 3, 4, 5], 2: [9, 1, 2, 3, 4, 5], 3: [8, 3, 4, 5], 4: [7, 7], 5: [7]}
+    rows = [(t, i, w) for t, ws in texts.items() for i, w in enumerate(ws) if w not in (8, 9)]
+    links = S.next_links(spark.createDataFrame(rows, "tkey long, at int, window long"))
+    assert sorted(tuple(r) for r in links.collect()) == [(2, 1), (4, 3), (5, 4)]
+    paths = S.compacted(links)
+    assert sorted((r["edge"], r["anc"], r["rank"]) for r in paths.collect()) == [(2, 1, 1), (4, 3, 1), (5, 3, 2)]
+    long = spark.range(1, 1000).selectExpr("id AS edge", "id - 1 AS anc")
+    assert {(r["anc"], r["rank"] - r["edge"]) for r in S.compacted(long).collect()} == {(0, 0)}
+    assert S.compacted(links.limit(0)).count() == 0
+
+
+def test_spans_are_verified_at_their_source(spark):
+    """Occurrences whose hashes agree but whose words don't are no spans."""
+    texts = spark.createDataFrame([(1, "a b  c d x"), (2, "y a\tb c d"), (3, "p q r s")], "tkey long, text string")
+    occurrences = spark.createDataFrame([(1, 0, 50, 1), (1, 1, 51, 1), (2, 1, 50, 1), (2, 2, 51, 1), (3, 0, 50, 1), (3, 1, 51, 1)],
+                                        "tkey long, at int, window long, n long")
+    got = sorted(tuple(r) for r in S.path_spans(texts, occurrences, 3).collect())
+    assert got == [(1, 0, 4), (2, 1, 4)]
