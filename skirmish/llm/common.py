@@ -17,20 +17,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# while a table is written: its shuffle files go when it is done, as nothing reads them again, and
+# Arrow batches are small, as both the JVM and the Python workers keep the memory of the largest
+WRITE_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
-    the lineage, survives lost executors, and is computed once. The shuffle
-    files of the write go when it is done, as nothing reads them again."""
+    the lineage, survives lost executors, and is computed once. ``WRITE_CONF``
+    holds during the write."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    path, before = scratch_path(spark, name), {k: spark.conf.get(k) for k in WRITE_CONF}
     try:
+        for k, v in WRITE_CONF.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

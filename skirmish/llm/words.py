@@ -69,6 +69,7 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[in
         j = min(j, len(texts))
         yield i, j, data[off[i]: off[j]], off[i: j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()        # of earlier batches; a worker lives through many stages
 
 
 def spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
