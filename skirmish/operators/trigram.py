@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from skirmish.operators.buckets import Bucketed
-from skirmish.session import written
+from skirmish.session import partitions_of, written
 
 GRAM = 3
+# Rows whose postings one task groups, then sorts.
+ROWS_EACH = 1 << 16
 # A search asks for at most this many trigrams (one bit of a long each); more can only narrow further.
 MASK = 62
 
@@ -58,19 +60,23 @@ class TrigramIndex:
     name: str
     schema: StructType
     n: int = 16
+    rows_each: int = ROWS_EACH
 
     @property
     def rows(self) -> Bucketed:
         return Bucketed(f"{self.path}/rows", (self.id,), self.n, self.schema)
 
     def write(self, df: DataFrame) -> None:
-        """Build both tables. Postings are dealt by ranges of (trigram, id), so a
+        """Build both tables. Rows are dealt by their id before their names are cut
+        up: equal postings are of one id, so they meet in its task, and no task
+        groups the postings of a whole file. Postings are dealt by ranges of (trigram, id), so a
         trigram that a third of the names hold is spread over tasks. Rows without an id are left out."""
-        df = df.where(F.col(self.id).isNotNull())
-        self.rows.write(df)
-        p = (df.select(F.col(self.id).alias("id"), F.explode(trigrams(F.col(self.name))).alias("gram"))
+        self.rows.write(df.where(F.col(self.id).isNotNull()))
+        names = self.rows.read(df.sparkSession).select(F.col(self.id).alias("id"), F.col(self.name).alias("name"))
+        parts = partitions_of(names, self.rows_each)
+        p = (names.repartition(parts, "id").select("id", F.explode(trigrams(F.col("name"))).alias("gram"))
              .distinct().withColumn("bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(self.n)).cast("int")))
-        (p.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
+        (p.repartitionByRange(parts, "bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings"))
 
     def postings(self, spark: SparkSession, grams: list[str]) -> DataFrame:

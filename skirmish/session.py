@@ -87,6 +87,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_of(df: DataFrame, rows_each: int) -> int:
+    """Partitions of about ``rows_each`` rows for ``df`` (counted; of a parquet
+    table by its footers), at least one a core: what a task sorts or groups is
+    then the same at every size of the input. AQE can't see to that, it merges
+    partitions by their compressed bytes and splits only those of skewed joins."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+
+
 def scale_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Settings sized for a large run (e.g. 100 TB over ~1000 executors).
 

@@ -114,6 +114,24 @@ def test_only_the_touched_buckets_are_scanned(spark, tmp_path):
     assert leaves.head().metrics().apply("numFiles").value() == 2
 
 
+def test_postings_are_grouped_in_parts_of_bounded_rows(spark, tmp_path):
+    from skirmish.operators.trigram import TrigramIndex
+
+    # one file, one task of the scan: its postings are dealt on before they are grouped
+    spark.range(400).select(F.col("id").cast("string").alias("global_id"), F.format_string("name %05d", F.col("id") % 390).alias("name")).coalesce(1) \
+        .write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rows = rows.unionByName(rows.where("global_id < '2'"))
+    index = TrigramIndex(str(tmp_path / "t"), "global_id", "name", rows.schema, 4, rows_each=25)
+    index.write(rows)
+    files = [f for _, _, names in os.walk(tmp_path / "t" / "postings") for f in names if f.startswith("part-")]
+    assert len({f.split("-")[1] for f in files}) > 8    # by shuffle partitions: at most 4
+    postings = spark.read.parquet(str(tmp_path / "t" / "postings"))
+    assert postings.count() == postings.select("id", "gram").distinct().count() > 400
+    want = rows.where(F.col("name").like("%me 0_1%2%")).collect()
+    assert want and sorted(map(tuple, index.search(spark, "me 0_1%2").collect())) == sorted(map(tuple, want))
+
+
 def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
     from skirmish.operators.trigram import TrigramIndex, pattern_trigrams
 
