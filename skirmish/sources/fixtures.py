@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.functions.scalars import epoch_seconds, pvp_type
+from skirmish.session import partitions_of
 from skirmish.sources.tables import read_table
 
 # Event type → class id used for the participants (fixed by FIXTURES.md).
@@ -29,6 +30,10 @@ OTHER_CLASS = 10224
 EVENT_CLASS_NAMES = [("signup", "jingyu"), ("click", "tianluo"), ("view", "mowen"), ("error", "taixu")]
 
 
+# Lines that one task joins and groups (``role_kungfus``).
+LINES_EACH = 1 << 19
+
+
 def _event_class(c: Column) -> Column:
     out = F.lit(OTHER_CLASS)
     for name, code in reversed(EVENT_CLASS):
@@ -150,27 +155,28 @@ def scores(orders: DataFrame) -> DataFrame:
     )
 
 
-def role_kungfus(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+def role_kungfus(orders: DataFrame, lineitem: DataFrame, part: DataFrame, lines_each: int = LINES_EACH) -> DataFrame:
     """Per (customer, lower(p_type)): distinct orders and finished ones.
 
     Distinct counting is done as a two-level aggregate: first collapse to
-    (customer, class, order) — which map-side combines — then count.
+    (customer, class, order), then count. Both have about as many groups as
+    there are lines, so they are dealt to partitions of ``lines_each`` lines:
+    by the order, where the collapse needs no further shuffle, then by the
+    result's key, as which it can be joined with its like.
     """
-    lines = lineitem.select("l_orderkey", "l_partkey")
-    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    parts = partitions_of(lineitem, lines_each)
     p = part.select("p_partkey", F.lower("p_type").alias("kungfu"))
-    per_order = (lines.join(o, lines.l_orderkey == o.o_orderkey)
-                 .join(p, lines.l_partkey == p.p_partkey)
+    lines = lineitem.select("l_orderkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    per_order = (lines.select("l_orderkey", "kungfu").repartition(parts, "l_orderkey")
+                 .join(o.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
                  .groupBy("o_custkey", "kungfu", "o_orderkey")
                  .agg(F.first("o_orderstatus").alias("status")))
-    return per_order.groupBy("o_custkey", "kungfu").agg(
+    dealt = per_order.select(F.col("o_custkey").cast("string").alias("role_id"), "kungfu", "status").repartition(parts, "role_id", "kungfu")
+    return dealt.groupBy("role_id", "kungfu").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(F.col("status") == "F").alias("win_count"),
-    ).select(
-        F.col("o_custkey").cast("string").alias("role_id"),
-        F.lit("3c").alias("match_type"),
-        "kungfu", "total_count", "win_count",
-    )
+    ).select("role_id", F.lit("3c").alias("match_type"), "kungfu", "total_count", "win_count")
 
 
 def items(part: DataFrame, ev_df: DataFrame) -> DataFrame:

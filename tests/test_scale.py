@@ -132,6 +132,21 @@ def test_postings_are_grouped_in_parts_of_bounded_rows(spark, tmp_path):
     assert want and sorted(map(tuple, index.search(spark, "me 0_1%2").collect())) == sorted(map(tuple, want))
 
 
+def test_class_counts_are_dealt_by_lines(spark):
+    from skirmish.sources.fixtures import role_kungfus
+
+    lines = spark.range(6000).selectExpr("id div 3 AS l_orderkey", "id % 40 AS l_partkey")
+    orders = spark.range(2000).selectExpr("id AS o_orderkey", "id div 2 AS o_custkey", "if(id % 2 = 0, 'F', 'O') AS o_orderstatus")
+    part = spark.range(40).selectExpr("id AS p_partkey", "concat('TYPE ', id % 20) AS p_type")
+    got = role_kungfus(orders, lines, part, lines_each=200)
+    want = (lines.join(orders, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
+            .groupBy(F.expr("cast(o_custkey AS string) AS role_id"), F.expr("lower(p_type) AS kungfu"))
+            .agg(F.expr("count(DISTINCT o_orderkey)"), F.expr("count(DISTINCT if(o_orderstatus = 'F', o_orderkey, NULL))")))
+    assert sorted(map(tuple, got.drop("match_type").collect())) == sorted(map(tuple, want.collect()))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 2 * 200    # by shuffle partitions: 4 at most
+
+
 def test_trigram_index_finds_what_a_scan_finds(spark, tmp_path):
     from skirmish.operators.trigram import TrigramIndex, pattern_trigrams
 
