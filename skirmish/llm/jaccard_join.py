@@ -17,6 +17,7 @@ of near copies costs a chain of pairs, not all of them.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,9 @@ def group_counts(h: np.ndarray) -> bytes:
 
 
 def point_matrix(points) -> np.ndarray:
-    """Points as rows; finer ones are folded to the coarsest (groups are hashes
-    modulo powers of two). The last coordinate is the sum in front."""
+    """Points (as ``group_counts`` gives them) as rows; finer ones are folded to
+    the coarsest (groups are hashes modulo powers of two). The last coordinate
+    is the sum in front."""
     groups = min(len(p) for p in points) - 4
     out = np.zeros((len(points), groups + 1), dtype=np.int32)
     for k, p in enumerate(points):
@@ -55,6 +57,18 @@ def point_matrix(points) -> np.ndarray:
     return out
 
 
+def packed(point: bytes) -> bytes:
+    """A point as it is stored and dealt, to as many trees as it is in: most
+    counts are 0 to 3, so Huffman codes take a quarter to a third of the bytes
+    (its copies lie in different partitions, where Spark's own compression can't meet them)."""
+    z = zlib.compressobj(9, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return point[:4] + z.compress(point[4:]) + z.flush()
+
+
+def unpacked(points) -> list[bytes]:
+    return [p[:4] + zlib.decompress(p[4:], -15) for p in points]
+
+
 class Sizes:
     """Size bands and slices for a threshold of ``num``/``den`` shared shingles."""
 
@@ -154,7 +168,7 @@ def _arrow(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, 2, size):
-            yield _arrow(SCAN_ARROW, b.column(0), b.column(1), [len(s) for s in sets], [fingerprint(s) for s in sets], [group_counts(s) for s in sets])
+            yield _arrow(SCAN_ARROW, b.column(0), b.column(1), [len(s) for s in sets], [fingerprint(s) for s in sets], [packed(group_counts(s)) for s in sets])
     return run
 
 
@@ -283,7 +297,7 @@ def _chain(rule: Sizes):
         for _, cls, n, point in sorted_runs(batches):
             if len(cls) < 2:
                 continue
-            p = point_matrix(point)
+            p = point_matrix(unpacked(point))
             for k in range(1, len(cls)):
                 bound = np.minimum(p[k], p[:k]).sum(axis=1) - rule.need(n[k], n[:k])
                 for other in {int(np.argmax(bound)), 0}:
@@ -319,7 +333,7 @@ def _search(rule: Sizes):
         for name, side, cls, comp, n, point, first in sorted_runs(batches):
             if (comp == comp[0]).all():
                 continue
-            p = point_matrix(point)
+            p = point_matrix(unpacked(point))
             probe, home = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
             # a pair across components has a member outside the largest one
             names, sizes = np.unique(comp, return_counts=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skirmish.llm import jaccard_join as J
@@ -121,3 +122,23 @@ def test_a_pair_comes_from_its_first_common_tree():
     assert J.earlier(first[0], first[1:], 4, True).tolist() == [False, False, False]
     assert J.earlier(first[0], first[1:], -7, False).tolist() == [True, False, False]
     assert J.earlier(first[3], first[:1], 4, True).tolist() == [False]
+
+
+def test_points_are_packed_where_they_are_dealt():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 40, 300, 2500):
+        point = J.group_counts(np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)))
+        small = J.packed(point)
+        assert J.unpacked([small, small]) == [point, point]
+        assert n < 300 or len(small) < 0.4 * len(point)
+    many = J.group_counts(np.full(70_000, 1 << 20, dtype=np.uint64))    # beyond 255 in a group
+    assert J.unpacked([J.packed(many)]) == [many]
+
+
+def test_the_scan_gives_packed_points():
+    text = " ".join(f"w{k}" for k in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["doc_id", "tkey", "text"])
+    (out,) = J._scan(4)(iter([batch]))
+    point = out.column(4)[0].as_py()
+    assert len(point) < 250                                             # one byte a group: 516
+    assert J.point_matrix(J.unpacked([point])).sum() == 397
