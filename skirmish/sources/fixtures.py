@@ -165,7 +165,8 @@ def role_kungfus(orders: DataFrame, lineitem: DataFrame, part: DataFrame, lines_
     result's key, as which it can be joined with its like.
     """
     parts = partitions_of(lineitem, lines_each)
-    p = part.select("p_partkey", F.lower("p_type").alias("kungfu"))
+    # unless the parts are broadcast, the lines take on their number of partitions
+    p = part.select("p_partkey", F.lower("p_type").alias("kungfu")).repartition(parts, "p_partkey")
     lines = lineitem.select("l_orderkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     per_order = (lines.select("l_orderkey", "kungfu").repartition(parts, "l_orderkey")
