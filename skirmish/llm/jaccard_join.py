@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.llm import words as W
@@ -32,17 +32,31 @@ from skirmish.llm.common import BlockedBloom, connected_components, drop_keys, f
 CHUNK = 512
 LEAF = 16
 FIRST = 16          # trees of a member by which repeated pairs are told
+BLOCK_BYTES = 1 << 18        # texts hashed at once: arrays that stay in a core's cache
+
+
+GROUPS = 16 << np.arange(40)
+
+
+def points_of(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Points of sets (``first`` as ``shingle_sets`` gives it): a power of two of
+    groups (about one shingle in each on average), one byte a group; what goes
+    beyond 255 in a group is summed in front, so that the bound stays an upper
+    bound."""
+    size = np.diff(first)
+    if not len(size):
+        return []
+    groups = GROUPS[np.searchsorted(GROUPS * 3, size * 2)]
+    base = np.cumsum(groups) - groups
+    n = np.bincount(((h >> np.uint64(20)).astype(np.int64) & np.repeat(groups - 1, size)) + np.repeat(base, size), minlength=int(groups.sum()))
+    over = np.add.reduceat(np.maximum(n - 255, 0), base).astype("<u4")
+    counts = np.minimum(n, 255).astype(np.uint8)
+    return [over[k].tobytes() + counts[i:i + g].tobytes() for k, (i, g) in enumerate(zip(base.tolist(), groups.tolist(), strict=True))]
 
 
 def group_counts(h: np.ndarray) -> bytes:
-    """Point of a set: a power of two of groups (about one shingle in each on
-    average), one byte a group; what goes beyond 255 in a group is summed in
-    front, so that the bound stays an upper bound."""
-    groups = 16
-    while groups * 3 < len(h) * 2:
-        groups *= 2
-    n = np.bincount((h >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
-    return np.array([np.maximum(n - 255, 0).sum()], "<u4").tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
+    """Point of one set."""
+    return points_of(h, np.array([0, len(h)]))[0]
 
 
 def point_matrix(points) -> np.ndarray:
@@ -85,8 +99,8 @@ class Sizes:
             edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * step)))
         self.edges = np.array(edges)
         diff = [self.spread(int(hi) - 1, int(hi) - 1) for hi in self.edges[1:]]
-        self.spare = [2 + math.ceil(0.06 * d) for d in diff]          # slices that may be empty
-        self.slices = [d + 1 + s for d, s in zip(diff, self.spare, strict=True)]
+        self.spare = np.array([2 + math.ceil(0.06 * d) for d in diff])          # slices that may be empty
+        self.slices = np.array(diff) + 1 + self.spare
 
     def spread(self, a: int, b: int) -> int:
         """Most shingles that only one of two linked sets of sizes a, b holds."""
@@ -99,12 +113,16 @@ class Sizes:
         """Least overlap of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.den + self.num))
 
-    def bands(self, n: int) -> set[int]:
-        """The size's own band, and the next one if a linked larger set may be there."""
-        if n < self.first:
-            return set() if n * self.den < self.first * self.num else {0}
-        own = int(np.searchsorted(self.edges, n, side="right")) - 1
-        return {own, int(np.searchsorted(self.edges, n * self.den // self.num, side="right")) - 1}
+    def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the sizes ``n``, band): each size's own band, and the next one
+        if a linked larger set may be there."""
+        low = np.searchsorted(self.edges, n, side="right") - 1              # -1 below the first band
+        high = np.searchsorted(self.edges, n * self.den // self.num, side="right") - 1
+        low = np.where(low < 0, high, low)
+        count = np.where(high < 0, 0, 1 + (high > low))
+        which = np.repeat(np.arange(len(n)), count)
+        second = np.arange(len(which)) > (np.cumsum(count) - count)[which]
+        return which, np.where(second, high[which], low[which])
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int, values=W.FOLDED):
@@ -120,45 +138,57 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int, values=W.FOLDED):
     owner = np.repeat(np.arange(n_docs), n_win)
     at = np.arange(len(owner)) - (np.cumsum(n_win) - n_win)[owner] + bounds[owner]
     win = W.window_sums(h, at, at + np.minimum(size, n_words[owner]))
-    order = np.lexsort((win, owner))
-    win, owner = win[order], owner[order]
+    first = np.concatenate([[0], np.cumsum(n_win)])
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        win[i:j].sort()
     new = np.ones(len(win), dtype=bool)
     new[1:] = (win[1:] != win[:-1]) | (owner[1:] != owner[:-1])
-    return win[new], np.searchsorted(owner[new], np.arange(n_docs + 1))
+    return win[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 SCAN = "doc_id long, tkey long, n long, fp long, point binary"
 SCAN_ARROW = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("point", pa.binary())])
-KEYS = "tkey long, fp long, keys array<long>, again boolean"
-KEYS_ARROW = pa.schema([("tkey", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("again", pa.bool_())])
-
-
-def fingerprint(own: np.ndarray) -> int:
-    """Hash of a set (its sorted hashes); 0 if empty."""
-    return int(W.window_sums(own, np.array([0]), np.array([len(own)])).view(np.int64)[0]) if len(own) else 0
+KEYS = "tkey long, fp long, keys array<long>"
+KEYS_ARROW = pa.schema([("tkey", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+
+def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of sets (of their sorted hashes); 0 if empty."""
+    return np.where(first[1:] > first[:-1], W.window_sums(h, first[:-1], first[1:]).view(np.int64), 0)
+
+
+def signatures(h: np.ndarray, first: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets: per band and slice, a hash of the slice's content. (keys,
+    first of each set and the end.)"""
+    size = np.diff(first)
+    which, band = sizes.bands(size)
+    if not len(which):
+        return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
+    n, spare, held = sizes.slices[band], sizes.spare[band], size[which]
+    base, end = np.cumsum(n) - n, int(n.sum())
+    of = np.repeat(first[which] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
+    at = mix64(h[of] ^ np.repeat((0xA5A5 + band).astype(np.uint64), held)) % np.repeat(n.astype(np.uint64), held)
+    at = at.astype(np.int64) + np.repeat(base, held)
+    content = np.zeros(end, dtype=np.uint64)
+    np.add.at(content, at, mix64(h + np.uint64(0x51ED))[of])
+    filled = np.bincount(at, minlength=end) > 0
+    slot = (np.arange(end) - np.repeat(base, n)).astype(np.uint64)
+    keys = mix64(mix64(content) ^ (slot * np.uint64(0x9E3779B1) + np.repeat(band.astype(np.uint64) << np.uint64(44), n)))
+    # with more empty slices than the spare ones, empty slices are keys too
+    kept = filled | np.repeat(n - np.add.reduceat(filled, base, dtype=np.int64) > spare, n)
+    count = np.bincount(np.repeat(which, n)[kept], minlength=len(size))
+    return keys[kept], np.concatenate([[0], np.cumsum(count)])
 
 
 def signature(h: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of a set: per band and slice, a hash of the slice's content."""
-    out = []
-    for band in sorted(sizes.bands(len(h))):
-        n = sizes.slices[band]
-        at = (mix64(h ^ np.uint64(0xA5A5 + band)) % np.uint64(n)).astype(np.int64)
-        content = np.zeros(n, dtype=np.uint64)
-        np.add.at(content, at, mix64(h + np.uint64(0x51ED)))
-        filled = np.bincount(at, minlength=n) > 0
-        keys = mix64(mix64(content) ^ (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(band << 44)))
-        # with more empty slices than the spare ones, empty slices are keys too
-        out.append(keys if n - filled.sum() > sizes.spare[band] else keys[filled])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return signatures(h, np.array([0, len(h)]), sizes)[0]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text_at: int, size: int):
-    """(rows, their shingle sets) per block of texts."""
+    """(rows, hashes of their shingle sets, first of each set and the end) per block of texts."""
     for b in batches:
-        for i, j, buf, off in W.blocks(b.column(text_at)):
-            h, first = shingle_sets(buf, off, size)
-            yield b.slice(i, j - i), [h[first[k]:first[k + 1]] for k in range(j - i)]
+        for i, j, buf, off in W.blocks(b.column(text_at), BLOCK_BYTES):
+            yield b.slice(i, j - i), *shingle_sets(buf, off, size)
 
 
 def _arrow(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -167,21 +197,26 @@ def _arrow(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _sets(batches, 2, size):
-            yield _arrow(SCAN_ARROW, b.column(0), b.column(1), [len(s) for s in sets], [fingerprint(s) for s in sets], [packed(group_counts(s)) for s in sets])
+        for b, h, first in _sets(batches, 2, size):
+            yield _arrow(SCAN_ARROW, b.column(0), b.column(1), np.diff(first), fingerprints(h, first), [packed(p) for p in points_of(h, first)])
     return run
 
 
-def _keys(size: int, sizes: Sizes, repeated):
+def _keys(size: int, sizes: Sizes, repeated, again: bool):
     """A second pass over the texts: keys are most of what a set is dealt by,
-    and hashing again costs less than storing them. ``again`` tells the sets
-    that may be ``repeated`` (here, since a filter of its own behind this
-    function would hold a second Python worker for each task)."""
+    and hashing again costs less than storing them. Only texts that may be
+    ``repeated`` (their tkey), or only the others, are hashed: between them the
+    two passes hash each text once. (The choice is made here, since a filter of
+    its own before this function would hold a second Python worker for each task.)"""
+    def chosen(batches):
+        for b in batches:
+            yield b.filter(pa.array(repeated.value.may_hold(b.column(0).to_numpy(zero_copy_only=False)) == again))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _sets(batches, 1, size):
-            fp = [fingerprint(s) for s in sets]
-            yield _arrow(KEYS_ARROW, b.column(0), fp, [signature(s, sizes).view(np.int64) for s in sets],
-                         repeated.value.may_hold(np.array(fp, dtype=np.int64)))
+        for b, h, first in _sets(chosen(batches), 1, size):
+            keys, at = signatures(h, first, sizes)
+            keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
+            yield _arrow(KEYS_ARROW, b.column(0), fingerprints(h, first), keys)
     return run
 
 
@@ -362,24 +397,28 @@ def _search(rule: Sizes):
 
 def _verify(size: int, rule: Sizes):
     def run(batches):
-        last_key, last = None, None
         for b in batches:
-            a_key, b_key = b.column(0).to_pylist(), b.column(1).to_pylist()
+            a_key, b_key = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2])
+            new = np.ones(len(b_key), dtype=bool)           # a text b is hashed once for its consecutive pairs
+            new[1:] = b_key[1:] != b_key[:-1]
+            others = _one_by_one(b.column(3).filter(pa.array(new)), size)
             left, right = [], []
-            for k in range(len(a_key)):
-                one = _set_of(b.column(2)[k].as_py(), size)
-                if b_key[k] != last_key:
-                    last_key, last = b_key[k], _set_of(b.column(3)[k].as_py(), size)
-                if rule.linked(len(one), len(last), len(np.intersect1d(one, last, assume_unique=True))):
-                    left.append(a_key[k])
-                    right.append(b_key[k])
+            for k, one in enumerate(_one_by_one(b.column(2), size)):
+                if new[k]:
+                    last = next(others)
+                both = np.concatenate([one, last])
+                both.sort()
+                if rule.linked(len(one), len(last), int(np.count_nonzero(both[1:] == both[:-1]))):
+                    left.append(int(a_key[k]))
+                    right.append(int(b_key[k]))
             yield _pairs(left, right)
     return run
 
 
-def _set_of(text: str, size: int) -> np.ndarray:
-    buf = np.frombuffer(text.encode(), np.uint8)
-    return shingle_sets(buf, np.array([0, len(buf)]), size)[0]
+def _one_by_one(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for _, _, buf, off in W.blocks(texts, BLOCK_BYTES):
+        h, first = shingle_sets(buf, off, size)
+        yield from (h[i:j] for i, j in zip(first[:-1], first[1:], strict=True))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100,
@@ -408,13 +447,15 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def may_repeat(k):
         return pd.Series(repeated.value.may_hold(k.to_numpy("int64")))
 
-    def classes(sets: DataFrame, again: Column, *columns: str) -> DataFrame:
-        alone = sets.where(~again).select("fp", F.col("tkey").alias("cls"), *columns)
-        return alone.unionByName(sets.where(again).groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
+    def classes(alone: DataFrame, again: DataFrame, *columns: str) -> DataFrame:
+        return alone.select("fp", F.col("tkey").alias("cls"), *columns).unionByName(
+            again.groupBy("fp").agg(F.min("tkey").alias("cls"), *[F.first(c).alias(c) for c in columns]))
 
-    points = stored(classes(some_words, may_repeat("fp"), "n", "point"), "points")
-    keyed = rows.select("tkey", "text").mapInArrow(_keys(size, rule, repeated), KEYS).where(F.size("keys") > 0)
-    dealt = classes(keyed, F.col("again"), "keys").select(F.explode("keys").alias("key"), "cls")
+    points = stored(classes(some_words.where(~may_repeat("fp")), some_words.where(may_repeat("fp")), "n", "point"), "points")
+    # the same by text: all texts of a repeated set are told before they are hashed
+    copies = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(some_words.where(may_repeat("fp")), "tkey", filter_blocks))
+    keyed = [rows.select("tkey", "text").mapInArrow(_keys(size, rule, copies, again), KEYS).where(F.size("keys") > 0) for again in (False, True)]
+    dealt = classes(*keyed, "keys").select(F.explode("keys").alias("key"), "cls")
     buckets = (dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, BUCKET))
     buckets = stored(buckets, "trees")
     trees = stored(buckets.dropDuplicates(["bucket"]).select("bucket", "members"), "trees")

@@ -142,3 +142,38 @@ def test_the_scan_gives_packed_points():
     point = out.column(4)[0].as_py()
     assert len(point) < 250                                             # one byte a group: 516
     assert J.point_matrix(J.unpacked([point])).sum() == 397
+
+
+def test_a_text_is_hashed_for_its_keys_once(spark, docs_frame, monkeypatch):
+    hashed, made = spark.sparkContext.accumulator(0), J._keys
+
+    def counted(*a):
+        run = made(*a)
+
+        def of(batches):
+            for b in run(batches):
+                hashed.add(b.num_rows)
+                yield b
+        return of
+
+    monkeypatch.setattr(J, "_keys", counted)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[:k % 30], f"e{k % 30}", *base])) for k in range(40)] + [(40, ""), (41, "EINS zwei"), (42, "eins zwei"), (43, None)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.similarity_components(docs_frame(rows)).collect())
+    assert got == sorted(brute(rows))
+    assert hashed.value == len(rows)
+
+
+def test_sets_of_a_block_are_as_each_alone():
+    rng = np.random.default_rng(9)
+    for num in (80, 85):
+        rule = J.Sizes(num)
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 2, 0, 5, 6, 7, 12, 13, 24, 25, 300, 0, 2500, 8, 0)]
+        h, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        keys, at = J.signatures(h, first, rule)
+        prints = J.fingerprints(h, first)
+        for k, own in enumerate(sets):
+            assert keys[at[k]:at[k + 1]].tolist() == J.signature(own, rule).tolist()
+            assert J.points_of(h, first)[k] == J.group_counts(own)
+            assert prints[k] == J.fingerprints(own, np.array([0, len(own)]))[0] and (prints[k] == 0) == (len(own) == 0)
+    assert J.points_of(h[:0], first[:1]) == [] and len(J.fingerprints(h[:0], first[:1])) == 0
